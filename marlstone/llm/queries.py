@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .jaccard import op8_ngram_jaccard_join
 from .packing import op10_best_fit_packing
 from .token_files import op4_token_files
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op4_token_files, op10_best_fit_packing]
+    found = [op4_token_files, op8_ngram_jaccard_join, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
