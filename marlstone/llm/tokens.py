@@ -16,7 +16,7 @@ import numpy as np
 
 VOCABULARY = "byte_bpe_50k.json"
 #: White space other than space and line feed, as any pattern may define it.
-OTHER_SPACE = re.compile(r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‍    ⁠　﻿]")
+OTHER_SPACE = re.compile("[%s]" % "".join(map(chr, (*range(9, 10), *range(11, 14), *range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF))))
 #: Id 0, the end of a document.
 END = b"\0\0"
 MARKS = ",.;:!?"
