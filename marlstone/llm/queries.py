@@ -12,11 +12,12 @@ from .packing import op10_best_fit_packing
 from .pii import op9_pii
 from .quality import op6_quality_rules
 from .token_files import op4_token_files
+from .toxicity import op3_toxicity
 from .warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_warc, op4_token_files, op5_embedding_near_dedup, op6_quality_rules, op8_ngram_jaccard_join, op9_pii, op10_best_fit_packing]
+    found = [op2_warc, op3_toxicity, op4_token_files, op5_embedding_near_dedup, op6_quality_rules, op8_ngram_jaccard_join, op9_pii, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
