@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .covertree import op5_embedding_near_dedup
+from .html import op1_html_extraction
 from .jaccard import op8_ngram_jaccard_join
+from .mixing import op7_mixing
 from .packing import op10_best_fit_packing
 from .pii import op9_pii
 from .quality import op6_quality_rules
@@ -17,7 +19,7 @@ from .warc import OP2_SQL, op2_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op2_warc, op3_toxicity, op4_token_files, op5_embedding_near_dedup, op6_quality_rules, op8_ngram_jaccard_join, op9_pii, op10_best_fit_packing]
+    found = [op1_html_extraction, op2_warc, op3_toxicity, op4_token_files, op5_embedding_near_dedup, op6_quality_rules, op7_mixing, op8_ngram_jaccard_join, op9_pii, op10_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
