@@ -106,8 +106,9 @@ def certified_cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA
     at = every.join(summed.withColumnsRenamed({"stratum": "s", "rule": "r"}), F.col("stratum").eqNullSafe(F.col("s")) & (F.col("rule") == F.col("r")))
     tested = at.groupBy("stratum", "rule", "cut").agg(
         F.sum("good").alias("n"), F.sum(F.when(F.col("level") >= F.col("cut"), F.col("good")).otherwise(0)).alias("k"), F.sum(F.when(F.col("level") >= F.col("cut"), F.col("bad")).otherwise(0)).alias("caught"))
-    strata = tested.agg(F.greatest(F.count_distinct(F.struct("stratum")), F.lit(1)).alias("strata"))
-    significant = tested.join(F.broadcast(strata), F.lit(True)).withColumn("ok", binomial_tail(F.col("k"), F.col("n"), alpha / len(RULES)) <= delta / len(RULES) / F.col("strata"))
+    tested = staged(tested, "tested")  # len(RULES) * len(GRID) rows a stratum
+    strata = max(1, tested.select("stratum").distinct().count())
+    significant = tested.withColumn("ok", binomial_tail(F.col("k"), F.col("n"), alpha / len(RULES)) <= delta / len(RULES) / strata)
     loosest_first = Window.partitionBy("stratum", "rule").orderBy(F.desc("cut")).rowsBetween(Window.unboundedPreceding, 0)
     passed = significant.withColumn("passed", F.min("ok").over(loosest_first)).filter("passed").withColumn("gain", F.col("caught") - penalty * F.col("k")).filter("gain > 0")
     best = passed.groupBy("stratum", "rule").agg(F.max_by("cut", F.struct("gain", "cut")).alias("cut"))
