@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.idents import KINDS
 from ..operators import diff, graph, severity
+from ..operators.storage import stored
 from ..sources.scan import as_object, builtins, dependencies_of, objects_of, read_files, scan_migrations
 from ..sources.state import StateStore
 
@@ -89,7 +90,7 @@ def rank_of(spark: SparkSession, change: Change, old: dict | None, new: dict | N
 def make_plan(spark: SparkSession, store: StateStore, code: str | DataFrame | None, migrations: str | None = None) -> Plan:
     """Compare a code tree (a folder, or a frame of file and text) and a folder of migrations with recorded state."""
     files = read_files(spark, code).filter(~F.element_at(F.split("file", "/"), -1).contains(".test.")) if isinstance(code, str) else code
-    rows = objects_of(files).cache()
+    rows = stored(objects_of(files))
     objects = rows.filter("object_type is not null")
     problems = [f"{r['file']}: {r['problem']}" for r in rows.filter("problem is not null").orderBy("seq").collect()]
     doubled = diff.duplicates(objects.filter(F.col("object_type").isin(*UNIQUE_KINDS)).withColumn("name", F.concat_ws(".", "schema", "name", F.when(F.col("object_type") == "trigger", F.col("trigger_table")))).withColumn("file", F.concat_ws(":", "file", "start_line"))).collect()
@@ -105,7 +106,7 @@ def make_plan(spark: SparkSession, store: StateStore, code: str | DataFrame | No
         new_migrations = [(r["name"], r["text"]) for r in diff.pending(scan_migrations(spark, migrations), store.table("migrations")).orderBy("name").collect()]
     changes = [Change("apply_migration", migration=n, rank=severity.rank_of_migration(t)) for n, t in new_migrations]
     changes += [Change(r["type"], r["object_type"], r["state_name"], r["old_hash"], r["new_hash"]) for r in raw]
-    deps = dependencies_of(rows, builtins(spark)).cache()
+    deps = stored(dependencies_of(rows, builtins(spark)))
     by_node = {f"{r['object_type']}::{r['state_name']}": r.asDict() for r in objects.collect()}
     recorded = {f"{r['object_type']}::{r['object_name']}": r.asDict() for r in state.collect()}
     deleted = [c for c in changes if c.type == "delete"]
