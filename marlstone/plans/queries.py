@@ -107,9 +107,9 @@ def recursive_hierarchy(spark, d):
     )
 
 
-@query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, round(avg(value), 4) AS mean FROM events GROUP BY 1, 2")
+@query("SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n, avg(length(event_type)) AS mean_length, sum(value::DECIMAL(18, 4))::DOUBLE AS total FROM events GROUP BY 1, 2")
 def daily_stats(spark, d):
-    return read(spark, d, "events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"))
+    return read(spark, d, "events").groupBy(F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("event_type")).alias("mean_length"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("total"))
 
 
 @query("SELECT props->>'$.k' AS k, count(*) AS n FROM events GROUP BY 1")
