@@ -29,10 +29,12 @@ from .components import components
 COSINE = 0.9
 #: Rows of a block, and pivots that deal rows to blocks (a sample of the classes by hash; it decides speed, not results).
 BLOCK, MOST_PIVOTS = 4096, 1024
-#: Radii of the levels below the root; distances of unit vectors are at most 2.
-RADII = tuple(2.0**-k for k in range(0, 7))
+#: Radii of the levels below the root, whose own is 2 at most. Below 0.5, few unrelated vectors share a node.
+RADII = tuple(2.0**-k for k in range(1, 7))
+#: Pairs of nodes that are looked at together, and the radius below which a node is a tight one.
+PAIRS, TIGHT = 1 << 15, 0.02
 #: Slack of all bounds, far above rounding errors and far below distances that matter.
-SLACK = 1e-6
+SLACK = 1e-5
 
 
 def net(points: np.ndarray, radius: float) -> np.ndarray:
@@ -40,6 +42,7 @@ def net(points: np.ndarray, radius: float) -> np.ndarray:
     centre = np.full(len(points), -1)
     chosen = np.empty(0, np.int64)
     limit = 1 - radius * radius / 2
+    points = points.astype(np.float32)
     for at in range(0, len(points), 512):
         part = points[at : at + 512]
         own = np.full(len(part), -1)
@@ -48,9 +51,8 @@ def net(points: np.ndarray, radius: float) -> np.ndarray:
             free = np.flatnonzero(own < 0)
             if len(free):
                 near = part[free] @ points[some].T
-                best = near.argmax(1)
-                ok = near[np.arange(len(free)), best] >= limit
-                own[free[ok]] = some[best[ok]]
+                ok = np.flatnonzero(near.max(1) >= limit)
+                own[free[ok]] = some[near[ok].argmax(1)]
         free = np.flatnonzero(own < 0)
         if len(free):
             near = part[free] @ part[free].T >= limit
@@ -71,15 +73,15 @@ def net(points: np.ndarray, radius: float) -> np.ndarray:
 class CoverTree:
     """Levels of nodes over points in an order in which every node is a range. Level 0 is the root, the last one the leaves.
 
-    starts[l] has the first point of every node of level l and, at its end, the number of points; centre[l] and radius[l]: a point of the
-    node, and the distance from it to the farthest point of the node. A node's centre is the centre of one of its children.
+    starts[l] has the first point, the centre, of every node of level l and, at its end, the number of points; radius[l] the distance from the centre to
+    the farthest point of the node. A node's centre is the centre of one of its children.
     """
 
-    def __init__(self, order: np.ndarray, starts: list[np.ndarray], points: np.ndarray):
+    def __init__(self, order: np.ndarray, starts: list[np.ndarray], points: np.ndarray, radius: list[np.ndarray] | None = None):
         self.order, self.starts, self.points = order, starts, points
-        self.centre = [s[:-1] for s in starts]
-        self.radius = []
-        for s in starts:
+        self.rough = points.astype(np.float32)
+        self.radius = radius or []
+        for s in starts if radius is None else ():
             sizes = np.diff(s)
             d2 = 2 - 2 * np.einsum("ij,ij->i", points, np.repeat(points[s[:-1]], sizes, axis=0))
             self.radius.append(np.sqrt(np.maximum(np.maximum.reduceat(d2, s[:-1]), 0)) if len(points) else np.empty(0))
@@ -113,6 +115,9 @@ def dual(x: CoverTree, y: CoverTree, cosine: float = COSINE, same: bool = False)
     last = len(x.starts) - 1
     while todo:
         level, a, b = todo.pop()
+        if len(a) > PAIRS:
+            todo += [(level, a[k : k + PAIRS], b[k : k + PAIRS]) for k in range(0, len(a), PAIRS)]
+            continue
         xs, ys = x.starts[level], y.starts[level]
         d = np.sqrt(np.maximum(2 - 2 * np.einsum("ij,ij->i", x.points[xs[a]], y.points[ys[b]]), 0))
         reach = x.radius[level][a] + y.radius[level][b]
@@ -122,8 +127,17 @@ def dual(x: CoverTree, y: CoverTree, cosine: float = COSINE, same: bool = False)
             whole.append((xs[p], xs[p + 1], ys[q], ys[q + 1]))
         keep = (d - reach <= limit + SLACK) & ~inside
         a, b = a[keep], b[keep]
+        if not len(a):
+            continue
+        sizes = (xs[a + 1] - xs[a]) * (ys[b + 1] - ys[b])
         if level == last:
-            for p, q in zip(a, b, strict=True):
+            alone = sizes == 1
+            i, j = xs[a[alone]], ys[b[alone]]
+            ok = np.einsum("ij,ij->i", x.points[i], y.points[j]) >= cosine
+            if same:
+                ok &= i < j
+            single.append((i[ok], j[ok]))
+            for p, q in zip(a[~alone], b[~alone], strict=True):
                 i, j = np.nonzero(x.points[xs[p] : xs[p + 1]] @ y.points[ys[q] : ys[q + 1]].T >= cosine)
                 i, j = i + xs[p], j + ys[q]
                 if same:
@@ -132,27 +146,34 @@ def dual(x: CoverTree, y: CoverTree, cosine: float = COSINE, same: bool = False)
             continue
         nx, ny = x.starts[level + 1], y.starts[level + 1]
         xr, yr = x.radius[level + 1], y.radius[level + 1]
-        next_a, next_b = [], []
-        for p, q in zip(a, b, strict=True):
-            ca = np.arange(np.searchsorted(nx, xs[p]), np.searchsorted(nx, xs[p + 1]))
-            cb = np.arange(np.searchsorted(ny, ys[q]), np.searchsorted(ny, ys[q + 1]))
-            if len(ca) * len(cb) <= 16:
-                i, j = np.repeat(ca, len(cb)), np.tile(cb, len(ca))
-                if same:
-                    i, j = i[i <= j], j[i <= j]
-                next_a.append(i), next_b.append(j)
-                continue
-            far = y.points[ny[cb]].T
-            for at in range(0, len(ca), 512):
-                some = ca[at : at + 512]
-                reach = np.minimum(limit + xr[some][:, None] + yr[cb][None, :] + SLACK, 2)
-                i, j = np.nonzero(x.points[nx[some]] @ far >= 1 - reach * reach / 2)
-                i, j = some[i], cb[j]
-                if same:
-                    i, j = i[i <= j], j[i <= j]
-                next_a.append(i), next_b.append(j)
-        if next_a:
-            todo.append((level + 1, np.concatenate(next_a), np.concatenate(next_b)))
+        lo_a, lo_b = np.searchsorted(nx, xs[a]), np.searchsorted(ny, ys[b])
+        n_a, n_b = np.searchsorted(nx, xs[a + 1]) - lo_a, np.searchsorted(ny, ys[b + 1]) - lo_b
+        few = n_a * n_b <= 64
+        # pairs of few children: all of them, at once
+        each = (n_a * n_b)[few]
+        at = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        of_b = np.repeat(n_b[few], each)
+        i, j = np.repeat(lo_a[few], each) + at // np.maximum(of_b, 1), np.repeat(lo_b[few], each) + at % np.maximum(of_b, 1)
+        if same:
+            i, j = i[i <= j], j[i <= j]
+        if len(i):
+            todo.append((level + 1, i, j))
+        for k in np.flatnonzero(~few):
+            ca, cb = np.arange(lo_a[k], lo_a[k] + n_a[k]), np.arange(lo_b[k], lo_b[k] + n_b[k])
+            # tight nodes and wide ones apart: the bound of a sheet is that of its widest nodes
+            for some_b in (cb[yr[cb] < TIGHT], cb[yr[cb] >= TIGHT]):
+                far = y.rough[ny[some_b]].T
+                for wide in (False, True):
+                    mine = ca[(xr[ca] >= TIGHT) == wide]
+                    for begin in range(0, len(mine) if len(some_b) else 0, 512):
+                        some = mine[begin : begin + 512]
+                        reach = min(2.0, limit + xr[some].max() + yr[some_b].max() + SLACK)
+                        i, j = np.nonzero(x.rough[nx[some]] @ far >= 1 - reach * reach / 2 - SLACK)
+                        i, j = some[i], some_b[j]
+                        if same:
+                            i, j = i[i <= j], j[i <= j]
+                        if len(i):
+                            todo.append((level + 1, i, j))
     return whole, single
 
 
@@ -262,16 +283,16 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         middle = x.mean(0)
         middle /= max(np.sqrt(middle @ middle), 1e-300)
         reach = float(np.sqrt(np.maximum(2 - 2 * (x @ middle), 0)).max())
-        return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "points": pa.array([tree.points.tobytes()], pa.binary()), "starts": pa.array([starts.tobytes()], pa.binary()), "ids": pa.array([ids.tobytes()], pa.binary()), "ns": pa.array([n.tobytes()], pa.binary()), "middle": [middle.tolist()], "reach": [reach]})
+        return pa.table({"block": pa.array([group.column("block")[0].as_py()], pa.int32()), "points": pa.array([tree.points.tobytes()], pa.binary()), "starts": pa.array([starts.tobytes()], pa.binary()), "radii": pa.array([np.concatenate(tree.radius).tobytes()], pa.binary()), "ids": pa.array([ids.tobytes()], pa.binary()), "ns": pa.array([n.tobytes()], pa.binary()), "middle": [middle.tolist()], "reach": [reach]})
 
-    trees = staged(blocks.groupBy("block").applyInArrow(build, "block int, points binary, starts binary, ids binary, ns binary, middle array<double>, reach double"), "trees")
+    trees = staged(blocks.groupBy("block").applyInArrow(build, "block int, points binary, starts binary, radii binary, ids binary, ns binary, middle array<double>, reach double"), "trees")
     heads = trees.select("block", "middle", "reach")
     x, y = (heads.select(*[F.col(c).alias(f"{c}_{s}") for c in heads.columns]) for s in "xy")
     limit = math.sqrt(2 - 2 * cosine)
     apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.aggregate(F.zip_with("middle_x", "middle_y", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)))
     pairs = x.join(y, F.col("block_x") <= F.col("block_y")).filter(apart <= F.col("reach_x") + F.col("reach_y") + limit + SLACK).select("block_x", "block_y")
     pairs = staged(pairs, "pairs").repartition("block_x", "block_y")
-    parts = ("points", "starts", "ids", "ns")
+    parts = ("points", "starts", "radii", "ids", "ns")
     both = pairs.join(trees.select(F.col("block").alias("block_x"), *[F.col(c).alias(f"{c}_x") for c in parts]), "block_x").join(trees.select(F.col("block").alias("block_y"), *[F.col(c).alias(f"{c}_y") for c in parts]), "block_y")
 
     def traverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -283,7 +304,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
                     points = np.frombuffer(got[f"points_{s}"].as_buffer(), np.float64).reshape(-1, width // 8)
                     flat = np.frombuffer(got[f"starts_{s}"].as_buffer(), np.int64)
                     cut = np.cumsum(flat[: len(RADII) + 1])[:-1]
-                    sides.append((CoverTree(np.arange(len(points)), np.split(flat[len(RADII) + 1 :], cut), points), np.frombuffer(got[f"ids_{s}"].as_buffer(), np.int64), np.frombuffer(got[f"ns_{s}"].as_buffer(), np.int64)))
+                    starts = np.split(flat[len(RADII) + 1 :], cut)
+                    radii = np.split(np.frombuffer(got[f"radii_{s}"].as_buffer(), np.float64), np.cumsum([len(x) - 1 for x in starts])[:-1])
+                    sides.append((CoverTree(np.arange(len(points)), starts, points, radii), np.frombuffer(got[f"ids_{s}"].as_buffer(), np.int64), np.frombuffer(got[f"ns_{s}"].as_buffer(), np.int64)))
                 ids, n, a, b = links_between(*sides[0], *sides[1], got["block_x"].as_py() == got["block_y"].as_py(), cosine)
                 yield pa.record_batch([pa.array(ids + a, pa.int64()), pa.array([None] * len(ids) + b, pa.int64()), pa.array(n + [0] * len(a), pa.int64())], names=["a", "b", "links"])
 
