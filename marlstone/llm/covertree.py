@@ -290,7 +290,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     x, y = (heads.select(*[F.col(c).alias(f"{c}_{s}") for c in heads.columns]) for s in "xy")
     limit = math.sqrt(2 - 2 * cosine)
     apart = F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.aggregate(F.zip_with("middle_x", "middle_y", lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)))
-    pairs = x.join(y, F.col("block_x") <= F.col("block_y")).filter(apart <= F.col("reach_x") + F.col("reach_y") + limit + SLACK).select("block_x", "block_y")
+    last = heads.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0]
+    others = x.withColumn("block_y", F.explode(F.sequence(F.col("block_x"), F.lit(last))))
+    pairs = others.join(y, "block_y").filter(apart <= F.col("reach_x") + F.col("reach_y") + limit + SLACK).select("block_x", "block_y")
     pairs = staged(pairs, "pairs").repartition("block_x", "block_y")
     parts = ("points", "starts", "radii", "ids", "ns")
     both = pairs.join(trees.select(F.col("block").alias("block_x"), *[F.col(c).alias(f"{c}_x") for c in parts]), "block_x").join(trees.select(F.col("block").alias("block_y"), *[F.col(c).alias(f"{c}_y") for c in parts]), "block_y")
