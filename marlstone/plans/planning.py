@@ -109,6 +109,11 @@ def make_plan(spark: SparkSession, store: StateStore, code: str | DataFrame | No
     deps = stored(dependencies_of(rows, builtins(spark)))
     by_node = {f"{r['object_type']}::{r['state_name']}": r.asDict() for r in objects.collect()}
     recorded = {f"{r['object_type']}::{r['object_name']}": r.asDict() for r in state.collect()}
+    going = {c.node for c in changes if c.type == "delete"}
+    for c in changes:  # a name may not be a function and a procedure at once
+        other = {"function": "procedure", "procedure": "function"}.get(c.object_type)
+        if c.type == "create" and other and f"{other}::{c.name}" in recorded and f"{other}::{c.name}" not in going:
+            raise PlanError(f"{c.object_type} {c.name}: a {other} of this name is there already")
     deleted = [c for c in changes if c.type == "delete"]
     old_objects = state.select("object_type", F.col("object_name").alias("state_name"), F.when(F.locate(".", "object_name") > 0, F.split_part("object_name", F.lit("."), F.lit(1))).alias("schema"), F.element_at(F.split("object_name", r"\."), -1).alias("name"), "trigger_table").withColumn("seq", F.lit(1 << 30))
     columns = ["object_type", "state_name", "schema", "name", "trigger_table", "seq"]
@@ -154,3 +159,20 @@ def ordered(spark: SparkSession, plan: Plan, nodes: list[str]) -> tuple[list[str
     except graph.CycleError as e:
         return nodes, str(e)
     return sorted(nodes, key=lambda n: level.get(n, 1 << 30)), None
+
+
+def pending_changes(spark: SparkSession, store: StateStore, code: str, migrations: str | None = None) -> tuple[bool, int]:
+    """Whether anything has changed, and how much, without graphs and severities."""
+    rows = objects_of(read_files(spark, code).filter(~F.element_at(F.split("file", "/"), -1).contains(".test.")))
+    found = rows.filter("object_type is not null").select("object_type", "state_name", "ddl_hash")
+    had = store.table("state").select("object_type", F.col("object_name").alias("state_name"), "ddl_hash")
+    n = diff.changes(found, had, ["object_type", "state_name"]).count()
+    if migrations is not None:
+        n += diff.pending(scan_migrations(spark, migrations), store.table("migrations")).count()
+    return n > 0, n
+
+
+def content_checksum(files: DataFrame) -> str:
+    """SHA-256 over the texts of files (file, text) in order, each with a line feed: whether a prepared copy is still good. Files are few and small."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("file", "text"))), lambda x: F.concat(x["text"], F.lit("\n")))
+    return files.agg(F.sha2(F.array_join(texts, ""), 256).alias("sum")).first()["sum"]

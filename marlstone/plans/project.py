@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.scan import builtins, dependencies_of, objects_of
 from ..operators import graph
+from ..operators.storage import stored
 from .applying import Executor
 
 FILES = {
@@ -19,7 +20,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read the project's files, order its views by their dependencies, make them, and query the topmost."""
     for name in ("nation", "customer", "orders"):
         spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
-    rows = objects_of(spark.createDataFrame(list(FILES.items()), "file string, text string"))
+    rows = stored(objects_of(spark.createDataFrame(list(FILES.items()), "file string, text string")))
     objects = rows.filter("object_type is not null")
     edges = graph.edges_of(objects, dependencies_of(rows, builtins(spark)))
     found = {f"{r['object_type']}::{r['state_name']}": r for r in objects.collect()}

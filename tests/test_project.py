@@ -11,7 +11,8 @@ from marlstone.functions.identify import identify
 from marlstone.functions.tap import parse_tap
 from marlstone.operators import graph, severity
 from marlstone.plans.applying import ApplyError, apply
-from marlstone.plans.planning import PlanError, make_plan
+from marlstone.plans.planning import PlanError, content_checksum, make_plan, pending_changes
+from marlstone.sources.scan import read_files
 from marlstone.sources.state import LockTimeout, StateStore
 from marlstone.streaming.watch import Debouncer, impacted_tests, process, routed, run_test, snapshot
 
@@ -80,6 +81,13 @@ def test_migrations_and_duplicates(spark, tree, tmp_path):
     (code / "e.sql").write_text("CREATE TABLE base (x int);")
     with pytest.raises(PlanError, match="more than once"):
         make_plan(spark, store, str(code))
+    (code / "e.sql").write_text("CREATE PROCEDURE twice(x float8) LANGUAGE sql AS $$ SELECT 1 $$;")
+    with pytest.raises(PlanError, match="more than once"):
+        make_plan(spark, store, str(code), str(folder))
+    assert pending_changes(spark, store, str(code), str(folder)) == (True, 2)  # a migration and a procedure
+    before = content_checksum(read_files(spark, str(code)))
+    (code / "e.sql").unlink()
+    assert content_checksum(read_files(spark, str(code))) != before
     with pytest.raises(ValueError, match="letters"):
         new_migration(str(folder), "a b")
 
