@@ -14,6 +14,10 @@ from ..functions.idents import TARGETS
 from .storage import stored
 
 
+#: Rows of a graph up to which a loop runs on the driver.
+FEW = 50_000
+
+
 class CycleError(ValueError):
     """Nodes that depend on each other in a circle."""
 
@@ -44,36 +48,86 @@ def neighbours(edges: DataFrame, node, direction: str = "dependents", kind: str
     return (rows if kind is None else rows.filter(F.col("kind") == kind)).select(F.col(b).alias("node")).distinct()
 
 
-def closure(edges: DataFrame, seeds: DataFrame, with_seeds: bool = False) -> DataFrame:
-    """node: everything that hard edges reach from the seeds (a column node). Ends on cycles; every round is stored."""
-    hard = stored(edges.filter("kind = 'hard'").select("src", "dst").distinct())
-    seen = stored(seeds.select("node").distinct())
+def _few(df: DataFrame, most: int) -> list | None:
+    """All rows of a frame of at most most rows, or None."""
+    rows = df.limit(most + 1).collect() if most else []
+    return rows if most and len(rows) <= most else None
+
+
+def closure(edges: DataFrame, seeds: DataFrame, with_seeds: bool = False, most_local: int = FEW) -> DataFrame:
+    """node: everything that hard edges reach from the seeds (a column node). Ends on cycles.
+
+    Up to most_local edges, one job brings them to the driver; beyond, every round joins and is stored.
+    """
+    hard, first = edges.filter("kind = 'hard'").select("src", "dst").distinct(), seeds.select("node").distinct()
+    rows = _few(hard, most_local)
+    starts = None if rows is None else _few(first, most_local)
+    if starts is not None:
+        below: dict = {}
+        for r in rows:
+            below.setdefault(r["src"], []).append(r["dst"])
+        begun = [r["node"] for r in starts]
+        seen, todo = set(begun), list(begun)
+        while todo:
+            for v in below.get(todo.pop(), ()):
+                if v not in seen:
+                    seen.add(v)
+                    todo.append(v)
+        return edges.sparkSession.createDataFrame([(v,) for v in seen if with_seeds or v not in set(begun)], f"node {first.schema['node'].dataType.simpleString()}")
+    hard = stored(hard)
+    seen = stored(first)
     front = seen
     while not front.isEmpty():
         reached = front.join(hard, F.col("node") == F.col("src")).select(F.col("dst").alias("node")).distinct()
         front = stored(reached.join(seen, "node", "left_anti"))
         seen = stored(seen.union(front))
-    return seen if with_seeds else seen.join(seeds.select("node").distinct(), "node", "left_anti")
+    return seen if with_seeds else seen.join(first, "node", "left_anti")
+
+
+def _circle(left: list) -> CycleError:
+    return CycleError("objects depend on each other in a circle: " + ", ".join(sorted(map(str, left))[:10]))
 
 
-def levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def levels(nodes: DataFrame, edges: DataFrame, most_local: int = FEW) -> DataFrame:
     """node, level: the length of the longest way to a node from one without dependencies; CycleError where there is none.
 
-    Each round takes the nodes whose dependencies are all placed; soft edges count.
+    Each round takes the nodes whose dependencies are all placed; soft edges count. Up to most_local nodes and edges, one job each brings
+    them to the driver; beyond, every round joins and is stored.
     """
-    left = stored(nodes.select("node").distinct())
-    todo = stored(edges.select("src", "dst").filter("src is not null and dst is not null").distinct())
-    out, level = None, 0
+    every, pairs = nodes.select("node").distinct(), edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
+    rows = _few(pairs, most_local)
+    names = None if rows is None else _few(every, most_local)
+    if names is not None:
+        waits = {r["node"]: 0 for r in names}
+        after: dict = {}
+        for r in rows:
+            if r["src"] in waits and r["dst"] in waits:
+                waits[r["dst"]] += 1
+                after.setdefault(r["src"], []).append(r["dst"])
+            elif r["dst"] in waits:
+                waits[r["dst"]] += 1  # on a node that is never placed
+        level = {v: 0 for v, n in waits.items() if not n}
+        todo = list(level)
+        for v in todo:
+            for w in after.get(v, ()):
+                waits[w] -= 1
+                if not waits[w]:
+                    level[w] = level[v] + 1  # nodes come by level: v is the last of w's dependencies, and the deepest
+                    todo.append(w)
+        if len(level) < len(waits):
+            raise _circle([v for v in waits if v not in level])
+        return nodes.sparkSession.createDataFrame(list(level.items()), f"node {every.schema['node'].dataType.simpleString()}, level int")
+    left, todo, out, n = stored(every), stored(pairs), None, 0
     while not left.isEmpty():
         ready = stored(left.join(todo.select(F.col("dst").alias("node")), "node", "left_anti"))
         if ready.isEmpty():
-            raise CycleError("objects depend on each other in a circle: " + ", ".join(str(r["node"]) for r in left.orderBy("node").limit(10).collect()))
-        placed = ready.withColumn("level", F.lit(level))
+            raise _circle([r["node"] for r in left.orderBy("node").limit(10).collect()])
+        placed = ready.withColumn("level", F.lit(n))
         out = placed if out is None else out.union(placed)
         left = stored(left.join(ready, "node", "left_anti"))
         todo = stored(todo.join(ready.select(F.col("node").alias("src")), "src", "left_anti"))
-        level += 1
-    return nodes.select("node", F.lit(0).alias("level")).limit(0) if out is None else out
+        n += 1
+    return every.withColumn("level", F.lit(0)).limit(0) if out is None else out
 
 
 def has_cycle(nodes: DataFrame, edges: DataFrame) -> bool:

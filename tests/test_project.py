@@ -130,9 +130,11 @@ def test_graphs_against_plain_python(spark):
                 if x == a and (x + y) % 4 and y not in seen:
                     seen.add(y)
                     todo.append(y)
-        assert {r.node for r in graph.closure(edges, nodes.filter("node = 3")).collect()} == seen - {3}
+        for most in (0, graph.FEW):
+            assert {r.node for r in graph.closure(edges, nodes.filter("node = 3"), most_local=most).collect()} == seen - {3}
         if acyclic:
-            level = {r.node: r.level for r in graph.levels(nodes, edges).collect()}
+            level = {r.node: r.level for r in graph.levels(nodes, edges, most_local=0).collect()}
+            assert level == {r.node: r.level for r in graph.levels(nodes, edges).collect()}
             assert all(level[a] < level[b] for a, b in pairs) and all(level[b] == max([level[a] + 1 for a, c in pairs if c == b], default=0) for b in range(15))
     ring = spark.createDataFrame([(1, 2, "hard"), (2, 1, "soft")], "src long, dst long, kind string")
     assert graph.has_cycle(spark.range(1, 3).withColumnRenamed("id", "node"), ring)
