@@ -2,7 +2,7 @@
 
 1. Terms are learned from a bounded sample of labelled training rows: words, and beginnings of words, that stand in many toxic texts and in
    almost no others; a short list of common insults is added.
-2. All terms form one trie. The Levenshtein automata of its terms (one edit from 5 letters on, two from 9 on) run over the trie together as one
+2. All terms form one trie. The Levenshtein automata of its terms (one edit from 5 letters on, two from 9 on; none for rare learned terms) run over the trie together as one
    automaton whose states, sets of (node, edits), are worked out when first met and then kept: a word is read once, whatever the
    size of the lexicon, and most words end after a few letters.
 3. Every meeting is read in its window: quotation marks around it or words of reporting near it speak for quotation, words of address for abuse.
@@ -34,6 +34,8 @@ from .common import bound_batches, staged, table
 SAMPLE = 4000
 #: Terms of the lexicon at most; texts that a term has to stand in; and how much more often in toxic texts.
 MOST_TERMS, LEAST_TEXTS, LEAST_ODDS = 3000, 5, 30.0
+#: A learned term in fewer of the sample's toxic texts than this share has to be met exactly.
+FUZZY_SHARE = 0.05
 #: Lengths of beginnings that are tried as terms.
 STEMS = (4, 5, 6, 7)
 #: Common insults: fixed values.
@@ -58,9 +60,11 @@ def edits_for(length: int) -> int:
 
 
 class FuzzyLexicon:
-    """Terms in a trie, met by words within the edits that a term's length allows. A stem is met by words that begin with it."""
+    """Terms in a trie, met by words within the edits that a term's length allows; exact ones by themselves only. A stem is met by words that
+    begin with it."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float] | None = None):
+    def __init__(self, words: dict[str, float], stems: dict[str, float] | None = None, exact: frozenset[str] = frozenset()):
+        self.exact = exact
         self.child: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.stem: list[str | None] = [None]
@@ -68,7 +72,7 @@ class FuzzyLexicon:
         self.weight = {**(stems or {}), **words}
         for kind, terms in ((self.term, words), (self.stem, stems or {})):
             for text in terms:
-                node, edits = 0, edits_for(len(text)) if kind is self.term else 0
+                node, edits = 0, self.edits(text) if kind is self.term else 0
                 self.allowed[0] = max(self.allowed[0], edits)
                 for c in text:
                     if c not in self.child[node]:
@@ -79,6 +83,9 @@ class FuzzyLexicon:
                 kind[node] = text
         self.reset()
 
+    def edits(self, term: str) -> int:
+        return 0 if term in self.exact else edits_for(len(term))
+
     def reset(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[dict[int, int]] = []
@@ -105,7 +112,7 @@ class FuzzyLexicon:
             self.states[key] = len(self.sets)
             self.sets.append(nodes)
             self.next.append({})
-            met = [(e, self.term[v]) for v, e in nodes.items() if self.term[v] and e <= edits_for(len(self.term[v]))]
+            met = [(e, self.term[v]) for v, e in nodes.items() if self.term[v] and e <= self.edits(self.term[v])]
             self.ends.append(min(met)[::-1] if met else None)
             self.starts.append(max((self.stem[v] for v, e in nodes.items() if e == 0 and self.stem[v]), key=len, default=None))
         return self.states[key]
@@ -232,8 +239,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFra
     return staged(docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", "toxic"), "sample")
 
 
-def learned_terms(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
-    """Words and stems with the logarithm of their odds."""
+def learned_terms(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], frozenset[str]]:
+    """Words and stems with the logarithm of their odds, and the words that are too rare to be met with edits."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: tuple[Counter, Counter] = (Counter(), Counter())
@@ -253,7 +260,7 @@ def learned_terms(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
 
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
-        return {}, {}
+        return {}, {}, frozenset()
     sums = sample.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = ((F.col("toxic") + 0.1) / sizes[1]) / ((F.col("clean") + 0.1) / sizes[0])
     best = sums.filter(F.col("toxic") >= LEAST_TEXTS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("toxic"), "term").limit(MOST_TERMS).collect()
@@ -265,14 +272,14 @@ def learned_terms(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
         # a stem is worth keeping if a shorter one is not kept already and it is not the beginning of a single word
         if r["toxic"] >= 2 * LEAST_TEXTS and whole != 1 and not any(stem.startswith(s) for s in stems):
             stems[stem] = float(np.log(r["odds"]))
-    return words, stems
+    return words, stems, frozenset(r["term"] for r in best if r["toxic"] < FUZZY_SHARE * sizes[1]) - frozenset(INSULTS)
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Scorer:
     """A scorer learned from labelled training rows."""
     sample = sample_of(docs, labels, most)
-    words, stems = learned_terms(sample)
-    lexicon = FuzzyLexicon({t: 3.0 for t in INSULTS} | words, stems)
+    words, stems, exact = learned_terms(sample)
+    lexicon = FuzzyLexicon({t: 3.0 for t in INSULTS} | words, stems, exact)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(lexicon)
@@ -295,11 +302,11 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Scorer:
 def toxicity(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs."""
     bound_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast((scorer.lexicon.weight, [t for t in scorer.lexicon.term if t], [t for t in scorer.lexicon.stem if t], scorer.weights, scorer.scale))
+    sent = docs.sparkSession.sparkContext.broadcast((scorer.lexicon.weight, [t for t in scorer.lexicon.term if t], [t for t in scorer.lexicon.stem if t], scorer.lexicon.exact, scorer.weights, scorer.scale))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, words, stems, weights, scale = sent.value
-        own = Scorer(FuzzyLexicon({t: weight[t] for t in words}, {t: weight[t] for t in stems}), weights, scale)
+        weight, words, stems, exact, weights, scale = sent.value
+        own = Scorer(FuzzyLexicon({t: weight[t] for t in words}, {t: weight[t] for t in stems}, exact), weights, scale)
         reader = Reader(own.lexicon)
         for batch in batches:
             rows = np.array([reader.features(t) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
