@@ -2,9 +2,10 @@
 
 1. Terms are learned from a bounded sample of labelled training rows: words, and beginnings of words, that stand in many toxic texts and in
    almost no others; a short list of common insults is added.
-2. All terms form one trie. The Levenshtein automata of its terms (one edit from 5 letters on, two from 9 on; none for rare learned terms) run over the trie together as one
+2. All terms form one trie. The Levenshtein automata of its terms (one edit from 5 letters on, two from 9 on) run over the trie together as one
    automaton whose states, sets of (node, edits), are worked out when first met and then kept: a word is read once, whatever the
-   size of the lexicon, and most words end after a few letters.
+   size of the lexicon, and most words end after a few letters. Words that hold no whole piece of a term, of its letters but for the edits,
+   cannot meet one and are not read; a worker keeps its automaton from task to task.
 3. Every meeting is read in its window: quotation marks around it or words of reporting near it speak for quotation, words of address for abuse.
 4. A logistic regression, fitted on the sample and weighted back to the labels' own shares, turns counts into a score.
 
@@ -19,9 +20,10 @@ the short list and the score is 0.9 with two unquoted meetings or more, 0.1 othe
 from __future__ import annotations
 
 import re
-from collections import Counter
-from collections.abc import Iterator
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +36,6 @@ from .common import bound_batches, staged, table
 SAMPLE = 4000
 #: Terms of the lexicon at most; texts that a term has to stand in; and how much more often in toxic texts.
 MOST_TERMS, LEAST_TEXTS, LEAST_ODDS = 3000, 5, 30.0
-#: A learned term in fewer of the sample's toxic texts than this share has to be met exactly.
-FUZZY_SHARE = 0.05
 #: Lengths of beginnings that are tried as terms.
 STEMS = (4, 5, 6, 7)
 #: Common insults: fixed values.
@@ -59,12 +59,18 @@ def edits_for(length: int) -> int:
     return 2 if length >= 9 else 1 if length >= 5 else 0
 
 
+def letters_of(word: str) -> int:
+    """The letters of a word as a set of bits; some letters share one."""
+    bits = 0
+    for c in word:
+        bits |= 1 << ord(c) % 61
+    return bits
+
+
 class FuzzyLexicon:
-    """Terms in a trie, met by words within the edits that a term's length allows; exact ones by themselves only. A stem is met by words that
-    begin with it."""
+    """Terms in a trie, met by words within the edits that a term's length allows. A stem is met by words that begin with it."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float] | None = None, exact: frozenset[str] = frozenset()):
-        self.exact = exact
+    def __init__(self, words: dict[str, float], stems: dict[str, float] | None = None):
         self.child: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.stem: list[str | None] = [None]
@@ -72,7 +78,7 @@ class FuzzyLexicon:
         self.weight = {**(stems or {}), **words}
         for kind, terms in ((self.term, words), (self.stem, stems or {})):
             for text in terms:
-                node, edits = 0, self.edits(text) if kind is self.term else 0
+                node, edits = 0, edits_for(len(text)) if kind is self.term else 0
                 self.allowed[0] = max(self.allowed[0], edits)
                 for c in text:
                     if c not in self.child[node]:
@@ -81,10 +87,39 @@ class FuzzyLexicon:
                     node = self.child[node][c]
                     self.allowed[node] = max(self.allowed[node], edits)
                 kind[node] = text
+        self.beginnings = tuple(stems or {})
+        self.pieces = self._pieces(words)
         self.reset()
 
-    def edits(self, term: str) -> int:
-        return 0 if term in self.exact else edits_for(len(term))
+    @staticmethod
+    def _pieces(words: Iterable[str]) -> dict[int, list[tuple[int, int, dict[str, tuple[tuple[int, int], ...]]]]]:
+        """For each length of a word its slices and what they hold in a word that meets a term, with the term's letters and edits.
+
+        A term is cut into one piece more than it has edits, so that one piece is left whole: the first where it was, the last at the word's
+        end, or the middle one between an edit on either side.
+        """
+        found: dict[int, dict] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
+        for text in words:
+            size, edits = len(text), edits_for(len(text))
+            cuts = [size * k // (edits + 1) for k in range(edits + 2)]
+            for n in range(size - edits, size + edits + 1):
+                for k in range(edits + 1):
+                    piece = text[cuts[k] : cuts[k + 1]]
+                    for a in [0] if k == 0 else [n - len(piece)] if k == edits else range(cuts[k] - 1, cuts[k] + 2):
+                        found[n][a, a + len(piece)][piece].add((letters_of(text), edits))
+        return {n: [(a, b, {piece: tuple(terms) for piece, terms in held.items()}) for (a, b), held in slices.items()] for n, slices in found.items()}
+
+    def may_meet(self, word: str) -> bool:
+        """False for words that meet no term: what is left is read."""
+        letters = None
+        for a, b, held in self.pieces.get(len(word), ()):
+            terms = held.get(word[a:b])
+            if terms is not None:
+                letters = letters_of(word) if letters is None else letters
+                for own, edits in terms:
+                    if (letters & ~own).bit_count() <= edits and (own & ~letters).bit_count() <= edits:
+                        return True
+        return word.startswith(self.beginnings)
 
     def reset(self) -> None:
         self.states: dict[frozenset, int] = {}
@@ -112,7 +147,7 @@ class FuzzyLexicon:
             self.states[key] = len(self.sets)
             self.sets.append(nodes)
             self.next.append({})
-            met = [(e, self.term[v]) for v, e in nodes.items() if self.term[v] and e <= self.edits(self.term[v])]
+            met = [(e, self.term[v]) for v, e in nodes.items() if self.term[v] and e <= edits_for(len(self.term[v]))]
             self.ends.append(min(met)[::-1] if met else None)
             self.starts.append(max((self.stem[v] for v, e in nodes.items() if e == 0 and self.stem[v]), key=len, default=None))
         return self.states[key]
@@ -137,6 +172,8 @@ class FuzzyLexicon:
 
     def meet(self, word: str) -> tuple[str, int, bool] | None:
         """(term, edits, as stem) of the nearest term that a word meets; equally near ones by name."""
+        if not self.may_meet(word):
+            return None
         if len(self.sets) > MOST_STATES:
             self.reset()
         state, stem = self.first, None
@@ -205,6 +242,12 @@ class Reader:
         return [np.log1p(exact), np.log1p(fuzzy), np.log1p(stems), np.log1p(quoted), np.log1p(addressed), min(1.0, (exact + stems) * 20 / len(words)), np.log1p(len(terms)), np.log1p(weight)]
 
 
+@lru_cache(maxsize=1)
+def kept_reader(words: tuple[tuple[str, float], ...], stems: tuple[tuple[str, float], ...]) -> Reader:
+    """A reader that a worker keeps: tasks with the same lexicon go on with its words and states."""
+    return Reader(FuzzyLexicon(dict(words), dict(stems)))
+
+
 @dataclass
 class Scorer:
     lexicon: FuzzyLexicon
@@ -239,8 +282,8 @@ def sample_of(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFra
     return staged(docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", "toxic"), "sample")
 
 
-def learned_terms(sample: DataFrame) -> tuple[dict[str, float], dict[str, float], frozenset[str]]:
-    """Words and stems with the logarithm of their odds, and the words that are too rare to be met with edits."""
+def learned_terms(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
+    """Words and stems with the logarithm of their odds."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: tuple[Counter, Counter] = (Counter(), Counter())
@@ -260,7 +303,7 @@ def learned_terms(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
 
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
-        return {}, {}, frozenset()
+        return {}, {}
     sums = sample.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = ((F.col("toxic") + 0.1) / sizes[1]) / ((F.col("clean") + 0.1) / sizes[0])
     best = sums.filter(F.col("toxic") >= LEAST_TEXTS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("toxic"), "term").limit(MOST_TERMS).collect()
@@ -272,14 +315,14 @@ def learned_terms(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
         # a stem is worth keeping if a shorter one is not kept already and it is not the beginning of a single word
         if r["toxic"] >= 2 * LEAST_TEXTS and whole != 1 and not any(stem.startswith(s) for s in stems):
             stems[stem] = float(np.log(r["odds"]))
-    return words, stems, frozenset(r["term"] for r in best if r["toxic"] < FUZZY_SHARE * sizes[1]) - frozenset(INSULTS)
+    return words, stems
 
 
 def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Scorer:
     """A scorer learned from labelled training rows."""
     sample = sample_of(docs, labels, most)
-    words, stems, exact = learned_terms(sample)
-    lexicon = FuzzyLexicon({t: 3.0 for t in INSULTS} | words, stems, exact)
+    words, stems = learned_terms(sample)
+    lexicon = FuzzyLexicon({t: 3.0 for t in INSULTS} | words, stems)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader(lexicon)
@@ -302,12 +345,13 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Scorer:
 def toxicity(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs."""
     bound_batches(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast((scorer.lexicon.weight, [t for t in scorer.lexicon.term if t], [t for t in scorer.lexicon.stem if t], scorer.lexicon.exact, scorer.weights, scorer.scale))
+    weight = scorer.lexicon.weight
+    sent = docs.sparkSession.sparkContext.broadcast((*[tuple((t, weight[t]) for t in terms if t) for terms in (scorer.lexicon.term, scorer.lexicon.stem)], scorer.weights, scorer.scale))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, words, stems, exact, weights, scale = sent.value
-        own = Scorer(FuzzyLexicon({t: weight[t] for t in words}, {t: weight[t] for t in stems}, exact), weights, scale)
-        reader = Reader(own.lexicon)
+        words, stems, weights, scale = sent.value
+        reader = kept_reader(words, stems)
+        own = Scorer(reader.lexicon, weights, scale)
         for batch in batches:
             rows = np.array([reader.features(t) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
             score = own.score(rows)

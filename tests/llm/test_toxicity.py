@@ -66,3 +66,26 @@ def test_without_labels(spark):
     out = {r.doc_id: r.predicted for r in toxicity(docs, scorer).collect()}
     assert out[None] == 1 and out[1000] == 0
     assert toxicity(docs.filter(F.lit(False)), scorer).collect() == []
+
+
+def test_rare_learned_terms_keep_their_edits(spark):
+    rows = [(k, "one two three " + ("grimblatz" if k < 32 and k % 4 == 0 else "moron" if k % 4 == 0 else "four"), int(k % 4 == 0)) for k in range(1200)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    lexicon = fitted(docs, spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")).lexicon
+    assert "grimblatz" in lexicon.term and lexicon.meet("grimblotz") == ("grimblatz", 1, False) and lexicon.meet("grmblotz") == ("grimblatz", 2, False)
+
+
+def test_words_left_unread_meet_nothing():
+    rng = random.Random(7)
+    word = lambda lo, hi: "".join(rng.choice("abcdefgh") for _ in range(rng.randrange(lo, hi)))
+    terms = [word(3, 13) for _ in range(60)]
+    lexicon = FuzzyLexicon(dict.fromkeys(terms, 1.0), {"abcd": 1.0})
+    for _ in range(4000):
+        t = list(rng.choice(terms))
+        for _ in range(rng.randrange(4)):
+            at = rng.randrange(len(t) + 1)
+            t[at : at + rng.randrange(2)] = rng.choice(["", "a", "z"])
+        w = "".join(t)
+        if any(distance(w, x) <= edits_for(len(x)) for x in terms):
+            assert lexicon.may_meet(w) and lexicon.meet(w) is not None
+    assert lexicon.may_meet("abcdzzzzzzzzzzzzzzzzzzzzz") and not lexicon.may_meet("zzzzzzzzz")
