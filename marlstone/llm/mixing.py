@@ -2,10 +2,11 @@
 
 1. A multinomial classifier over letter counts is summed up from labelled rows of known domain, and gives every document a posterior for each
    domain: the softmax of its mean log-likelihood a letter, sharpened by the root of its length up to SHARPEST.
-2. Rates r >= 0 minimize sum_d (S_d - T_d)^2 / v_d, with S_d = sum_i r_i n_i p_id the expected tokens of domain d, T_d its target, and v_d the larger of
-   T_d and S_d at r = 1. Projected gradient from r = 1, in the metric that scales document i by its tokens n_i: r_i <- max(0, r_i - step * sum_d p_id (S_d - T_d) / v_d). Every
-   round is one sum over the stored posteriors; a document's rate is a function of the rounds' few numbers, so only every
-   STORED rounds are rates written.
+2. Rates r >= 0 minimize sum_d (S_d - T_d)^2 / v_d + e * sum_i n_i (r_i - 1)^2, with S_d = sum_i r_i n_i p_id the expected tokens of domain d, T_d its
+   target, and v_d the larger of T_d and S_d at r = 1. A document's rate is max(0, 1 + sum_d p_id m_d) with one multiplier m_d for each domain,
+   found by Newton steps on the dual: every round is one sum over the stored posteriors, and rates are written once. e falls from the first of
+   PULLS to the next until each target is met within CLOSE of v_d; where even the last leaves a gap, rates are those nearest to the targets,
+   and a warning names the domains and their gaps.
 3. A document is emitted floor(r + u) times, u being a uniform hash of its doc_id: expected counts are the rates, and equal runs give equal rows.
 
 Defined cases: a null or empty text has no tokens, the domains' shares as its posterior, and a rate like others; a domain of null is left out of
@@ -15,6 +16,7 @@ equal rates and counts.
 
 from __future__ import annotations
 
+import warnings
 from functools import reduce
 from math import log
 
@@ -28,7 +30,7 @@ LETTERS = "aeinoshtwkzyqulcdéèçñóíüöäß"
 SHARPEST, MOST_DOMAINS = 12.0, 64
 #: Targets are the posteriors' token shares to this power, where none are given: rare domains gain.
 POWER = 0.7
-ROUNDS, STORED, CLOSE = 40, 6, 1e-3
+CLOSE, PULLS = 1e-3, (1e-4, 1e-6, 1e-8, 1e-10, 1e-12)
 
 
 def letter_counts(docs: DataFrame) -> DataFrame:
@@ -68,37 +70,78 @@ def posteriors(counts: DataFrame, model: dict[str, tuple[float, list[float]]]) -
     return fit.select(*[c for c in fit.columns if not c.startswith("_l")], *[(p / whole).alias(f"p{k}") for k, p in enumerate(powers)])
 
 
-def fitted_rates(rows: DataFrame, domains: int, weights: list[float] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def solved(matrix: list[list[float]], right: list[float]) -> list[float]:
+    """The solution of a small positive definite system, by Gaussian elimination."""
+    rows, n = [[*row, x] for row, x in zip(matrix, right, strict=True)], len(right)
+    for k in range(n):
+        top = max(range(k, n), key=lambda i: abs(rows[i][k]))
+        rows[k], rows[top] = rows[top], rows[k]
+        for i in range(k + 1, n):
+            f = rows[i][k] / rows[k][k]
+            rows[i] = [a - f * b for a, b in zip(rows[i], rows[k], strict=True)]
+    out = [0.0] * n
+    for k in reversed(range(n)):
+        out[k] = (rows[k][n] - sum(rows[k][j] * out[j] for j in range(k + 1, n))) / rows[k][k]
+    return out
+
+
+def fitted_rates(rows: DataFrame, domains: int, weights: list[float] | None = None, names: list[str] | None = None) -> DataFrame:
     """rows (stored, with n_tokens and p0, p1, ...) with a rate; weights: the domains' target shares, by default those of POWER."""
     p = [F.col(f"p{k}") for k in range(domains)]
     n = F.col("n_tokens").cast("double")
     pairs = [(a, b) for a in range(domains) for b in range(a, domains)]
-    told = rows.agg(*[F.coalesce(F.sum(n * x), F.lit(0.0)).alias(f"s{k}") for k, x in enumerate(p)], *[F.coalesce(F.sum(n * p[a] * p[b]), F.lit(0.0)).alias(f"g{a}_{b}") for a, b in pairs]).first()
-    have = [told[f"s{k}"] for k in range(domains)]
-    total = sum(have)
-    rows = rows.withColumn("rate", F.lit(1.0))
+
+    def rate(by: list[float]) -> Column:
+        return F.greatest(F.lit(0.0), F.lit(1.0) + reduce(lambda a, b: a + b, [x * F.lit(m) for x, m in zip(p, by, strict=True)]))
+
+    def told(by: list[float]) -> tuple[list[float], dict[tuple[int, int], float], float]:
+        """Tokens by domain, their growth with the multipliers, and half the sum of n * rate^2."""
+        zero, r = F.lit(0.0), F.col("_r")
+        moving = F.when(r > 0, n).otherwise(zero)
+        sums = {f"s{k}": r * n * x for k, x in enumerate(p)} | {f"g{a}_{b}": moving * p[a] * p[b] for a, b in pairs} | {"half": n * r * r / 2}
+        got = rows.withColumn("_r", rate(by)).agg(*[F.coalesce(F.sum(x), zero).alias(c) for c, x in sums.items()]).first()
+        return [got[f"s{k}"] for k in range(domains)], {(a, b): got[f"g{a}_{b}"] for a, b in pairs}, got["half"]
+
+    by = [0.0] * domains
+    at, grown, half = told(by)
+    total = sum(at)
     if not total:
-        return rows
-    shares = weights or [max(h, 1e-9 * total) ** POWER for h in have]
+        return rows.withColumn("rate", F.lit(1.0))
+    shares = weights or [max(h, 1e-9 * total) ** POWER for h in at]
     want = [total * w / sum(shares) for w in shares]
-    size = [max(h, t, 1e-9 * total) for h, t in zip(have, want, strict=True)]
-    gram = {(a, b): told[f"g{min(a, b)}_{max(a, b)}"] / (size[a] * size[b]) ** 0.5 for a in range(domains) for b in range(domains)}
-    step = 1 / max(sum(gram[a, b] for b in range(domains)) for a in range(domains))  # rows of the scaled Gram matrix bound its largest eigenvalue
-    rate, at, kept = F.col("rate"), have, [rows]
-    for k in range(rounds):
-        gaps = [(s - t) / v for s, t, v in zip(at, want, size, strict=True)]
-        if max(abs(g) for g in gaps) < CLOSE:
+    size = [max(h, t, 1e-9 * total) for h, t in zip(at, want, strict=True)]
+
+    def gaps() -> list[float]:
+        return [(s - t) / v for s, t, v in zip(at, want, size, strict=True)]
+
+    def met() -> bool:
+        return max(map(abs, gaps())) < CLOSE
+
+    for pull in PULLS:
+        while not met():
+            slope = [g + pull * m for g, m in zip(gaps(), by, strict=True)]  # of the dual, over size
+            if max(map(abs, slope)) < CLOSE / 10:
+                break
+            scaled = [[grown[min(a, b), max(a, b)] / (size[a] * size[b]) ** 0.5 + pull * (a == b) for b in range(domains)] for a in range(domains)]
+            step = [-x / v**0.5 for x, v in zip(solved(scaled, [g * v**0.5 for g, v in zip(slope, size, strict=True)]), size, strict=True)]
+            fall = sum(g * v * x for g, v, x in zip(slope, size, step, strict=True))
+            dual = lambda half, by: half - sum(t * m for t, m in zip(want, by, strict=True)) + pull / 2 * sum(v * m * m for v, m in zip(size, by, strict=True))
+            now, part = dual(half, by), 1.0
+            while part > 1e-9:
+                there = [m + part * x for m, x in zip(by, step, strict=True)]
+                found = told(there)
+                if dual(found[2], there) <= now + 1e-4 * part * fall:
+                    break
+                part /= 2
+            else:
+                break  # no step falls within the precision of sums
+            by, (at, grown, half) = there, found
+        if met():
             break
-        rate = F.greatest(F.lit(0.0), rate - reduce(lambda a, b: a + b, [x * F.lit(step * g) for x, g in zip(p, gaps, strict=True)]))
-        if k % STORED == STORED - 1:
-            rows = staged(rows.withColumn("rate", rate), "rates")
-            if len(kept) > 1:
-                discard(kept[-1])
-            kept.append(rows)
-            rate = F.col("rate")
-        now = rows.agg(*[F.coalesce(F.sum(rate * n * x), F.lit(0.0)).alias(f"s{j}") for j, x in enumerate(p)]).first()
-        at = [now[f"s{j}"] for j in range(domains)]
-    return rows.withColumn("rate", rate)
+    else:
+        left = {names[k] if names else k: round(g, 4) for k, g in enumerate(gaps()) if abs(g) >= CLOSE}
+        warnings.warn(f"targets that no rates meet, with their gaps over the larger of tokens and target: {left}", stacklevel=2)
+    return rows.withColumn("rate", rate(by))
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
@@ -120,7 +163,7 @@ def mixture(docs: DataFrame, labels: DataFrame, domain: str = "lang", weights: d
         return counts.select("doc_id", "n_tokens", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
     names = list(model)
     rows = staged(posteriors(counts.drop("_domain"), model), "posteriors")
-    rated = fitted_rates(rows, len(names), None if weights is None else [weights.get(d, 0.0) for d in names])
+    rated = fitted_rates(rows, len(names), None if weights is None else [weights.get(d, 0.0) for d in names], names)
     best = F.greatest(*[F.col(f"p{k}") for k in range(len(names))]) if len(names) > 1 else F.col("p0")
     name = F.coalesce(*[F.when(F.col(f"p{k}") == best, F.lit(d)) for k, d in enumerate(names)])
     discard(counts)

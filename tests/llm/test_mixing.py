@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from marlstone.llm.mixing import fitted_rates, mixed, mixture
@@ -47,3 +48,20 @@ def test_empty_and_unlabelled(spark):
     docs, labels = data(spark)
     assert mixture(docs.filter(F.lit(False)), labels).collect() == []
     assert {r.rate for r in mixture(docs, labels.filter(F.lit(False))).collect()} == {1.0}
+
+
+def test_rare_domain_reaches_its_target(spark):
+    rows = [(k, 10, 0.02, 0.98) for k in range(3000)] + [(3000 + k, 10, 0.97, 0.03) for k in range(2)]
+    rows = spark.createDataFrame(rows, "doc_id long, n_tokens long, p0 double, p1 double")
+    for share in (0.25, 0.85):
+        out = fitted_rates(rows, 2, [share, 1 - share]).collect()
+        got = [sum(r.rate * r.n_tokens * r[f"p{k}"] for r in out) / 30_020 for k in range(2)]
+        assert abs(got[0] - share) < 0.002 and abs(got[1] - 1 + share) < 0.002 and min(r.rate for r in out) >= 0
+
+
+def test_targets_out_of_reach_are_told(spark):
+    rows = spark.createDataFrame([(k, 10, 0.6, 0.4) for k in range(20)], "doc_id long, n_tokens long, p0 double, p1 double")
+    with pytest.warns(UserWarning, match="no rates meet"):
+        out = fitted_rates(rows, 2, [0.9, 0.1]).collect()
+    # the least of (6x - 9)^2 / 9 + (4x - 1)^2 / 4 stands where (36 / 9 + 16 / 4) x = 54 / 9 + 4 / 4
+    assert all(abs(r.rate - 7 / 8) < 0.01 for r in out)
