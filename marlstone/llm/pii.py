@@ -85,12 +85,15 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 #: Generators: a pattern matched around a digit. They overlap on purpose.
 GENERATORS = {
-    "secret": re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*[0-9])[A-Za-z0-9_/+=-]{16,200}"),
+    "secret": re.compile(r"(?<![A-Za-z0-9_/+-])(?=[A-Za-z_/+-]*[0-9])[A-Za-z0-9_/+=-]{16,}"),
     "national": re.compile(r"(?<![0-9.-])[0-9]{3}[- ]?[0-9]{2}[- ]?[0-9]{4}(?![0-9-])"),
     "account": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     "telephone": re.compile(r"(?<![0-9.+])\(?0?[0-9]{2,4}\)?[ ./-]?[0-9]{3,4}[ ./-]?[0-9]{3,5}(?![0-9-])"),
     "birth": re.compile(r"(?<![0-9])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})(?![0-9])"),
 }
+#: What a secret is made of: windows never end within a run of it.
+RUN = re.compile(r"[A-Za-z0-9_/+=-]+")
+RUN_CHARACTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_/+=-")
 #: Words that stand near such data, by kind: fixed values.
 CONTEXT = {
     "secret": ("token", "secret", "password", "passwd", "pwd", "key", "apikey", "api_key", "bearer", "auth", "credential"),
@@ -198,6 +201,11 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
         lo = text.rfind("\n", lo, at) + 1 if text.rfind("\n", lo, at) >= 0 else lo
         end = text.find("\n", at)
         hi = min(len(text) if end < 0 else end, at + 220)
+        free = windows[-1][1] if windows else 0
+        while lo > free and text[lo - 1] in RUN_CHARACTERS:
+            lo -= 1
+        run = RUN.match(text, hi)
+        hi = run.end() if run else hi
         if windows and lo <= windows[-1][1]:
             windows[-1] = (windows[-1][0], max(hi, windows[-1][1]))
         else:

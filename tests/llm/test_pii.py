@@ -7,7 +7,7 @@ import re
 import numpy as np
 
 from marlstone.llm.boosting import BoostedTrees
-from marlstone.llm.pii import BASE, base_spans, find_personal_data, luhn, redacted, replaced, templates, written
+from marlstone.llm.pii import BASE, base_spans, candidates, find_personal_data, luhn, redacted, replaced, templates, written
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -69,3 +69,14 @@ def test_trees_learn_an_interaction():
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
     m = BoostedTrees(60).fit(x[:1000], y[:1000]).calibrate(x[1000:1500], y[1000:1500])
     assert ((m.probability(x[1500:]) > 0.5) == (y[1500:] == 1)).mean() > 0.95
+
+
+def test_long_secrets_go_whole():
+    rng = random.Random(5)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    for n in (199, 201, 600, 5000):
+        secret = "sk-" + "".join(rng.choice(alphabet) for _ in range(n))
+        assert replaced(f'token = "{secret}" ok') == 'token = "[SECRET]" ok'
+    part = "".join(rng.choice(alphabet[:52]) for _ in range(400))
+    for secret in (f"7{part}", f"{part}7", f"{part}7{part}"):
+        assert ("secret", 9, 9 + len(secret)) in candidates(f'token = "{secret}" ok')
