@@ -1,7 +1,7 @@
 """Dependency graphs as DataFrames: edges, neighbours, closures, levels and cycles.
 
 edges has src (what is depended on), dst (the dependent) and kind (hard or soft). Loops run on the driver over stored frames; what they collect is a
-count a round. Nodes are plain keys: strings or numbers.
+count a round. Nodes are plain keys: strings or numbers; in closures and levels a null is no node, and edges from or to it are left out.
 """
 
 from __future__ import annotations
@@ -59,7 +59,7 @@ def closure(edges: DataFrame, seeds: DataFrame, with_seeds: bool = False, most_l
 
     Up to most_local edges, one job brings them to the driver; beyond, every round joins and is stored.
     """
-    hard, first = edges.filter("kind = 'hard'").select("src", "dst").distinct(), seeds.select("node").distinct()
+    hard, first = edges.filter("kind = 'hard' and src is not null and dst is not null").select("src", "dst").distinct(), seeds.select("node").filter("node is not null").distinct()
     rows = _few(hard, most_local)
     starts = None if rows is None else _few(first, most_local)
     if starts is not None:
@@ -94,7 +94,7 @@ def levels(nodes: DataFrame, edges: DataFrame, most_local: int = FEW) -> DataFra
     Each round takes the nodes whose dependencies are all placed; soft edges count. Up to most_local nodes and edges, one job each brings
     them to the driver; beyond, every round joins and is stored.
     """
-    every, pairs = nodes.select("node").distinct(), edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
+    every, pairs = nodes.select("node").filter("node is not null").distinct(), edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
     rows = _few(pairs, most_local)
     names = None if rows is None else _few(every, most_local)
     if names is not None:
