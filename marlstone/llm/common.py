@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Bytes that one Arrow batch between the JVM and a Python worker may hold.
 ARROW_BYTES = 8 << 20
+#: Bits of a map of ids that is sent to the workers, and ids that are sent themselves.
+ID_BITS, MOST_CHANCES = 1 << 24, 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,5 +84,37 @@ def slices(offsets: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]
         at = end
 
 
-def null_safe(df: DataFrame, *columns: str) -> DataFrame:
-    return df.select(*[F.col(c) for c in columns])
+def settled(df: DataFrame, **columns) -> DataFrame:
+    """df with further columns that are computed once a row: a generator of one row keeps later filters from being pushed into them."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
+def _place(column: str, turn: int):
+    return F.pmod(F.xxhash64(column, F.lit(turn)), F.lit(ID_BITS))
+
+
+def marked(df: DataFrame, ids: DataFrame, column: str, flag: str, turn: int = 0) -> DataFrame:
+    """df with a boolean flag: true where column is in ids (one column), and by chance for some others; false for nulls.
+
+    ids go to the workers as a map of ID_BITS bits, ID_BITS / 64 rows at most; df is not shuffled.
+    """
+    place = _place(ids.columns[0], turn)
+    words = ids.filter(F.col(ids.columns[0]).isNotNull()).select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("_word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("_bits"))
+    placed = df.withColumn("_p", F.when(F.col(column).isNotNull(), _place(column, turn)))
+    found = placed.join(F.broadcast(words), F.shiftright("_p", 6) == F.col("_word"), "left")
+    return found.withColumn(flag, F.coalesce(F.expr("getbit(_bits, cast(_p & 63 as int)) = 1"), F.lit(False))).drop("_p", "_word", "_bits")
+
+
+def left_out(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is not in dropped (stored, one column); rows of a null doc_id stay.
+
+    Texts stay where they are: a map of bits tells most of the rows that are kept, and the ids that it marks by chance are found from
+    ids alone. Only if these are over MOST_CHANCES, as with a map that is nearly full, the marked rows are dealt out for a join.
+    """
+    gone = dropped.select(F.col(dropped.columns[0]).alias("_gone"))
+    chance = staged(marked(docs.select("doc_id"), gone, "doc_id", "_hit").filter("_hit").select(F.col("doc_id").alias("_id")).distinct().join(gone, F.col("_id") == F.col("_gone"), "left_anti"), "chance")
+    flagged = marked(docs.withColumn("_doc", F.struct(*docs.columns)).select("doc_id", "_doc"), gone, "doc_id", "_hit")
+    if chance.count() <= MOST_CHANCES:
+        return flagged.join(F.broadcast(chance), F.col("doc_id") == F.col("_id"), "left").filter(~F.col("_hit") | F.col("_id").isNotNull()).select("_doc.*")
+    unsure = flagged.filter("_hit").join(chance, F.col("doc_id") == F.col("_id"), "left_semi")
+    return flagged.filter(~F.col("_hit")).unionByName(unsure).select("_doc.*")
