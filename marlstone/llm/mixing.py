@@ -23,7 +23,7 @@ from math import log
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, staged, table
+from .common import discard, settled, staged, table
 
 #: Letters whose shares tell languages apart.
 LETTERS = "aeinoshtwkzyqulcdéèçñóíüöäß"
@@ -34,11 +34,12 @@ CLOSE, PULLS = 1e-3, (1e-4, 1e-6, 1e-8, 1e-10, 1e-12)
 
 
 def letter_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens (words) and the count of each letter of every row."""
+    """docs without its text, with n_tokens (words) and the count of each letter of every row."""
     text = F.lower(F.coalesce("text", F.lit("")))
-    read = docs.select(*[c for c in docs.columns if c != "text"], text.alias("_t"))
-    n = F.length("_t")
-    return read.select(*[c for c in read.columns if c != "_t"], F.size(F.filter(F.split("_t", r"[ \t-\r]+"), lambda w: w != "")).cast("long").alias("n_tokens"), *[(n - F.length(F.replace("_t", F.lit(c), F.lit("")))).cast("long").alias(f"c{k}") for k, c in enumerate(LETTERS)])
+    read = docs.withColumn("_t", text).drop("text")
+    n = F.octet_length("_t")
+    counts = {f"c{k}": ((n - F.octet_length(F.replace("_t", F.lit(c), F.lit("")))) / F.lit(len(c.encode()))).cast("long") for k, c in enumerate(LETTERS)}
+    return settled(read, n_tokens=F.size(F.filter(F.split("_t", r"[ \t-\r]+"), lambda w: w != "")).cast("long"), **counts).drop("_t")
 
 
 def domain_model(counts: DataFrame, domain: str) -> dict[str, tuple[float, list[float]]]:
@@ -63,11 +64,12 @@ def posteriors(counts: DataFrame, model: dict[str, tuple[float, list[float]]]) -
     for prior, letters in model.values():
         ll = reduce(lambda a, b: a + b, [F.col(f"c{k}") * F.lit(w) for k, w in enumerate(letters)])
         logs.append(F.lit(prior) + F.when(F.col("_n") > 0, sharp * ll / F.col("_n")).otherwise(0.0))
-    fit = fit.select(*[c for c in counts.columns if not (c[0] == "c" and c[1:].isdigit())], *[x.alias(f"_l{k}") for k, x in enumerate(logs)])
+    letters = {f"c{k}" for k in range(len(LETTERS))}
+    fit = settled(fit, **{f"_l{k}": x for k, x in enumerate(logs)}).drop("_n", *letters)
     top = F.greatest(*[F.col(f"_l{k}") for k in range(len(logs))]) if len(logs) > 1 else F.col("_l0")
     powers = [F.exp(F.col(f"_l{k}") - top) for k in range(len(logs))]
     whole = reduce(lambda a, b: a + b, powers)
-    return fit.select(*[c for c in fit.columns if not c.startswith("_l")], *[(p / whole).alias(f"p{k}") for k, p in enumerate(powers)])
+    return settled(fit, **{f"p{k}": p / whole for k, p in enumerate(powers)}).drop(*[f"_l{k}" for k in range(len(logs))])
 
 
 def solved(matrix: list[list[float]], right: list[float]) -> list[float]:
@@ -85,28 +87,30 @@ def solved(matrix: list[list[float]], right: list[float]) -> list[float]:
     return out
 
 
-def fitted_rates(rows: DataFrame, domains: int, weights: list[float] | None = None, names: list[str] | None = None) -> DataFrame:
-    """rows (stored, with n_tokens and p0, p1, ...) with a rate; weights: the domains' target shares, by default those of POWER."""
+def rate_of(multipliers: list[float]) -> Column:
+    """The rate of a row with posteriors p0, p1, ..."""
+    return F.greatest(F.lit(0.0), F.lit(1.0) + reduce(lambda a, b: a + b, [F.col(f"p{k}") * F.lit(m) for k, m in enumerate(multipliers)]))
+
+
+def multipliers(rows: DataFrame, domains: int, weights: list[float] | None = None, names: list[str] | None = None) -> list[float]:
+    """The multiplier of each domain, from stored rows with n_tokens and p0, p1, ...; weights: target shares, by default those of POWER."""
     p = [F.col(f"p{k}") for k in range(domains)]
     n = F.col("n_tokens").cast("double")
     pairs = [(a, b) for a in range(domains) for b in range(a, domains)]
 
-    def rate(by: list[float]) -> Column:
-        return F.greatest(F.lit(0.0), F.lit(1.0) + reduce(lambda a, b: a + b, [x * F.lit(m) for x, m in zip(p, by, strict=True)]))
-
     def told(by: list[float]) -> tuple[list[float], dict[tuple[int, int], float], float]:
         """Tokens by domain, their growth with the multipliers, and half the sum of n * rate^2."""
         zero, r = F.lit(0.0), F.col("_r")
         moving = F.when(r > 0, n).otherwise(zero)
         sums = {f"s{k}": r * n * x for k, x in enumerate(p)} | {f"g{a}_{b}": moving * p[a] * p[b] for a, b in pairs} | {"half": n * r * r / 2}
-        got = rows.withColumn("_r", rate(by)).agg(*[F.coalesce(F.sum(x), zero).alias(c) for c, x in sums.items()]).first()
+        got = rows.withColumn("_r", rate_of(by)).agg(*[F.coalesce(F.sum(x), zero).alias(c) for c, x in sums.items()]).first()
         return [got[f"s{k}"] for k in range(domains)], {(a, b): got[f"g{a}_{b}"] for a, b in pairs}, got["half"]
 
     by = [0.0] * domains
     at, grown, half = told(by)
     total = sum(at)
     if not total:
-        return rows.withColumn("rate", F.lit(1.0))
+        return by
     shares = weights or [max(h, 1e-9 * total) ** POWER for h in at]
     want = [total * w / sum(shares) for w in shares]
     size = [max(h, t, 1e-9 * total) for h, t in zip(at, want, strict=True)]
@@ -141,7 +145,12 @@ def fitted_rates(rows: DataFrame, domains: int, weights: list[float] | None = No
     else:
         left = {names[k] if names else k: round(g, 4) for k, g in enumerate(gaps()) if abs(g) >= CLOSE}
         warnings.warn(f"targets that no rates meet, with their gaps over the larger of tokens and target: {left}", stacklevel=2)
-    return rows.withColumn("rate", rate(by))
+    return by
+
+
+def fitted_rates(rows: DataFrame, domains: int, weights: list[float] | None = None, names: list[str] | None = None) -> DataFrame:
+    """rows (stored, with n_tokens and p0, p1, ...) with a rate."""
+    return rows.withColumn("rate", rate_of(multipliers(rows, domains, weights, names)))
 
 
 def copies(rate: Column, doc_id: Column) -> Column:
@@ -150,8 +159,8 @@ def copies(rate: Column, doc_id: Column) -> Column:
     return F.floor(rate + uniform).cast("int")
 
 
-def mixture(docs: DataFrame, labels: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None) -> DataFrame:
-    """doc_id, n_tokens, domain (the likeliest), posterior (its), rate and copies of every row of docs.
+def learned(docs: DataFrame, labels: DataFrame, domain: str, weights: dict[str, float] | None) -> tuple[DataFrame, dict[str, tuple[float, list[float]]], list[float]]:
+    """The stored rows (doc_id, n_tokens, posteriors), the classifier and the multipliers; without a labelled domain, no model.
 
     Rows of docs with a label are those whose domain is taken as known.
     """
@@ -160,21 +169,34 @@ def mixture(docs: DataFrame, labels: DataFrame, domain: str = "lang", weights: d
     counts = staged(base.join(known, F.col("doc_id") == F.col("_id"), "left").withColumn("_domain", F.when(F.col("_id").isNotNull(), F.col("_domain"))).drop("_id"), "letters")
     model = domain_model(counts, "_domain")
     if not model:
-        return counts.select("doc_id", "n_tokens", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
-    names = list(model)
+        return counts, {}, []
     rows = staged(posteriors(counts.drop("_domain"), model), "posteriors")
-    rated = fitted_rates(rows, len(names), None if weights is None else [weights.get(d, 0.0) for d in names], names)
-    best = F.greatest(*[F.col(f"p{k}") for k in range(len(names))]) if len(names) > 1 else F.col("p0")
-    name = F.coalesce(*[F.when(F.col(f"p{k}") == best, F.lit(d)) for k, d in enumerate(names)])
     discard(counts)
-    return rated.select("doc_id", "n_tokens", name.alias("domain"), best.alias("posterior"), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
+    return rows, model, multipliers(rows, len(model), None if weights is None else [weights.get(d, 0.0) for d in model], list(model))
+
+
+def mixture(docs: DataFrame, labels: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None) -> DataFrame:
+    """doc_id, n_tokens, domain (the likeliest), posterior (its), rate and copies of every row of docs."""
+    rows, model, by = learned(docs, labels, domain, weights)
+    if not model:
+        return rows.select("doc_id", "n_tokens", F.lit(None).cast("string").alias("domain"), F.lit(None).cast("double").alias("posterior"), F.lit(1.0).alias("rate"), F.lit(1).alias("copies"))
+    best = F.greatest(*[F.col(f"p{k}") for k in range(len(model))]) if len(model) > 1 else F.col("p0")
+    name = F.coalesce(*[F.when(F.col(f"p{k}") == best, F.lit(d)) for k, d in enumerate(model)])
+    return rows.withColumn("rate", rate_of(by)).select("doc_id", "n_tokens", name.alias("domain"), best.alias("posterior"), "rate", copies(F.col("rate"), F.col("doc_id")).alias("copies"))
 
 
 def mixed(docs: DataFrame, labels: DataFrame, domain: str = "lang", weights: dict[str, float] | None = None) -> DataFrame:
-    """The rows of docs, each as many times as its rate says. Rows that share a doc_id are emitted by the largest count of theirs."""
-    told = staged(mixture(docs, labels, domain, weights).groupBy("doc_id").agg(F.max("copies").alias("_copies")).withColumnRenamed("doc_id", "_id"), "copies")
-    joined = docs.join(told, F.col("doc_id").eqNullSafe(F.col("_id")))
-    return joined.filter("_copies > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(docs.columns)
+    """The rows of docs, each as many times as its own rate says.
+
+    The classifier and the multipliers are a few numbers, so that a second pass over docs takes each row's rate from its text and no text is shuffled.
+    """
+    rows, model, by = learned(docs, labels, domain, weights)
+    discard(rows)
+    if not model:
+        return docs
+    rated = posteriors(letter_counts(docs.select("doc_id", "text", F.struct(*docs.columns).alias("_doc"))), model)
+    times = settled(rated.withColumn("rate", rate_of(by)), _copies=copies(F.col("rate"), F.col("doc_id"))).filter("_copies > 0")
+    return times.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_doc.*")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

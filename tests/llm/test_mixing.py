@@ -1,11 +1,13 @@
 """Posteriors, targets that can be met and that cannot, and rounding."""
 
+import math
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from marlstone.llm.mixing import fitted_rates, mixed, mixture
+from marlstone.llm.mixing import LETTERS, fitted_rates, mixed, mixture
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_tokens string"
 
@@ -38,6 +40,38 @@ def test_targets_are_met(spark):
     assert abs(by["es"] / sum(v for v in by.values() if v and v > 0) - 0.3) < 0.08
 
 
+def test_copies_follow_the_rates_of_rows(spark):
+    docs, labels = data(spark)
+    docs = docs.withColumnsRenamed({"source": "rate", "n_tokens": "copies"}).union(spark.createDataFrame([(7, "größe schön " * 30_000, "de", "s", "x"), (3, "the what", "en", None, None), (3, "the what", "en", None, None)], SCHEMA))
+    weights = {"en": 0.3, "es": 0.3, "de": 0.4}
+    told = sorted((r.doc_id or -1, r.n_tokens, r.copies) for r in mixture(docs, labels, weights=weights).collect())
+    kept = mixed(docs, labels, weights=weights)
+    assert kept.columns == docs.columns
+    out = Counter((r.doc_id or -1, len((r.text or "").split())) for r in kept.collect())
+    want = Counter()
+    for doc, n, times in told:
+        want[doc, n] += times
+    assert +out == +want and max(out.values()) > 1
+
+
+def test_posteriors_are_those_of_loops(spark):
+    docs, labels = data(spark)
+    rows, known = [(r.doc_id, (r.text or "").lower(), r.lang) for r in docs.collect()], {r.doc_id for r in labels.collect()} - {None}
+    sums, n_rows = {}, Counter()
+    for doc, text, lang in rows:
+        if doc in known:
+            n_rows[lang] += 1
+            sums.setdefault(lang, Counter()).update(c for c in text if c in LETTERS)
+    model = {d: (math.log(n_rows[d] / sum(n_rows.values())), {c: math.log((sums[d][c] + 1) / (sum(sums[d].values()) + len(LETTERS))) for c in LETTERS}) for d in sorted(sums)}
+    got = {r.doc_id: r for r in mixture(docs, labels).collect()}
+    for doc, text, _ in rows:
+        letters = [c for c in text if c in LETTERS]
+        sharp = 4 * min(math.sqrt(len(letters)), 12.0)
+        logs = {d: prior + (sharp * sum(w[c] for c in letters) / len(letters) if letters else 0) for d, (prior, w) in model.items()}
+        best = max(logs, key=logs.get)
+        assert got[doc].domain == best and abs(got[doc].posterior - 1 / sum(math.exp(x - logs[best]) for x in logs.values())) < 1e-9
+
+
 def test_rates_stay_nonnegative(spark):
     rows = spark.createDataFrame([(k, 10, float(k % 2), 1 - float(k % 2)) for k in range(20)], "doc_id long, n_tokens long, p0 double, p1 double")
     out = fitted_rates(rows, 2, [1.0, 0.0]).collect()
