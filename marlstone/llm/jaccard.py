@@ -6,12 +6,12 @@ Two texts link when 100 * intersection >= 75 * union of their shingle sets. The
 2. Shingles are counted over all texts, in blocks of the hash range. The most frequent ones, at most MOST_HEAVY, are sent to the
    workers: any order of shingles gives right results, and rare ones first gives few candidates.
 3. Each class keeps the first n - ceil(3n/4) + 1 of its n shingles in that order: the columns in which linked texts must meet.
-4. Columns with a single class are dropped. Of the others, each class meets the least key of each of its columns, and joins the one that it
-   meets in most: groups of likely copies. Inside a group the product is taken over whole sets, chunks of rows against chunks of
-   rows, which settles all its pairs; a spanning set of links comes out, never all of them.
-5. The product of the remaining incidence matrix is taken in blocks of columns and chunks of rows, for rows of different groups
-   and components and compatible sizes. Counts of a pair are summed over the blocks, and pairs below the bound that the two sizes set
-   are discarded. The rest are compared by their whole sets.
+4. Columns with a single class are dropped. Of the others, each class meets one class of each of its columns, the first by a hash, and is compared by
+   its whole set with the one that it meets in most: a row for each class, however many share a column. This is done for TURNS turns with
+   another hash, for columns that still hold several components; most links of groups of near copies are known then.
+5. The product of what is left of the incidence matrix is taken in blocks of columns and chunks of rows, for rows of different components and
+   compatible sizes; the largest component of a column meets the others only, never itself. Counts of a pair are summed over the
+   blocks, and pairs below the bound that the two sizes set are discarded. The rest are compared by their whole sets.
 6. Components of all links; links inside a component that steps 4 and 5 left out change nothing.
 
 Defined cases: a null or empty text, or one without words, has no shingles and links with nothing; a null doc_id is carried, and such
@@ -28,18 +28,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, partitions_for, staged, table, text_buffers
+from .common import bound_batches, discard, left_out, marked, partitions_for, staged, table, text_buffers
 from .components import components
 from .shingles import Shingler, U, set_key
 
 #: Frequent shingles sent to the workers (8 bytes each), and the least count of one.
 MOST_HEAVY, LEAST_HEAVY = 1 << 20, 10
 #: Rows of one column that one block of the product holds; longer columns are cut into chunks, and pairs of chunks are blocks.
-CHUNK = 2000
-#: Rows of a chunk of a group, whose whole sets are compared with another chunk's at once.
-ROWS = 500
-#: Bits of the filter that picks the texts whose sets are compared.
-FILTER_BITS = 1 << 24
+CHUNK = 400
+#: Turns in which classes are compared with one class of their columns.
+TURNS = 3
 #: Shingles that a worker gathers before it passes them on, and keys that it remembers to pass a set on once.
 FLUSH, REMEMBERED = 1 << 20, 500_000
 
@@ -207,112 +205,22 @@ def columns_in_common(docs: DataFrame, blocks: int, names: np.ndarray, totals: n
     return docs.select("doc_id", "text").mapInArrow(gather, "block int, tokens binary, keys binary, sizes binary").groupBy("block").applyInArrow(meet, "token long, key long, n int")
 
 
-def first_meetings(lists: DataFrame) -> DataFrame:
-    """Groups of classes that are likely to link: (key, root), root being the least key of the group.
+def mixed_columns(lists: DataFrame, owners: DataFrame) -> DataFrame:
+    """(token, key, n, own) of the columns that hold classes of several components; owners: key, own of classes that are in one."""
+    named = lists.select("token", "key", "n").join(owners, "key", "left").withColumn("own", F.coalesce("own", "key"))
+    several = named.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo != hi").select("token")
+    return named.join(several, "token").select("token", "key", "n", "own")
 
-    Each class meets the least keys of its columns, and joins the one that it meets in most of them, in two at least.
-    """
-    least = lists.groupBy("token").agg(F.min(F.struct("key", "n")).alias("least"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    met = lists.join(least, "token").filter("key != least.key and 100 * least(n, least.n) >= 75 * greatest(n, least.n)")
-    counted = met.groupBy("key", F.col("least.key").alias("b"), "n").agg(F.count(F.lit(1)).alias("met")).filter("met > 1 or n < 12")
-    return components(counted.groupBy(F.col("key").alias("a")).agg(F.max_by("b", F.struct("met", "b")).alias("b"))).select(F.col("node").alias("key"), F.col("component").alias("root"))
-
-
-def linked_within(sets: list[np.ndarray], sides: np.ndarray, cross: bool) -> list[tuple[int, int]]:
-    """A spanning set of the links among some sets; with cross, among those of different sides only. Counts come from a product of
-    the incidence matrix with itself: columns of many rows as a dense product, the others pair by pair."""
-    size = np.array([len(x) for x in sets])
-    parent = list(range(len(sets)))
-
-    def top(v: int) -> int:
-        while parent[v] != v:
-            parent[v] = v = parent[parent[v]]
-        return v
-
-    out: list[tuple[int, int]] = []
-
-    def link(i: int, j: int) -> None:
-        p, q = top(i), top(j)
-        if p != q:
-            parent[p] = q
-            out.append((i, j))
-
-    if len(sets) <= 12:
-        for i in range(len(sets)):
-            for j in range(i + 1, len(sets)):
-                if (not cross or sides[i] != sides[j]) and 100 * min(size[i], size[j]) >= 75 * max(size[i], size[j]) and top(i) != top(j):
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 175 * both >= 75 * (size[i] + size[j]):
-                        link(i, j)
-        return out
-    rows = [np.flatnonzero(sides == s) for s in np.unique(sides)] if cross else [np.arange(len(sets))] * 2
-    if len(rows) < 2:
-        return out
-    x, y = rows
-    token, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-    order = np.argsort(token, kind="stable")
-    token, row = token[order], row[order]
-    starts = np.flatnonzero(np.diff(token, prepend=~token[:1]) != 0)
-    many = np.diff(np.append(starts, len(token)))
-    both = np.zeros((len(x), len(y)), np.float32)
-    at = np.zeros(len(sets), np.int64)  # a row's place on its side
-    for side in (x, y):
-        at[side] = np.arange(len(side))
-    left = np.isin(np.arange(len(sets)), x)
-    right = np.isin(np.arange(len(sets)), y)
-    for m in range(2, 9):  # columns of m rows: all their pairs
-        first = starts[many == m]
-        for i in range(m):
-            for j in range(m):
-                if i != j:
-                    a, b = row[first + i], row[first + j]
-                    ok = left[a] & right[b]
-                    np.add.at(both, (at[a[ok]], at[b[ok]]), 1)
-    dense = np.flatnonzero(many > 8)
-    for lo in range(0, len(dense), 2048):
-        some = dense[lo : lo + 2048]
-        cells = np.concatenate([np.arange(s, s + n) for s, n in zip(starts[some], many[some], strict=True)])
-        column = np.repeat(np.arange(len(some)), many[some])
-        sheets = []
-        for side, inside in ((x, left), (y, right)):
-            sheet = np.zeros((len(side), len(some)), np.float32)
-            own = inside[row[cells]]
-            sheet[at[row[cells][own]], column[own]] = 1
-            sheets.append(sheet)
-        both += sheets[0] @ sheets[1].T
-    i, j = np.nonzero(175 * both.astype(np.int64) >= 75 * (size[x][:, None] + size[y][None, :]))
-    for a, b in zip(x[i].tolist(), y[j].tolist(), strict=True):
-        if a != b:
-            link(a, b)
-    return out
 
+def meetings(columns: DataFrame, turn: int) -> DataFrame:
+    """A pair (a, b) at most for each class a: b is the class that it meets in most columns among those that come first in a column.
 
-def resolved_groups(groups: DataFrame, docs: DataFrame, classes: DataFrame, seed: int = 0) -> DataFrame:
-    """Spanning links (a, b) of every group (key, root), from whole sets: chunks of rows against chunks of rows."""
-    sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("many"))
-    members = staged(groups.join(sizes, "root").withColumn("chunks", F.ceil(F.col("many") / ROWS).cast("int")), "members")
-    sets = sets_of(members.select("key"), docs, classes, seed)
-    told = sets.agg(F.coalesce(F.sum(F.length("own")), F.lit(0)).alias("n")).first()
-    blocks = max(partitions_for(docs.sparkSession), 64, told["n"] >> 23)
-    cells = members.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    cells = cells.withColumn("cell", F.xxhash64("root", F.least("chunk", "other"), F.greatest("chunk", "other"))).select("cell", (F.col("chunk") != F.col("other")).alias("cross"), "chunk", "key")
-
-    def resolve(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("cell", "ascending"), ("key", "ascending")])
-        cell, chunk, key = (group.column(c).to_numpy() for c in ("cell", "chunk", "key"))
-        cross, own = group.column("cross").to_numpy(zero_copy_only=False), group.column("own").combine_chunks()
-        starts = np.append(np.flatnonzero(np.diff(cell, prepend=~cell[:1]) != 0), len(cell))
-        a, b = [], []
-        for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-            sets = [np.frombuffer(own[k].as_buffer(), U) for k in range(lo, hi)]
-            for i, j in linked_within(sets, chunk[lo:hi], bool(cross[lo])):
-                a.append(key[lo + i])
-                b.append(key[lo + j])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-    out = staged(cells.join(sets, "key").withColumn("block", F.pmod(F.hash("cell"), F.lit(blocks))).groupBy("block").applyInArrow(resolve, "a long, b long"), "links")
-    discard(sets, members)
-    return out
+    Classes of one component or of incompatible sizes do not meet, nor do long ones in a single column.
+    """
+    first = columns.groupBy("token").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n", "own")).alias("first"))
+    met = columns.join(first, "token").filter("own != first.own and 100 * least(n, first.n) >= 75 * greatest(n, first.n)")
+    counted = met.groupBy("key", F.col("first.key").alias("b"), "n").agg(F.count(F.lit(1)).alias("met")).filter("met > 1 or n < 12")
+    return counted.groupBy(F.col("key").alias("a")).agg(F.max_by("b", F.struct("met", "b")).alias("b"))
 
 
 def block_product(group: pa.Table) -> pa.Table:
@@ -320,7 +228,6 @@ def block_product(group: pa.Table) -> pa.Table:
     cell, chunk, key, n, own = (group.column(c).to_numpy() for c in ("cell", "chunk", "key", "n", "own"))
     order = np.lexsort((key, n, cell))
     cell, chunk, key, n, own = cell[order], chunk[order], key[order], n[order], own[order]
-    root = group.column("root").to_numpy()[order]
     cross = group.column("cross").to_numpy(zero_copy_only=False)[order]
     found: list[np.ndarray] = []
     sums: list[tuple[np.ndarray, np.ndarray]] = []
@@ -336,7 +243,7 @@ def block_product(group: pa.Table) -> pa.Table:
         d += 1
         at = at[at + d < len(key)]
         at = at[(cell[at] == cell[at + d]) & (100 * n[at].astype(np.int64) >= 75 * n[at + d].astype(np.int64))]
-        take = at[(own[at] != own[at + d]) & (root[at] != root[at + d]) & (~cross[at] | (chunk[at] != chunk[at + d]))]
+        take = at[(own[at] != own[at + d]) & (~cross[at] | (chunk[at] != chunk[at + d]))]
         if len(take):
             x, y = take, take + d
             low = key[x] < key[y]
@@ -352,21 +259,24 @@ def block_product(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(4)] + [pa.array(met.astype(np.int64))], names=["a", "n_a", "b", "n_b", "met"])
 
 
-def blocked_pairs(lists: DataFrame, owners: DataFrame, roots: DataFrame, blocks: int) -> DataFrame:
-    """Pairs (a, b) of classes of different components and groups whose summed counts reach the bound of their sizes.
+def blocked_pairs(columns: DataFrame, blocks: int) -> DataFrame:
+    """Pairs (a, b) of classes of different components whose summed counts reach the bound of their sizes; columns: those of mixed_columns().
 
     Of the shingles that two sets share, all but those after the end of the earlier prefix are counted; so a pair with an
     overlap of 3 (n_a + n_b) / 7 has counts of at least that less the longer rest.
     """
-    with_own = lists.join(owners, "key", "left").join(roots, "key", "left").withColumn("own", F.coalesce("own", "key")).withColumn("root", F.coalesce("root", "key"))
-    ends = [f(c) for c in ("own", "root") for f in (F.min, F.max)]
-    mixed_columns = with_own.groupBy("token").agg(F.count(F.lit(1)).alias("many"), *[e.alias(f"e{k}") for k, e in enumerate(ends)]).filter("e0 != e1 and e2 != e3").select("token", "many")
-    kept = with_own.join(mixed_columns, "token").withColumn("chunks", F.ceil(F.col("many") / CHUNK).cast("int"))
-    kept = kept.withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
-    cells = kept.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    sizes = columns.groupBy("token", "own").agg(F.count(F.lit(1)).alias("many"))
+    largest = sizes.groupBy("token").agg(F.max_by("own", F.struct("many", "own")).alias("major"), F.max("many").alias("most"), F.sum("many").alias("rows"))
+    dealt = columns.join(largest, "token").withColumn("own_chunks", F.when(F.col("rows") <= CHUNK, 0).otherwise(F.ceil(F.col("most") / CHUNK)).cast("int"))
+    dealt = dealt.withColumn("chunks", F.when(F.col("rows") <= CHUNK, 1).otherwise(F.col("own_chunks") + F.ceil((F.col("rows") - F.col("most")) / CHUNK)).cast("int"))
+    # chunks of the largest component come first and meet the chunks of the others; those meet all
+    in_major = (F.col("own") == F.col("major")) & (F.col("own_chunks") > 0)
+    hashed = F.xxhash64("key")
+    dealt = dealt.withColumn("chunk", F.when(in_major, F.pmod(hashed, F.col("own_chunks"))).otherwise(F.col("own_chunks") + F.pmod(hashed, F.col("chunks") - F.col("own_chunks"))).cast("int"))
+    cells = dealt.withColumn("other", F.explode(F.sequence(F.when(in_major, F.col("own_chunks")).otherwise(0), F.col("chunks") - 1)))
     cells = cells.withColumn("cell", F.xxhash64("token", F.least("chunk", "other"), F.greatest("chunk", "other"))).withColumn("cross", F.col("chunk") != F.col("other"))
     # a cell of two chunks holds both; the cell of a chunk with itself holds that chunk
-    cells = cells.select("cell", "cross", "chunk", "key", "n", "own", "root", F.pmod(F.hash("cell"), F.lit(blocks)).alias("block"))
+    cells = cells.select("cell", "cross", "chunk", "key", "n", "own", F.pmod(F.hash("cell"), F.lit(blocks)).alias("block"))
     counted = cells.groupBy("block").applyInArrow(block_product, "a long, n_a long, b long, n_b long, met long")
     rest = F.greatest(F.ceil(F.col("n_a") * 3 / 4) - 1, F.ceil(F.col("n_b") * 3 / 4) - 1)
     return counted.groupBy("a", "n_a", "b", "n_b").agg(F.sum("met").alias("met")).filter(7 * (F.col("met") + rest) >= 3 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
@@ -375,13 +285,10 @@ def blocked_pairs(lists: DataFrame, owners: DataFrame, roots: DataFrame, blocks:
 def sets_of(keys: DataFrame, docs: DataFrame, classes: DataFrame, seed: int = 0) -> DataFrame:
     """(key, own): the whole sets of some classes, as bytes, stored. keys and classes must be stored tables.
 
-    Texts are picked by a filter of FILTER_BITS bits over doc_ids before they leave the JVM, and by key after.
+    Texts are picked by a map of their doc_ids before they leave the JVM, and by key after.
     """
     need = keys.distinct().join(classes, "key").select("key", "doc_id")
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    words = need.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("bits"))
-    # at most FILTER_BITS / 64 rows
-    some = docs.select("doc_id", "text", place.alias("p")).join(F.broadcast(words), F.floor(F.col("p") / 64) == F.col("word")).filter(F.expr("getbit(bits, cast(p % 64 as int)) = 1")).select("text")
+    known = marked(docs.select("doc_id", "text"), need.select("doc_id"), "doc_id", "_hit").filter(F.col("_hit") | F.col("doc_id").isNull()).select("text")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(seed), set()
@@ -390,7 +297,7 @@ def sets_of(keys: DataFrame, docs: DataFrame, classes: DataFrame, seed: int = 0)
             rows = [(key, own.tobytes()) for _, own in shingler.sets(data, offsets) if len(own) and _fresh(seen, key := set_key(own)[0])]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["key", "own"])
 
-    return staged(some.mapInArrow(read, "key long, own binary").join(need, "key", "left_semi").groupBy("key").agg(F.first("own").alias("own")), "sets")
+    return staged(known.mapInArrow(read, "key long, own binary").join(need, "key", "left_semi").groupBy("key").agg(F.first("own").alias("own")), "sets")
 
 
 def compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, seed: int = 0) -> DataFrame:
@@ -433,15 +340,29 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         x, y = (by_key.select(F.col("key").alias(k), F.col("node").alias(v)) for k, v in (("a", "u"), ("b", "v")))
         return links.join(x, "a").join(y, "b").select(F.col("u").alias("a"), F.col("v").alias("b"))
 
-    roots = first_meetings(lists)
-    first = resolved_groups(roots, docs, classes, seed)
-    star = components(as_edges(first))
-    # components of classes, named by hashes as the rest of this step's keys are
-    owners = by_key.join(star, "node").select("key", F.xxhash64(F.col("component")).alias("own"))
-    second = compared(staged(blocked_pairs(lists, owners, roots, blocks), "pairs"), docs, classes, seed)
-    final = components(as_edges(first.union(second)))
-    discard(lists)
-    of_class = by_key.join(final, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
+    def owners(star: DataFrame) -> DataFrame:
+        """key and component of classes, named by hashes as the rest of this step's keys are."""
+        return by_key.join(star, "node").select("key", F.xxhash64("component").alias("own"))
+
+    links = star = None
+    columns = lists.withColumn("own", F.col("key"))
+    for turn in range(TURNS):
+        pairs = staged(meetings(columns, turn), "pairs")
+        fresh = compared(pairs, docs, classes, seed)
+        discard(pairs)
+        if not fresh.count():
+            break
+        links = fresh if links is None else links.union(fresh)
+        star = components(as_edges(links))
+        before, columns = columns, staged(mixed_columns(lists if turn == 0 else columns.drop("own"), owners(star)), "columns")
+        if turn:
+            discard(before)
+    pairs = staged(blocked_pairs(columns, 4 * blocks), "pairs")
+    last = compared(pairs, docs, classes, seed)
+    discard(pairs, lists, *[columns] * (links is not None))
+    if last.count():
+        star = components(as_edges(last if links is None else links.union(last)))
+    of_class = by_key.withColumnRenamed("node", "component") if star is None else by_key.join(star, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
     return rows.join(of_class, "key", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
@@ -452,6 +373,4 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the least doc_id of their component; rows of a null doc_id stay, and so do all rows of a kept doc_id."""
-    found = staged(jaccard_components(docs).filter("doc_id = component_id or doc_id is null").select(F.col("doc_id").alias("kept_id")).distinct(), "kept")
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-
+    return left_out(docs, staged(jaccard_components(docs).filter("doc_id != component_id").select("doc_id").distinct(), "dropped"))

@@ -3,6 +3,7 @@
 import random
 import re
 
+from marlstone.llm import common, jaccard
 from marlstone.llm.components import components
 from marlstone.llm.jaccard import jaccard_components, one_of_each
 
@@ -60,6 +61,29 @@ def test_families_passages_and_edges(spark):
     assert found(spark, data) == brute(data)
 
 
+def test_large_groups_and_chunks(spark, monkeypatch):
+    """Groups and columns of many chunks: near copies of near copies, and a passage that unlike texts share."""
+    monkeypatch.setattr(jaccard, "CHUNK", 7)
+    rng = random.Random(8)
+    word = lambda: f"{rng.choice('abcdefgh')}{rng.randrange(4000)}"
+    passage, rows = [word() for _ in range(30)], []
+    for _ in range(3):
+        chain = [word() for _ in range(70)]
+        for _ in range(90):
+            chain = list(chain)
+            chain[rng.randrange(len(chain))] = word()
+            rows.append(chain)
+    rows += [[word() for _ in range(rng.randrange(4, 16))] + passage for _ in range(120)]
+    rows += [[word() for _ in range(30_000)]] * 2
+    rng.shuffle(rows)
+    data = [(k, " ".join(r)) for k, r in enumerate(rows)]
+    want = brute(data)
+    assert len({c for _, c in want.values()}) < len(rows) - 200
+    assert found(spark, data) == want
+    monkeypatch.setattr(jaccard, "TURNS", 0)
+    assert found(spark, data) == want, "the product alone gives the same"
+
+
 def test_empty_null_and_repeated(spark):
     assert found(spark, []) == {}
     df = spark.createDataFrame([(None, "a b c d e f", "x", 1), (4, "a b c d e f", "x", 1), (4, "a b c d e f", "x", 1), (5, None, None, None)], SCHEMA)
@@ -68,6 +92,17 @@ def test_empty_null_and_repeated(spark):
     assert one_of_each(df).count() == 4
 
 
+def test_rows_left_out_by_chance_are_settled(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, f"t{k}", "x", 1) for k in range(600)] + [(None, "t", "x", 1), (5, "again", None, None)], SCHEMA)
+    dropped = spark.createDataFrame([(k,) for k in range(0, 600, 3)], "doc_id long")
+    want = sorted(r.text for r in docs.collect() if r.doc_id is None or r.doc_id % 3)
+    for bits, most in ((1 << 24, 1 << 18), (64, 1 << 18), (256, 3)):
+        monkeypatch.setattr(common, "ID_BITS", bits)
+        monkeypatch.setattr(common, "MOST_CHANCES", most)
+        kept = common.left_out(docs, dropped)
+        assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == want
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, 101), (7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
