@@ -6,7 +6,7 @@ Two texts link when 100 * intersection >= 75 * union of their shingle sets. The
 2. Shingles are counted over all texts, in blocks of the hash range. The most frequent ones, at most MOST_HEAVY, are sent to the
    workers: any order of shingles gives right results, and rare ones first gives few candidates.
 3. Each class keeps the first n - ceil(3n/4) + 1 of its n shingles in that order: the columns in which linked texts must meet.
-4. Columns with a single class are dropped. Of the others, each class meets one class of each of its columns, the first by a hash, and is compared by
+4. Columns with a single class are dropped. Of the others, each class meets one class of each of its columns, the first in an order, and is compared by
    its whole set with the one that it meets in most: a row for each class, however many share a column. This is done for TURNS turns with
    another hash, for columns that still hold several components; most links of groups of near copies are known then.
 5. The product of what is left of the incidence matrix is taken in blocks of columns and chunks of rows, for rows of different components and
@@ -25,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, discard, left_out, marked, partitions_for, staged, table, text_buffers
+from .common import bound_batches, discard, lean, left_out, marked, partitions_for, release, staged, table, text_buffers
 from .components import components
 from .shingles import Shingler, U, set_key
 
@@ -36,10 +37,10 @@ from .shingles import Shingler, U, set_key
 MOST_HEAVY, LEAST_HEAVY = 1 << 20, 10
 #: Rows of one column that one block of the product holds; longer columns are cut into chunks, and pairs of chunks are blocks.
 CHUNK = 400
-#: Turns in which classes are compared with one class of their columns.
+#: Turns, at most, in which classes are compared with one class of their columns; there is a further one if many classes may gain by it.
 TURNS = 3
 #: Shingles that a worker gathers before it passes them on, and keys that it remembers to pass a set on once.
-FLUSH, REMEMBERED = 1 << 20, 500_000
+FLUSH, REMEMBERED = 1 << 19, 200_000
 
 
 def prefix_size(n: int) -> int:
@@ -76,7 +77,7 @@ def shingle_sets(docs: DataFrame, seed: int = 0) -> DataFrame:
             yield pa.record_batch([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns]], names=["doc_id", "n_shingles", "key", "check"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(read, f"doc_id {kind}, n_shingles long, key long, check long")
+    return docs.select("doc_id", "text").mapInArrow(lean(read), f"doc_id {kind}, n_shingles long, key long, check long")
 
 
 def _block(tokens: np.ndarray, blocks: int) -> np.ndarray:
@@ -130,9 +131,10 @@ def frequent_shingles(docs: DataFrame, blocks: int, seed: int = 0) -> tuple[np.n
         total = np.bincount(where, np.concatenate([np.ones(len(once)), times]), len(every)).astype(np.int64)
         often = total >= LEAST_HEAVY
         name = (np.int64(block.column("block")[0].as_py()) << 32) | every[often].astype(np.int64)
+        release()
         return pa.table({"name": pa.array(name, pa.int64()), "total": pa.array(total[often], pa.int64())})
 
-    found = staged(docs.select("doc_id", "text").mapInArrow(gather, "block int, once binary, more binary, counts binary").groupBy("block").applyInArrow(count, "name long, total long"), "frequent")
+    found = staged(docs.select("doc_id", "text").mapInArrow(lean(gather), "block int, once binary, more binary, counts binary").groupBy("block").applyInArrow(count, "name long, total long"), "frequent")
     sizes = sorted(found.groupBy(F.floor(F.log2("total")).alias("power")).count().collect(), reverse=True)  # 64 rows at most
     least, n = 1 << 62, 0
     for power, count_ in sizes:
@@ -200,16 +202,26 @@ def columns_in_common(docs: DataFrame, blocks: int, names: np.ndarray, totals: n
             same = token[1:] == token[:-1]
             shared = np.concatenate([same, [False]]) | np.concatenate([[False], same])
             token, key, size = token[shared], key[shared], size[shared]
+        release()
         return pa.table({"token": pa.array(token.view(np.int64)), "key": pa.array(key), "n": pa.array(size)})
 
-    return docs.select("doc_id", "text").mapInArrow(gather, "block int, tokens binary, keys binary, sizes binary").groupBy("block").applyInArrow(meet, "token long, key long, n int")
+    return docs.select("doc_id", "text").mapInArrow(lean(gather), "block int, tokens binary, keys binary, sizes binary").groupBy("block").applyInArrow(meet, "token long, key long, n int")
 
 
-def mixed_columns(lists: DataFrame, owners: DataFrame) -> DataFrame:
-    """(token, key, n, own) of the columns that hold classes of several components; owners: key, own of classes that are in one."""
-    named = lists.select("token", "key", "n").join(owners, "key", "left").withColumn("own", F.coalesce("own", "key"))
+def mixed_columns(columns: DataFrame, owners: DataFrame) -> DataFrame:
+    """The columns (token, key, n, kept, own) that hold classes of several components; owners: key, own of classes that are in one."""
+    named = columns.drop("own").join(owners, "key", "left").withColumn("own", F.coalesce("own", "key"))
     several = named.groupBy("token").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).filter("lo != hi").select("token")
-    return named.join(several, "token").select("token", "key", "n", "own")
+    return named.join(several, "token").select("token", "key", "n", "kept", "own")
+
+
+def first_in_column(columns: DataFrame, turn: int) -> DataFrame:
+    """(token, first): the class that comes first in each column, by a hash or, in even turns, with the least share of shingles of its own.
+
+    Copies of one text have shingles of their own where they were changed, and the text that they come from has few.
+    """
+    own = F.lit(0.0) if turn % 2 else -F.col("kept") / (F.col("n") - F.ceil(F.col("n") * 3 / 4) + 1)
+    return columns.groupBy("token").agg(F.min(F.struct(own.alias("o"), F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n", "own")).alias("first"))
 
 
 def meetings(columns: DataFrame, turn: int) -> DataFrame:
@@ -217,69 +229,80 @@ def meetings(columns: DataFrame, turn: int) -> DataFrame:
 
     Classes of one component or of incompatible sizes do not meet, nor do long ones in a single column.
     """
-    first = columns.groupBy("token").agg(F.min(F.struct(F.xxhash64("key", F.lit(turn)).alias("h"), "key", "n", "own")).alias("first"))
-    met = columns.join(first, "token").filter("own != first.own and 100 * least(n, first.n) >= 75 * greatest(n, first.n)")
+    met = columns.join(first_in_column(columns, turn), "token").filter("own != first.own and 100 * least(n, first.n) >= 75 * greatest(n, first.n)")
     counted = met.groupBy("key", F.col("first.key").alias("b"), "n").agg(F.count(F.lit(1)).alias("met")).filter("met > 1 or n < 12")
     return counted.groupBy(F.col("key").alias("a")).agg(F.max_by("b", F.struct("met", "b")).alias("b"))
 
 
 def block_product(group: pa.Table) -> pa.Table:
-    """Counts of shared columns for the pairs of one block: rows (a, n_a, b, n_b, met) with a < b."""
-    cell, chunk, key, n, own = (group.column(c).to_numpy() for c in ("cell", "chunk", "key", "n", "own"))
-    order = np.lexsort((key, n, cell))
-    cell, chunk, key, n, own = cell[order], chunk[order], key[order], n[order], own[order]
-    cross = group.column("cross").to_numpy(zero_copy_only=False)[order]
+    """Pairs (a, b), a < b, of one block's cells that may link by what they meet in here and could meet in elsewhere."""
+    cell, chunk, key, n, own, total = (group.column(c).to_numpy() for c in ("cell", "chunk", "key", "n", "own", "total"))
+    cross, tokens = group.column("cross").to_numpy(zero_copy_only=False), group.column("tokens").combine_chunks()
+    here, rows = pc.list_value_length(tokens).to_numpy(), len(key)
+    row, token = np.repeat(np.arange(rows), here), tokens.flatten().to_numpy()
+    order = np.lexsort((n[row], token, cell[row]))
+    row, token = row[order], token[order]
+    column = np.cumsum(np.concatenate([[0], (np.diff(token) != 0) | (np.diff(cell[row]) != 0)]))
     found: list[np.ndarray] = []
-    sums: list[tuple[np.ndarray, np.ndarray]] = []
+    codes, met = np.empty(0, np.int64), np.empty(0, np.int64)
+    held = d = 0
+    at = np.arange(len(row))
 
     def add_up() -> None:
-        if found:
-            pairs = np.concatenate(found)
-            found.clear()
-            sums.append(np.unique(pairs, axis=0, return_counts=True))
+        nonlocal codes, met
+        more, times = np.unique(np.concatenate(found), return_counts=True)
+        found.clear()
+        codes, where = np.unique(np.concatenate([codes, more]), return_inverse=True)
+        met = np.bincount(where, np.concatenate([met, times]), len(codes)).astype(np.int64)
 
-    at, d, held = np.arange(len(key)), 0, 0
     while len(at):
         d += 1
-        at = at[at + d < len(key)]
-        at = at[(cell[at] == cell[at + d]) & (100 * n[at].astype(np.int64) >= 75 * n[at + d].astype(np.int64))]
-        take = at[(own[at] != own[at + d]) & (~cross[at] | (chunk[at] != chunk[at + d]))]
-        if len(take):
-            x, y = take, take + d
-            low = key[x] < key[y]
-            x, y = np.where(low, x, y), np.where(low, y, x)
-            found.append(np.stack([key[x], n[x].astype(np.int64), key[y], n[y].astype(np.int64)], 1))
-            held += len(take)
-            if held > 1 << 20:
+        at = at[at + d < len(row)]
+        at = at[column[at] == column[at + d]]
+        x, y = row[at], row[at + d]
+        near = 100 * n[x].astype(np.int64) >= 75 * n[y].astype(np.int64)
+        at, x, y = at[near], x[near], y[near]
+        take = (own[x] != own[y]) & (~cross[x] | (chunk[x] != chunk[y]))
+        x, y = x[take], y[take]
+        if len(x):
+            found.append(np.minimum(x, y).astype(np.int64) * rows + np.maximum(x, y))
+            held += len(x)
+            if held > 1 << 19:
                 add_up()
                 held = 0
-    add_up()
-    pairs = np.concatenate([p for p, _ in sums]) if sums else np.empty((0, 4), np.int64)
-    met = np.concatenate([c for _, c in sums]) if sums else np.empty(0, np.int64)
-    return pa.table([pa.array(np.ascontiguousarray(pairs[:, k])) for k in range(4)] + [pa.array(met.astype(np.int64))], names=["a", "n_a", "b", "n_b", "met"])
+    if found:
+        add_up()
+    x, y = codes // max(rows, 1), codes % max(rows, 1)
+    # shared shingles that may be counted elsewhere, and those after the end of the earlier prefix
+    away, rest = np.minimum(total[x] - here[x], total[y] - here[y]), -(-3 * np.maximum(n[x], n[y]).astype(np.int64) // 4) - 1
+    ok = 7 * (met + away + rest) >= 3 * (n[x].astype(np.int64) + n[y])
+    a, b = key[x[ok]], key[y[ok]]
+    release()
+    return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
 
 def blocked_pairs(columns: DataFrame, blocks: int) -> DataFrame:
-    """Pairs (a, b) of classes of different components whose summed counts reach the bound of their sizes; columns: those of mixed_columns().
+    """Pairs (a, b) of classes of different components whose counts can reach the bound of their sizes; columns: those of mixed_columns().
 
-    Of the shingles that two sets share, all but those after the end of the earlier prefix are counted; so a pair with an
-    overlap of 3 (n_a + n_b) / 7 has counts of at least that less the longer rest.
+    Columns with one first class are taken together: there, pairs that share much meet all at once. Of the shingles that two sets share, all but those
+    after the end of the earlier prefix are counted; so a pair with an overlap of 3 (n_a + n_b) / 7 has counts of at least that less the
+    longer rest, of which a block may miss what the two could meet in elsewhere.
     """
-    sizes = columns.groupBy("token", "own").agg(F.count(F.lit(1)).alias("many"))
-    largest = sizes.groupBy("token").agg(F.max_by("own", F.struct("many", "own")).alias("major"), F.max("many").alias("most"), F.sum("many").alias("rows"))
-    dealt = columns.join(largest, "token").withColumn("own_chunks", F.when(F.col("rows") <= CHUNK, 0).otherwise(F.ceil(F.col("most") / CHUNK)).cast("int"))
+    hubs = columns.join(first_in_column(columns, 0), "token").groupBy(F.col("first.key").alias("hub"), "key", "n", "own").agg(F.collect_list("token").alias("tokens"))
+    hubs = hubs.join(columns.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("total")), "key")
+    sizes = hubs.groupBy("hub", "own").agg(F.count(F.lit(1)).alias("many"))
+    largest = sizes.groupBy("hub").agg(F.max_by("own", F.struct("many", "own")).alias("major"), F.max("many").alias("most"), F.sum("many").alias("rows"), F.count(F.lit(1)).alias("several")).filter("several > 1")
+    dealt = hubs.join(largest, "hub").withColumn("own_chunks", F.when(F.col("rows") <= CHUNK, 0).otherwise(F.ceil(F.col("most") / CHUNK)).cast("int"))
     dealt = dealt.withColumn("chunks", F.when(F.col("rows") <= CHUNK, 1).otherwise(F.col("own_chunks") + F.ceil((F.col("rows") - F.col("most")) / CHUNK)).cast("int"))
     # chunks of the largest component come first and meet the chunks of the others; those meet all
     in_major = (F.col("own") == F.col("major")) & (F.col("own_chunks") > 0)
     hashed = F.xxhash64("key")
     dealt = dealt.withColumn("chunk", F.when(in_major, F.pmod(hashed, F.col("own_chunks"))).otherwise(F.col("own_chunks") + F.pmod(hashed, F.col("chunks") - F.col("own_chunks"))).cast("int"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.when(in_major, F.col("own_chunks")).otherwise(0), F.col("chunks") - 1)))
-    cells = cells.withColumn("cell", F.xxhash64("token", F.least("chunk", "other"), F.greatest("chunk", "other"))).withColumn("cross", F.col("chunk") != F.col("other"))
+    cells = cells.withColumn("cell", F.xxhash64("hub", F.least("chunk", "other"), F.greatest("chunk", "other"))).withColumn("cross", F.col("chunk") != F.col("other"))
     # a cell of two chunks holds both; the cell of a chunk with itself holds that chunk
-    cells = cells.select("cell", "cross", "chunk", "key", "n", "own", F.pmod(F.hash("cell"), F.lit(blocks)).alias("block"))
-    counted = cells.groupBy("block").applyInArrow(block_product, "a long, n_a long, b long, n_b long, met long")
-    rest = F.greatest(F.ceil(F.col("n_a") * 3 / 4) - 1, F.ceil(F.col("n_b") * 3 / 4) - 1)
-    return counted.groupBy("a", "n_a", "b", "n_b").agg(F.sum("met").alias("met")).filter(7 * (F.col("met") + rest) >= 3 * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    cells = cells.select("cell", "cross", "chunk", "key", "n", "own", "total", "tokens", F.pmod(F.hash("cell"), F.lit(blocks)).alias("block"))
+    return cells.groupBy("block").applyInArrow(block_product, "a long, b long").distinct()
 
 
 def sets_of(keys: DataFrame, docs: DataFrame, classes: DataFrame, seed: int = 0) -> DataFrame:
@@ -297,7 +320,7 @@ def sets_of(keys: DataFrame, docs: DataFrame, classes: DataFrame, seed: int = 0)
             rows = [(key, own.tobytes()) for _, own in shingler.sets(data, offsets) if len(own) and _fresh(seen, key := set_key(own)[0])]
             yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["key", "own"])
 
-    return staged(known.mapInArrow(read, "key long, own binary").join(need, "key", "left_semi").groupBy("key").agg(F.first("own").alias("own")), "sets")
+    return staged(known.mapInArrow(lean(read), "key long, own binary").join(need, "key", "left_semi").groupBy("key").agg(F.first("own").alias("own")), "sets")
 
 
 def compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, seed: int = 0) -> DataFrame:
@@ -314,7 +337,7 @@ def compared(pairs: DataFrame, docs: DataFrame, classes: DataFrame, seed: int =
 
     sets = sets_of(pairs.select(F.col("a").alias("key")).union(pairs.select("b")), docs, classes, seed)
     joined = pairs.join(sets.select(F.col("key").alias("b"), F.col("own").alias("y")), "b").join(sets.select(F.col("key").alias("a"), F.col("own").alias("x")), "a")
-    out = staged(joined.select("a", "b", "x", "y").mapInArrow(link, "a long, b long"), "links")
+    out = staged(joined.select("a", "b", "x", "y").mapInArrow(lean(link), "a long, b long"), "links")
     discard(sets)
     return out
 
@@ -331,9 +354,11 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         if not told["clash"]:
             break
         discard(rows, classes)
-    blocks = max(64, partitions_for(spark), told["n"] >> 20)
+    blocks = max(64, partitions_for(spark), told["n"] >> 19)
     names, totals = frequent_shingles(docs, blocks, seed)
     lists = staged(columns_in_common(docs, blocks, names, totals, seed), "lists")
+    columns = staged(lists.join(lists.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("kept")), "key").withColumn("own", F.col("key")), "columns")
+    discard(lists)
     by_key = classes.select("key", F.col("doc_id").alias("node"))
 
     def as_edges(links: DataFrame) -> DataFrame:
@@ -345,21 +370,22 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         return by_key.join(star, "node").select("key", F.xxhash64("component").alias("own"))
 
     links = star = None
-    columns = lists.withColumn("own", F.col("key"))
     for turn in range(TURNS):
         pairs = staged(meetings(columns, turn), "pairs")
         fresh = compared(pairs, docs, classes, seed)
+        linked, left = fresh.count(), pairs.count() - fresh.count()
         discard(pairs)
-        if not fresh.count():
+        if not linked:
             break
         links = fresh if links is None else links.union(fresh)
         star = components(as_edges(links))
-        before, columns = columns, staged(mixed_columns(lists if turn == 0 else columns.drop("own"), owners(star)), "columns")
-        if turn:
-            discard(before)
+        before, columns = columns, staged(mixed_columns(columns, owners(star)), "columns")
+        discard(before)
+        if 4 * linked < left or 8 * left < classes.count():
+            break  # what is left is few, or copies of no text that is here
     pairs = staged(blocked_pairs(columns, 4 * blocks), "pairs")
     last = compared(pairs, docs, classes, seed)
-    discard(pairs, lists, *[columns] * (links is not None))
+    discard(pairs, columns)
     if last.count():
         star = components(as_edges(last if links is None else links.union(last)))
     of_class = by_key.withColumnRenamed("node", "component") if star is None else by_key.join(star, "node", "left").select("key", F.coalesce("component", "node").alias("component"))
