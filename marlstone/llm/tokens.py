@@ -46,7 +46,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or vocabulary_path())
-        self.tokenizer.encode_special_tokens = True
+        # texts that hold an added token are encoded whole: the tokenizer takes such tokens out before all else
+        added = sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("the vocabulary needs more than 16 bits an id")
         self.model, self.letters = self.tokenizer.model, byte_letters()
@@ -80,7 +82,7 @@ class Encoder:
         if not text:
             return b""
         spaced = text.replace("\n", " \n")
-        if "  " in spaced or "\n " in spaced or spaced[0] in " \n" or spaced[-1] in " \n" or OTHER_SPACE.search(text):
+        if "  " in spaced or "\n " in spaced or spaced[0] in " \n" or spaced[-1] in " \n" or OTHER_SPACE.search(text) or self.added and self.added.search(text):
             return self.whole(text)
         pieces = spaced.split(" ")
         first = self.whole(pieces[0])

@@ -118,3 +118,33 @@ def test_one_length_holds_most_rows(spark):
     rows = best_fit_pack(cut, 20).collect()
     assert len(rows) == 3000 and len({(r.sequence_id, r.offset) for r in rows}) == 3000
     assert best_fit_pack(cut.limit(0), 20).collect() == []
+
+
+def test_added_tokens_are_those_of_a_plain_tokenizer():
+    from tokenizers import Tokenizer
+
+    from marlstone.llm.tokens import vocabulary_path
+
+    fresh, own = Tokenizer.from_file(vocabulary_path()), Encoder()
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>\ny z", "plain words. And, more!", "a <|endoftext |> b", "tab\there", "a  b\n\nc "]
+    for text in texts:
+        want = fresh.encode(text, add_special_tokens=False).ids
+        assert list(np.frombuffer(own.encode(text), "<u2")) == want, text
+    assert 0 in fresh.encode(texts[0], add_special_tokens=False).ids or len(fresh.encode(texts[0], add_special_tokens=False).ids) < len(fresh.encode(texts[4], add_special_tokens=False).ids)
+
+
+def test_masks_are_views_of_the_file(tmp_path):
+    import pyarrow as pa
+
+    from marlstone.llm.token_files import SequenceWriter, open_sequences, sequence
+
+    with open(tmp_path / "a.arrow", "wb") as sink:
+        writer = SequenceWriter(sink, length=8, rows=2)
+        for n in (5, 3, 9, 4):
+            writer.add(np.arange(n, dtype=np.uint16))
+        writer.close()
+    reader = open_sequences(f"file://{tmp_path}", "a.arrow")
+    before = pa.total_allocated_bytes()
+    ids, mask = sequence(reader, 2, rows=2)
+    assert list(ids) == [8, 0, 1, 2, 3, 0, 0, 0] and list(mask) == [1] * 5 + [0] * 3 and not mask.flags.owndata and not ids.flags.owndata
+    assert pa.total_allocated_bytes() - before < 4096
