@@ -6,7 +6,7 @@ all visible text: blocks apart from each other, lists with marks and indents, pr
 Tree: p, li, dt, dd, option, tr, td, th, thead, tbody and so on are closed when what follows implies their end; a block closes an open p;
 cells without a row get one; an end tag closes up to its element if that is open within the same table cell, and is left out
 otherwise; formatting elements may stay open across blocks; void elements have no content; script, style, textarea and title hold raw text;
-comments and declarations are left out. Depth is bounded by DEEPEST: deeper elements are read as their parent's content.
+comments and declarations are left out. Elements may nest as deep as a page has them.
 
 Visibility: head, script, style, noscript, template, iframe, object, svg, canvas, audio, video, select, textarea, dialog without open, and elements with the
 attribute hidden, or a style of display: none or visibility: hidden, give no text; nor do the contents of a closed details beyond its
@@ -20,18 +20,20 @@ from __future__ import annotations
 
 import html as entities
 import re
+import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import bound_batches, table
 
-DEEPEST = 200
 VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
-UNSEEN = frozenset("head title script style noscript template iframe object svg math canvas audio video select datalist textarea noembed noframes meta link base param".split())
+UNSEEN = frozenset("head title script style noscript template iframe object svg canvas audio video select datalist textarea noembed noframes meta link base param".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p plaintext pre search section summary table tbody td tfoot th thead tr ul xmp".split())
 #: Blocks with an empty line before and after them.
 SPACED = frozenset("article blockquote dl figure h1 h2 h3 h4 h5 h6 hr ol p pre section table ul listing xmp".split())
@@ -68,17 +70,39 @@ def attributes_of(text: str) -> dict[str, str]:
     return out
 
 
+#: Most columns and rows that a cell spans, by the standard.
+MOST_ACROSS, MOST_DOWN = 1000, 65534
+
+
+@contextmanager
+def deep_calls(most: int) -> Iterator[None]:
+    """Calls may nest most deep for a while: they follow the page's own depth, and calls of Python by Python take no machine stack."""
+    before = sys.getrecursionlimit()
+    sys.setrecursionlimit(max(before, most))
+    try:
+        yield
+    finally:
+        sys.setrecursionlimit(before)
+
+
 class TreeBuilder:
     def __init__(self):
         self.root = Node("#root")
         self.open = [self.root]
+        self.opened: Counter[str] = Counter()  # how many elements of each name are open
+        self.deepest = 1
 
     def _close_to(self, at: int) -> None:
+        for node in self.open[at:]:
+            self.opened[node.tag] -= 1
         del self.open[at:]
 
+    def _any(self, tags) -> bool:
+        return any(self.opened[t] > 0 for t in tags)
+
     def _find(self, tags, walls) -> int:
         """The place of the nearest open element of tags, not looking past a wall; 0 where there is none."""
-        for k in range(len(self.open) - 1, 0, -1):
+        for k in range(len(self.open) - 1, 0, -1) if self._any(tags) else ():
             if self.open[k].tag in tags:
                 return k
             if self.open[k].tag in walls:
@@ -93,7 +117,7 @@ class TreeBuilder:
         if tag in IMPLIED:
             ends, walls = IMPLIED[tag]
             lowest = 0
-            for k in range(len(self.open) - 1, 0, -1):
+            for k in range(len(self.open) - 1, 0, -1) if self._any(ends) else ():
                 if self.open[k].tag in ends:
                     lowest = k
                 elif self.open[k].tag in walls:
@@ -105,8 +129,9 @@ class TreeBuilder:
 
     def _push(self, node: Node) -> None:
         self.open[-1].children.append(node)
-        if len(self.open) < DEEPEST:
-            self.open.append(node)
+        self.open.append(node)
+        self.opened[node.tag] += 1
+        self.deepest = max(self.deepest, len(self.open))
 
     def start(self, tag: str, attributes: dict[str, str]) -> None:
         self._imply(tag)
@@ -133,8 +158,8 @@ class TreeBuilder:
         self.open[-1].children.append(text)
 
 
-def parse(page: str) -> Node:
-    """The tree of a page."""
+def parse(page: str) -> TreeBuilder:
+    """The tree of a page, in its builder."""
     builder, at, n = TreeBuilder(), 0, len(page)
     while at < n:
         found = TOKEN.search(page, at)
@@ -162,7 +187,7 @@ def parse(page: str) -> Node:
                     at = n
             elif rest.endswith("/") and tag not in VOID and tag in ("svg", "path", "g", "use", "circle", "rect"):
                 builder.end(tag)
-    return builder.root
+    return builder
 
 
 def unseen(node: Node) -> bool:
@@ -238,7 +263,7 @@ class Page:
 
 
 def rendered(node: Node, page: Page, raw: bool = False) -> None:
-    """Write a node's visible text. Elements nest at most DEEPEST deep."""
+    """Write a node's visible text."""
     numbers = 0
     if node.tag == "ol":
         start = node.attributes.get("start", "1")
@@ -344,8 +369,9 @@ def table_lines(node: Node) -> list[str]:
             if isinstance(cell, str):
                 holder = Node("#text")
                 holder.children.append(cell)
-            span = [int(holder.attributes[k]) if re.fullmatch("[0-9]{1,3}", holder.attributes.get(k, "")) else 1 for k in ("colspan", "rowspan")]
-            across, down = max(1, min(span[0], 100)), max(1, min(span[1], 100))
+            span = [int(holder.attributes[k]) if re.fullmatch("[0-9]{1,9}", holder.attributes.get(k, "")) else 1 for k in ("colspan", "rowspan")]
+            # a rowspan of 0 reaches to the end
+            across, down = max(1, min(span[0], MOST_ACROSS)), min(span[1], MOST_DOWN) or MOST_DOWN
             cells.append((at, across, inside(holder)))
             for c in range(at, at + across):
                 if down > 1:
@@ -384,8 +410,9 @@ def page_text(page: str | None) -> str | None:
     """The visible text of a page."""
     if page is None:
         return None
-    out = Page()
-    rendered(parse(page), out)
+    out, built = Page(), parse(page)
+    with deep_calls(1000 + 8 * built.deepest):
+        rendered(built.root, out)
     return out.text()
 
 

@@ -51,3 +51,18 @@ def test_hostile_pages_take_linear_time():
     for page in ("<div>" * 20_000 + "x", "<table>" * 3_000 + "x", "<p " * 20_000, "<a b='" * 5_000, "<!--" * 20_000, "<li>x" * 20_000, "</p>" * 20_000, "<script>" * 5_000):
         page_text(page)
     assert time.time() - began < 30
+
+
+def test_depth_has_no_limit():
+    inner = "<script>alert(1)</script><p hidden>secret</p><style>.x{}</style>vis"
+    assert page_text("<div>" * 250 + inner) == "vis"
+    assert page_text("<div><font>" * 15_000 + "<table><tr><td>a<td>b</table>" + inner).split() == ["a", "|", "b", "vis"]
+    assert page_text("<ul><li>" * 300 + "deep").endswith("- deep")
+
+
+def test_long_spans_and_formulas():
+    rows = "<tr><td rowspan=500>s</td><td>r0</td></tr>" + "".join(f"<tr><td>r{k}</td></tr>" for k in range(1, 510))
+    lines = page_text(f"<table>{rows}</table>").split("\n")
+    assert lines[0] == "s    | r0" and lines[300] == "     | r300" and lines[499] == "     | r499" and lines[500] == "r500"
+    assert page_text("<p>if <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then") == "if x=2 then"
+    assert page_text("<table><tr><td rowspan=0>s<td>a<tr><td>b</table>").split("\n")[1] == "  | b"
