@@ -1,8 +1,8 @@
 """Personal data: candidate spans, boosted trees over format and context, and calibrated thresholds.
 
 Spans of the base kinds (email, ip, card, phone) are exact patterns with checks and always stay. Beyond them, generators with a
-high recall propose overlapping candidates around digits: secrets (long mixed runs), national numbers, bank account numbers, phone numbers
-without a country sign, and dates of birth. Boosted trees score each from its format and the words around it; they are trained here, on
+high recall propose overlapping candidates: around digits, secrets (long mixed runs), national numbers, bank account numbers, phone numbers
+without a country sign, and dates of birth; and after a word that names one and a sign of assignment, secrets with or without digits. Boosted trees score each from its format and the words around it; they are trained here, on
 spans written by templates in code, and the threshold of each kind is the least calibrated probability that keeps PRECISION on templates
 that were not fitted. Of accepted candidates that overlap, the likeliest stays; none may overlap a base span.
 
@@ -102,6 +102,8 @@ CONTEXT = {
     "telephone": ("phone", "tel", "telephone", "mobile", "call", "fax", "telefon", "teléfono", "portable", "contact"),
     "birth": ("born", "birth", "birthday", "dob", "geboren", "né", "née", "nacido", "nacida"),
 }
+#: A secret by what stands before it: a naming word, = or :, perhaps a quotation mark.
+NAMED = re.compile(r"(?:token|secret|password|passwd|pwd|api[_-]?key|credential)[\"'`]?[ \t]{0,4}[:=][ \t]{0,4}[\"'`]?([^\s\"'`<>,;\x5b\x5d(){}]{6,})", re.I)
 WORD = re.compile(r"[^\W\d]+")
 
 
@@ -143,7 +145,11 @@ def templates(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
         return s if rng.random() < 0.5 else " ".join(s[k : k + 4] for k in range(0, len(s), 4))
 
     def secret() -> str:
-        return rng.choice([lambda: hexes(rng.choice([32, 40, 64])), lambda: alnum(rng.randrange(20, 60)), lambda: rng.choice(["sk-", "ghp_", "AKIA", "key-"]) + alnum(rng.randrange(16, 40))])()
+        kinds = [lambda: hexes(rng.choice([32, 40, 64])), lambda: alnum(rng.randrange(20, 60)), lambda: rng.choice(["sk-", "ghp_", "AKIA", "key-"]) + alnum(rng.randrange(16, 40)), passphrase]
+        return rng.choice(kinds)()
+
+    def passphrase() -> str:
+        return rng.choice(["", "-", "_", "."]).join(word() + word() for _ in range(rng.randrange(2, 5))) + rng.choice(["", "!", digits(2), digits(4)])
 
     make = {
         "secret": (secret, lambda: rng.choice([f"{word()}-{word()}-{digits(4)}-{word()}", f"{word()}{word()}{word()}{digits(2)}", f"{word()}/{word()}/{digits(4)}/{word()}-{word()}", digits(20), hexes(40)])),
@@ -169,6 +175,8 @@ def templates(n: int, seed: int) -> list[tuple[str, str, int, int, int]]:
             span = make[kind][1]()
         if label and not told and kind == "secret":
             span = rng.choice(["sk-", "ghp_", "AKIA"]) + alnum(rng.randrange(24, 40))
+        if label and kind == "secret" and told and not any(c.isdigit() for c in span):
+            before = f"{before.rstrip(' =:')}{rng.choice([' = ', ': ', '='])}" if before[-1:] == " " and before.rstrip()[-1:] not in "=:" else before
         text = before + span + rng.choice(["", ".", ", ", '"', " "]) + " ".join(word() for _ in range(3))
         out.append((kind, text, len(before), len(before) + len(span), label))
     return out
@@ -219,6 +227,8 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
 
 def added_spans(text: str, base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     proposed = candidates(text) if DIGIT.search(text) else []
+    if ":" in text or "=" in text:
+        proposed = sorted({*proposed, *(("secret", m.start(1), m.end(1)) for m in NAMED.finditer(text))})
     if not proposed:
         return []
     trees, least = model()
@@ -244,22 +254,24 @@ def written(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
-    """doc_id, a count of each base kind, base_sha256 and all spans of every row of docs."""
+    """doc_id, a count of each base kind, base_sha256, all spans and their number of every row of docs."""
     bound_batches(docs.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, sums, spans = [], [], []
+            counts, sums, spans, many = [], [], [], []
             for text in batch.column("text").to_pylist():
                 base = base_spans(text or "")
                 counts.append([sum(k == kind for k, _, _ in base) for kind in BASE])
                 sums.append(hashlib.sha256(written(base).encode()).hexdigest())
-                spans.append(written(base + added_spans(text or "", base)))
+                every = base + added_spans(text or "", base)
+                spans.append(written(every))
+                many.append(len(every))
             columns = list(zip(*counts, strict=True)) or [()] * len(BASE)
-            yield pa.record_batch([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns], pa.array(sums, pa.string()), pa.array(spans, pa.string())], names=["doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans"])
+            yield pa.record_batch([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in columns], pa.array(sums, pa.string()), pa.array(spans, pa.string()), pa.array(many, pa.int64())], names=["doc_id", *[f"n_{k}" for k in BASE], "base_sha256", "spans", "n_spans"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(read, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(read, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def replaced(text: str | None) -> str | None:

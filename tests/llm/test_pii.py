@@ -80,3 +80,10 @@ def test_long_secrets_go_whole():
     part = "".join(rng.choice(alphabet[:52]) for _ in range(400))
     for secret in (f"7{part}", f"{part}7", f"{part}7{part}"):
         assert ("secret", 9, 9 + len(secret)) in candidates(f'token = "{secret}" ok')
+
+
+def test_secrets_without_digits_and_long_ones():
+    for text, secret in (('password = "correcthorsebatterystaple" is set', "correcthorsebatterystaple"), ("api_key: purple-monkey-dishwasher-lamp", "purple-monkey-dishwasher-lamp"), ("token=" + "aB3x" * 80 + " end", "aB3x" * 80)):
+        assert secret not in replaced(text) and "[SECRET]" in replaced(text), text
+    for text in ("the password was changed: nobody knew", "a secret is a secret", "key points: many words follow here", None, ""):
+        assert replaced(text) == text
