@@ -1,13 +1,14 @@
 """Toxicity scores from a lexicon met with spelling errors, and from the words around each meeting.
 
-1. Terms are learned from a bounded sample of labelled training rows: words, and beginnings of words, that stand in many toxic texts and in
-   almost no others; a short list of common insults is added.
+1. Terms are learned from a bounded sample of labelled training rows: words, and beginnings of words, that stand in many toxic texts, between
+   different words, and in almost no others; a short list of common insults is added.
 2. All terms form one trie. The Levenshtein automata of its terms (one edit from 5 letters on, two from 9 on) run over the trie together as one
    automaton whose states, sets of (node, edits), are worked out when first met and then kept: a word is read once, whatever the
    size of the lexicon, and most words end after a few letters. Words that hold no whole piece of a term, of its letters but for the edits,
    cannot meet one and are not read; a worker keeps its automaton from task to task.
 3. Every meeting is read in its window: quotation marks around it or words of reporting near it speak for quotation, words of address for abuse.
-4. A logistic regression, fitted on the sample and weighted back to the labels' own shares, turns counts into a score.
+4. A logistic regression, fitted on the sample and weighted back to the labels' own shares, turns counts into a score. Its weights are drawn to
+   given ones and keep their signs: meetings, misspelled ones too, never lower a score, and quotation never raises it.
 
 Labels are learned from rows whose crc32 of the doc_id as text leaves a remainder other than 0 by 5; labels, lang, source and doc_id are never
 inputs of a score.
@@ -36,6 +37,8 @@ from .common import bound_batches, staged, table
 SAMPLE = 4000
 #: Terms of the lexicon at most; texts that a term has to stand in; and how much more often in toxic texts.
 MOST_TERMS, LEAST_TEXTS, LEAST_ODDS = 3000, 5, 30.0
+#: Of the toxic texts, the share from which on a term need not stand between different words.
+LEAST_SHARE = 0.01
 #: Lengths of beginnings that are tried as terms.
 STEMS = (4, 5, 6, 7)
 #: Common insults: fixed values.
@@ -191,6 +194,10 @@ class FuzzyLexicon:
 
 
 FEATURES = ("exact", "fuzzy", "stems", "quoted", "addressed", "density", "terms", "weight")
+#: Where weights are drawn to without rows that tell, and on which side of 0 they stay: quotation excuses, all else accuses.
+PRIOR = np.array([1.0, 0.7, 0.5, -0.7, 0.3, 0.3, 0.5, 0.5, 0.0])
+#: The least scale of a feature: one that the sample hardly shows is not blown up.
+LEAST_SCALE = 0.2
 
 
 class Reader:
@@ -198,39 +205,43 @@ class Reader:
 
     def __init__(self, lexicon: FuzzyLexicon):
         self.lexicon = lexicon
-        self.met: dict[str, tuple[str, int, bool] | None] = {}
+        self.seen: set[str] = set()
+        self.met: dict[str, tuple[str, int, bool]] = {}  # of the words seen, those that meet a term
 
-    def meeting(self, word: str) -> tuple[str, int, bool] | None:
-        if word not in self.met:
-            if len(self.met) > REMEMBERED:
-                self.met.clear()
-            self.met[word] = self.lexicon.meet(word)
-        return self.met[word]
+    def learn(self, words: set[str]) -> None:
+        """Look up words that were not seen yet."""
+        if len(self.seen) > REMEMBERED:
+            self.seen.clear(), self.met.clear()
+        for w in words:
+            m = self.lexicon.meet(w)
+            if m is not None:
+                self.met[w] = m
+        self.seen |= words
 
     def features(self, text: str | None) -> list[float]:
         lower = (text or "").lower()
-        words, met = WORD.findall(lower), self.met
-        some = False
-        for w in words:
-            m = met[w] if w in met else self.meeting(w)
-            if m is not None:
-                some = True
-        if not some:
+        words = WORD.findall(lower)
+        distinct = set(words)
+        if not distinct <= self.seen:
+            self.learn(distinct - self.seen if len(self.seen) <= REMEMBERED else distinct)
+        hits = self.met.keys() & distinct
+        if not hits:
             return [0.0] * len(FEATURES)
-        spans = [(m.start(), m.end(), m[0]) for m in WORD.finditer(lower)]
         exact = fuzzy = stems = quoted = addressed = 0
         weight, terms = 0.0, set()
-        for k, (a, b, w) in enumerate(spans):
-            m = self.meeting(w)
-            if m is None:
+        for k, found in enumerate(WORD.finditer(lower)):
+            w = words[k]
+            if w not in hits:
                 continue
-            near = {x for _, _, x in spans[max(0, k - WINDOW) : k + WINDOW + 1]}
+            m, (a, b) = self.met[w], found.span()
+            near = set(words[max(0, k - WINDOW) : k + WINDOW + 1])
             before = lower[a - 1 : a] if a else ""
-            told = before in QUOTES and before != "" and lower[b : b + 1] in QUOTES and b < len(lower) or bool(near & REPORT)
-            if told and not near & ADDRESS:
+            told = before in QUOTES and before != "" and lower[b : b + 1] in QUOTES and b < len(lower) or not near.isdisjoint(REPORT)
+            to_someone = not near.isdisjoint(ADDRESS)
+            if told and not to_someone:
                 quoted += 1
                 continue
-            addressed += bool(near & ADDRESS)
+            addressed += to_someone
             terms.add(m[0])
             weight += self.lexicon.weight[m[0]] / (1 + m[1])
             if m[2]:
@@ -261,16 +272,22 @@ class Scorer:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5, rounds: int = 40) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton steps; the constant is not drawn to 0."""
-    w, pull = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
-    pull[-1] = 1e-6
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        g = x.T @ (weight * (y - p)) - pull * w
-        h = (x.T * (weight * (p * (1 - p) + 1e-9))) @ x + np.diag(pull)
-        step = np.linalg.solve(h, g)
-        w = w + step / max(1.0, np.abs(step).max() / 4)
-    return w
+    """Weights of a logistic regression by Newton steps, drawn to PRIOR but for the constant; weights that would change PRIOR's sign are 0."""
+    free = np.ones(x.shape[1], bool)
+    while True:
+        w, pull = np.where(free, PRIOR, 0.0), np.full(x.shape[1], ridge)
+        pull[-1] = 1e-6
+        for _ in range(rounds):
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            g = x.T @ (weight * (y - p)) - pull * (w - PRIOR)
+            h = (x.T * (weight * (p * (1 - p) + 1e-9))) @ x + np.diag(pull)
+            step = np.zeros(len(w))
+            step[free] = np.linalg.solve(h[np.ix_(free, free)], g[free])
+            w = w + step / max(1.0, np.abs(step).max() / 4)
+        wrong = free & (w * PRIOR < 0)
+        if not wrong.any():
+            return w
+        free[np.flatnonzero(wrong)[np.argmax(np.abs(w[wrong]))]] = False
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
@@ -307,6 +324,21 @@ def learned_terms(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
     sums = sample.mapInArrow(count, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = ((F.col("toxic") + 0.1) / sizes[1]) / ((F.col("clean") + 0.1) / sizes[0])
     best = sums.filter(F.col("toxic") >= LEAST_TEXTS).withColumn("odds", odds).filter(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("toxic"), "term").limit(MOST_TERMS).collect()
+    wanted = frozenset(r["term"] for r in best)
+
+    def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = set()
+            for text in batch.column("text").to_pylist():
+                words = WORD.findall((text or "").lower())
+                for before, w, after in zip(["", *words], words, [*words[1:], ""], strict=False):
+                    found.update((t, f"{before} {after}") for t in (w, *(f"{w[:n]}…" for n in STEMS if len(w) > n)) if t in wanted)
+            yield pa.record_batch([pa.array([t for t, _ in found], pa.string()), pa.array([c for _, c in found], pa.string())], names=["term", "around"])
+
+    # copies of a text repeat a word between the same two words: a term that few texts hold has to stand in as many places
+    places = sample.filter("toxic = 1").select("text").mapInArrow(uses, "term string, around string").groupBy("term").agg(F.countDistinct("around").alias("n")).filter(F.col("n") >= LEAST_TEXTS)
+    varied = {r["term"] for r in places.collect()}  # MOST_TERMS rows at most
+    best = [r for r in best if r["term"] in varied or r["toxic"] >= LEAST_SHARE * sizes[1]]
     words = {r["term"]: float(np.log(r["odds"])) for r in best if not r["term"].endswith("…")}
     stems: dict[str, float] = {}
     for r in sorted((r for r in best if r["term"].endswith("…")), key=lambda r: len(r["term"])):
@@ -336,7 +368,7 @@ def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Scorer:
         return Scorer(lexicon, None, None)
     shares = {r["toxic"]: r["count"] for r in labels.filter("toxic in (0, 1)").filter(~held_out()).groupBy("toxic").count().collect()}
     x = np.array([r["x"] for r in rows])
-    scale = np.maximum(x.std(0), 1e-9)
+    scale = np.maximum(x.std(0), LEAST_SCALE)
     share = np.where(y == 1, shares[1] / y.sum(), shares[0] / (len(y) - y.sum()))
     w = logistic(np.column_stack([x / scale, np.ones(len(x))]), y, share / share.mean())
     return Scorer(lexicon, w, scale)

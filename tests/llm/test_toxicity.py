@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from marlstone.llm.toxicity import FEATURES, FuzzyLexicon, Reader, edits_for, fitted, toxicity
@@ -89,3 +90,25 @@ def test_words_left_unread_meet_nothing():
         if any(distance(w, x) <= edits_for(len(x)) for x in terms):
             assert lexicon.may_meet(w) and lexicon.meet(w) is not None
     assert lexicon.may_meet("abcdzzzzzzzzzzzzzzzzzzzzz") and not lexicon.may_meet("zzzzzzzzz")
+
+
+def test_misspelled_terms_are_met_and_contexts_weigh(spark):
+    rng, vowels = random.Random(4), "aeiou"
+    terms = ["".join(rng.choice("bdfglmnprst") + rng.choice(vowels) for _ in range(rng.randrange(3, 6))) for _ in range(12)]
+    filler = lambda: " ".join("".join(rng.choice("chjkqvwxyz") + rng.choice(vowels) for _ in range(3)) for _ in range(30))
+    rows = [(k, f"{filler()} {terms[k // 3 % 12]} {filler()}" if k % 3 == 0 else filler(), int(k % 3 == 0)) for k in range(900)]
+    rows += [rows[0], rows[0], (901, None, 0), (902, "", 0)]
+    docs = spark.createDataFrame([(d, t, "x", 1.5) for d, t, _ in rows], "doc_id long, text string, predicted string, score double")
+    scorer = fitted(docs, spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int"))
+    assert set(terms) <= set(scorer.lexicon.term)
+    wrong = {t: t[:2] + "q" + t[3:] for t in terms if len(t) >= 5}
+    assert sum(scorer.lexicon.meet(w) is not None for w in wrong.values()) >= 0.9 * len(wrong)
+    signs = dict(zip(FEATURES, scorer.weights, strict=False))
+    assert signs["quoted"] < 0 and min(v for k, v in signs.items() if k != "quoted") >= 0
+    reader = Reader(scorer.lexicon)
+    score = lambda text: float(scorer.score(np.array([reader.features(text)]))[0])
+    t = terms[0]
+    assert score(f"you {t} and {wrong[t]}") > 0.5 > score(f'he said the word "{t}" once')
+    out = toxicity(docs, scorer)
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"] and out.count() == len(rows)
+    assert len({r.score for r in out.filter("doc_id = 0").collect()}) == 1
