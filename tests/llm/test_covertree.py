@@ -2,15 +2,16 @@
 
 import numpy as np
 
+from marlstone.llm import covertree
 from marlstone.llm.covertree import RADII, CoverTree, near_duplicates
 
 SCHEMA = "vec_id long, embedding array<float>, label int, component string"
 
 
-def brute(rows, cosine=0.9):
+def brute(rows, cosine=0.9, width=8):
     good, units = [], []
     for k, v in rows:
-        if k is not None and v is not None and len(v) == 8 and all(x is not None and np.isfinite(x) for x in v) and any(v):
+        if k is not None and v is not None and len(v) == width and all(x is not None and np.isfinite(x) for x in v) and any(v):
             x = np.array(v, np.float32).astype(float)
             good.append(k)
             units.append(x / np.sqrt(x @ x))
@@ -41,6 +42,26 @@ def test_against_all_pairs(spark):
     assert got == brute(data)
 
 
+def test_many_blocks_widths_and_repeated_rows(spark, monkeypatch):
+    """Small blocks: pairs of blocks, split cells, gatherings; vectors of two lengths; rows that repeat and rows without an id."""
+    monkeypatch.setattr(covertree, "BLOCK", 40)
+    monkeypatch.setattr(covertree, "MOST_PIVOTS", 6)
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(9, 8))
+    wide = [centres[k % 9] + rng.normal(size=8) * (0.02 + 0.06 * (k % 5)) for k in range(500)] + [rng.normal(size=8) for _ in range(200)]
+    narrow = [rng.normal(size=3) for _ in range(60)]
+    rows = [[float(x) for x in np.float32(v)] for v in wide + narrow]
+    data = list(enumerate(rows))
+    want = brute(data, width=8) | {k: v for k, v in brute(data, width=3).items() if k >= 700}
+    assert sum(n for n, _ in brute(data, width=3).values()) > 20
+    df = spark.createDataFrame([(k, v, 0, "x") for k, v in data] + [(None, rows[0], 0, "x")], SCHEMA)
+    got = [r for r in near_duplicates(df).collect()]
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got if r.vec_id is not None} == want
+    assert all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None) and [(r.n_links, r.component_id) for r in got if r.vec_id is None] == [(0, None)]
+    twice = near_duplicates(df.filter("vec_id < 3").union(df.filter("vec_id = 1"))).collect()
+    assert len(twice) == 4 and sorted(r.n_links for r in twice if r.vec_id == 1) == [r.n_links for r in twice if r.vec_id == 1] and min(r.n_links for r in twice if r.vec_id == 1) >= 1
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame([], SCHEMA)).collect() == []
 
