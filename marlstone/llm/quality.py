@@ -21,7 +21,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import marked, settled, staged, table
+from .common import discard, marked, settled, staged, table
 
 GAPS, SYMBOLS = " \t\n\x0b\f\r", "#*$%&|<>"
 ALPHA, DELTA, PENALTY, LEAST_GAIN = 0.05, 0.05, 20, 0.02
@@ -120,19 +120,17 @@ def certified_cutoffs(counts: DataFrame, labels: DataFrame, alpha: float = ALPHA
     return certified.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == name, cutoff)).alias(f"cut_{name}") for name in RULES])
 
 
-def judged(docs: DataFrame, labels: DataFrame, whole: bool = False) -> DataFrame:
-    """doc_id, lang, counts, base_failed and kept of every row of docs, and with whole the row itself as _doc.
-
-    Cutoffs are learned from the counts of labelled rows; then one pass over docs gives counts and verdicts, and no text is shuffled.
-    """
-    known = labels.filter("quality in (0, 1)").select("doc_id")
-    likely = marked(docs.select("doc_id", "text", "lang"), known, "doc_id", "_known").filter("_known").drop("_known")
-    counts = staged(text_counts(likely), "counts")
-    cutoffs = staged(certified_cutoffs(counts, labels), "cutoffs")
+def verdicts(counts: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """counts with base_failed and kept; cutoffs must be a stored table."""
     small = F.broadcast(cutoffs) if cutoffs.count() <= MOST_STRATA else cutoffs
     above = reduce(lambda a, b: a | b, [F.coalesce(r > F.col(f"cut_{name}"), F.lit(False)) for name, r in ratios().items()])
-    read = docs.select("doc_id", "text", "lang", *[F.struct(*docs.columns).alias("_doc")] * whole)
-    return text_counts(read).join(small, F.col("lang").eqNullSafe(F.col("stratum")), "left").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~above)
+    return counts.join(small, F.col("lang").eqNullSafe(F.col("stratum")), "left").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~above)
+
+
+def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, lang, counts, base_failed and kept of every row of docs. Texts are counted once."""
+    counts = staged(text_counts(docs.select("doc_id", "text", "lang")), "counts")
+    return verdicts(counts, staged(certified_cutoffs(counts, labels), "cutoffs"))
 
 
 COLUMNS = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -144,5 +142,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def passing(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that are kept, each by its own text; rows that share a doc_id are judged apart."""
-    return judged(docs, labels, whole=True).filter("kept").select("_doc.*")
+    """The rows of docs that are kept, each by its own text; rows that share a doc_id are judged apart.
+
+    Cutoffs are learned from the counts of labelled rows; then one pass over docs counts, judges and filters, and no text is shuffled or stored.
+    """
+    known = labels.filter("quality in (0, 1)").select("doc_id")
+    likely = marked(docs.select("doc_id", "text", "lang"), known, "doc_id", "_known").filter("_known").drop("_known")
+    counts = staged(text_counts(likely), "counts")
+    cutoffs = staged(certified_cutoffs(counts, labels), "cutoffs")
+    discard(counts)
+    return verdicts(text_counts(docs.select("doc_id", "text", "lang", F.struct(*docs.columns).alias("_doc"))), cutoffs).filter("kept").select("_doc.*")
