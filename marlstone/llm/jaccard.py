@@ -37,6 +37,8 @@ from .shingles import Shingler, U, set_key
 MOST_HEAVY, LEAST_HEAVY = 1 << 20, 10
 #: Rows of one column that one block of the product holds; longer columns are cut into chunks, and pairs of chunks are blocks.
 CHUNK = 400
+#: First classes of more than CHUNK rows whose sizes are sent to the workers; more are joined.
+MOST_LARGE = 100_000
 #: Turns, at most, in which classes are compared with one class of their columns; there is a further one if many classes may gain by it.
 TURNS = 3
 #: Shingles that a worker gathers before it passes them on, and keys that it remembers to pass a set on once.
@@ -290,14 +292,16 @@ def blocked_pairs(columns: DataFrame, blocks: int) -> DataFrame:
     """
     hubs = columns.join(first_in_column(columns, 0), "token").groupBy(F.col("first.key").alias("hub"), "key", "n", "own").agg(F.collect_list("token").alias("tokens"))
     hubs = hubs.join(columns.groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("total")), "key")
+    hubs = staged(hubs, "hubs")
     sizes = hubs.groupBy("hub", "own").agg(F.count(F.lit(1)).alias("many"))
-    largest = sizes.groupBy("hub").agg(F.max_by("own", F.struct("many", "own")).alias("major"), F.max("many").alias("most"), F.sum("many").alias("rows"), F.count(F.lit(1)).alias("several")).filter("several > 1")
-    dealt = hubs.join(largest, "hub").withColumn("own_chunks", F.when(F.col("rows") <= CHUNK, 0).otherwise(F.ceil(F.col("most") / CHUNK)).cast("int"))
-    dealt = dealt.withColumn("chunks", F.when(F.col("rows") <= CHUNK, 1).otherwise(F.col("own_chunks") + F.ceil((F.col("rows") - F.col("most")) / CHUNK)).cast("int"))
+    large = staged(sizes.groupBy("hub").agg(F.max_by("own", F.struct("many", "own")).alias("major"), F.max("many").alias("most"), F.sum("many").alias("rows")).filter(F.col("rows") > CHUNK), "large")
+    told = large.count()  # one for CHUNK rows of hubs at most
+    dealt = hubs.join(F.broadcast(large) if told <= MOST_LARGE else large, "hub", "left").withColumn("own_chunks", F.coalesce(F.ceil(F.col("most") / CHUNK), F.lit(0)).cast("int"))
+    dealt = dealt.withColumn("chunks", F.coalesce(F.col("own_chunks") + F.ceil((F.col("rows") - F.col("most")) / CHUNK), F.lit(1)).cast("int"))
     # chunks of the largest component come first and meet the chunks of the others; those meet all
-    in_major = (F.col("own") == F.col("major")) & (F.col("own_chunks") > 0)
+    in_major = F.coalesce(F.col("own") == F.col("major"), F.lit(False))
     hashed = F.xxhash64("key")
-    dealt = dealt.withColumn("chunk", F.when(in_major, F.pmod(hashed, F.col("own_chunks"))).otherwise(F.col("own_chunks") + F.pmod(hashed, F.col("chunks") - F.col("own_chunks"))).cast("int"))
+    dealt = dealt.withColumn("chunk", F.when(in_major, F.pmod(hashed, F.col("own_chunks"))).otherwise(F.col("own_chunks") + F.pmod(hashed, F.greatest(F.col("chunks") - F.col("own_chunks"), F.lit(1)))).cast("int"))
     cells = dealt.withColumn("other", F.explode(F.sequence(F.when(in_major, F.col("own_chunks")).otherwise(0), F.col("chunks") - 1)))
     cells = cells.withColumn("cell", F.xxhash64("hub", F.least("chunk", "other"), F.greatest("chunk", "other"))).withColumn("cross", F.col("chunk") != F.col("other"))
     # a cell of two chunks holds both; the cell of a chunk with itself holds that chunk
@@ -397,6 +401,16 @@ def op8_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+OP8_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' '))) END AS g FROM w),
+x AS (SELECT doc_id, len(g) AS n, unnest(g) AS g FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+r AS (SELECT doc_id, doc_id AS least FROM documents UNION SELECT l.b, r.least FROM r JOIN l ON l.a = r.doc_id)
+SELECT r.doc_id, any_value(len(s.g))::BIGINT AS n_shingles, min(least) AS component_id FROM r JOIN s ON s.doc_id = r.doc_id GROUP BY r.doc_id
+"""
+
+
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that are the least doc_id of their component; rows of a null doc_id stay, and so do all rows of a kept doc_id."""
     return left_out(docs, staged(jaccard_components(docs).filter("doc_id != component_id").select("doc_id").distinct(), "dropped"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .covertree import op5_embedding_near_dedup
+from .covertree import OP5_SQL, op5_embedding_near_dedup
 from .html import op1_html_extraction
-from .jaccard import op8_ngram_jaccard_join
+from .jaccard import OP8_SQL, op8_ngram_jaccard_join
 from .mixing import op7_mixing
 from .packing import op10_best_fit_packing
 from .pii import op9_pii
@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": OP2_SQL}
+    return {"op2_warc": OP2_SQL, "op5_embedding_near_dedup": OP5_SQL, "op8_ngram_jaccard_join": OP8_SQL}
