@@ -90,7 +90,8 @@ def rank_of_update(old: SqlObject, new: SqlObject, shapes: tuple | None = None)
     if old.kind == "domain":
         return TRANSIENT if canonical(old.details["base"]) == canonical(new.details["base"]) else BREAKING
     if old.kind == "operator":
-        return TRANSIENT if all(canonical(old.details[k]) == canonical(new.details[k]) for k in ("left", "right")) else BREAKING
+        # another function may give another type
+        return TRANSIENT if all(canonical(old.details[k]) == canonical(new.details[k]) for k in ("left", "right")) and old.details["procedure"] == new.details["procedure"] else BREAKING
     return BREAKING
 
 

@@ -11,11 +11,12 @@ import re
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.idents import TARGETS, Ident
 from ..functions.identify import identify
-from ..functions.sqltext import split_statements
+from ..functions.sqltext import split_statements, tokens
 from ..operators import diff
 from ..operators.severity import enum_additions
 from ..operators.storage import stored
@@ -39,11 +40,29 @@ class ApplyResult:
 
 
 def as_spark(body: str) -> str:
-    """A PostgreSQL query in Spark's dialect, as far as spelling goes: JSON arrows, regular expressions, series, casts to text."""
-    body = re.sub(r"([\w.]+)\s*->>\s*'([^']*)'", r"get_json_object(\1, '$.\2')", body)
-    body = re.sub(r"([\w.]+)\s*~\s*('(?:[^']|'')*')", r"\1 RLIKE \2", body)
+    """A PostgreSQL query in Spark's dialect, as far as spelling goes: JSON arrows, regular expressions, powers, series, casts to text.
+
+    What stands in literals and quoted names stays as it is.
+    """
+    kept: list[str] = []
+
+    def put(text: str) -> str:
+        kept.append(text)
+        return f"\x01{len(kept) - 1}\x01"
+
+    out, at = [], 0
+    for t in tokens(body):
+        if t.kind in ("string", "quoted", "dollar"):
+            out += [body[at : t.start], put(t.text if t.kind != "quoted" else "`" + t.name.replace("`", "``") + "`")]
+            at = t.end
+    body = "".join(out) + body[at:]
+    body = re.sub(r"([\w.]+)\s*->>\s*\x01([0-9]+)\x01", lambda m: f"get_json_object({m[1]}, {put(chr(39) + '$.' + kept[int(m[2])][1:-1] + chr(39))})", body)
+    body = re.sub(r"([\w.]+)\s*~\s*(\x01[0-9]+\x01)", r"\1 RLIKE \2", body)
     body = re.sub(r"::\s*(text|varchar)\b", "::string", body, flags=re.I)
-    return re.sub(r"\bgenerate_series\s*\(\s*([^,()]+),\s*([^,()]+)\)", r"explode(sequence(\1, \2))", body, flags=re.I)
+    body = re.sub(r"::\s*(float8|double precision)\b", "::double", body, flags=re.I)
+    body = re.sub(r"([\w.]+|\([^()]*\))\s*\^\s*([\w.]+|\([^()]*\))", r"power(\1, \2)", body)
+    body = re.sub(r"\bgenerate_series\s*\(\s*([^,()]+),\s*([^,()]+)\)", r"explode(sequence(\1, \2))", body, flags=re.I)
+    return re.sub(r"\x01([0-9]+)\x01", lambda m: kept[int(m[1])], body)
 
 
 class Executor:
@@ -69,14 +88,45 @@ class Executor:
                 df = df.toDF(*o.details["columns"], *df.columns[len(o.details["columns"]) :])
             (stored(df) if o.kind == "materialized_view" else df).createOrReplaceTempView(f"`{name}`")
             return True
-        if o.kind == "function" and o.details["language"] == "sql" and not o.details["set"]:
-            m = re.fullmatch(r"(?is)\s*select\s+(.*?);?\s*", o.details["body"])
-            if m and not re.search(r"(?i)\bfrom\b", m[1]) and all(a["name"] for a in o.details["args"]):
-                args = ", ".join(f"{a['name']} {SPARK_TYPES.get(a['text'].removeprefix('pg_catalog.'), 'string')}" for a in o.details["args"] if a["mode"] == "in")
-                self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURN {as_spark(m[1])}")
+        if o.kind == "aggregate":
+            given = {k.lower(): v.strip() for k, v in re.findall(r"(?i)\b(sfunc|stype|initcond)\s*=\s*('[^']*'|[\w.]+)", ddl)}
+            self.aggregates()[name] = (given.get("sfunc", ""), given.get("initcond", "").strip("'"))
+            return given.get("sfunc") in FOLDS
+        if o.kind == "operator" and o.details["procedure"]:
+            self.operators()[str(o.ident)] = str(o.details["procedure"])
+            return True
+        if o.kind == "function" and o.details["language"] == "sql":
+            body = (o.details["body"] or "").strip().rstrip(";")
+            if re.match(r"(?is)select\b", body) and ";" not in body and all(a["name"] for a in o.details["args"]):
+                kind = lambda text: SPARK_TYPES.get(text.removeprefix("pg_catalog."), "string")
+                args = ", ".join(f"{a['name']} {kind(a['text'])}" for a in o.details["args"] if a["mode"] == "in")
+                columns = ", ".join(f"{a['name']} {kind(a['text'])}" for a in o.details["args"] if a["mode"] == "table")
+                if o.details["set"] and not columns:
+                    return False
+                simple = re.fullmatch(r"(?is)select\s+(.*)", body)[1]
+                told = f"SELECT {as_spark(simple)}" if columns else as_spark(simple) if not re.search(r"(?i)\bfrom\b", simple) else f"({as_spark(body)})"
+                self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {f'TABLE ({columns})' if columns else kind(o.details['returns'])} RETURN {told}")
                 return True
         return False
 
+    def aggregates(self) -> dict[str, tuple[str, str]]:
+        """State function and first state of the aggregates made in this session."""
+        return MADE.setdefault(("aggregates", id(self.spark)), {})
+
+    def operators(self) -> dict[str, str]:
+        """The function behind each operator made in this session."""
+        return MADE.setdefault(("operators", id(self.spark)), {})
+
+    def aggregated(self, df: DataFrame, keys: list[str], aggregate: str, column: str, alias: str) -> DataFrame:
+        """df grouped by keys under an aggregate whose state function is one of FOLDS, so that states of parts are put together."""
+        sfunc, first = self.aggregates()[self.spelled(aggregate)]
+        kind = df.schema[column].dataType
+        return df.groupBy(*keys).agg(FOLDS[sfunc](F.col(column), F.lit(first or None).cast(kind)).cast(kind).alias(alias))
+
+    def applied(self, operator: str, left: Column | None, right: Column) -> Column:
+        """An operator's function on its sides; a prefix operator has no left one."""
+        return F.call_function(self.operators()[operator], *([] if left is None else [left]), right)
+
     def drop(self, kind: str, name: str) -> None:
         if kind in ("view", "materialized_view"):
             self.spark.catalog.dropTempView(self.spelled(name))
@@ -84,6 +134,14 @@ class Executor:
             self.spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {self.spelled(name)}")
 
 
+#: What aggregates and operators stand for, by session; definitions of one session end with it.
+MADE: dict[tuple[str, int], dict] = {}
+#: State functions whose states of parts can be put together, with the first state: fixed names.
+FOLDS = {
+    **dict.fromkeys(("int4pl", "int8pl", "float8pl", "numeric_add"), lambda x, first: F.coalesce(F.sum(x), F.lit(0)) + F.coalesce(first, F.lit(0))),
+    **dict.fromkeys(("int4larger", "int8larger", "float8larger", "text_larger"), lambda x, first: F.greatest(F.max(x), first)),
+    **dict.fromkeys(("int4smaller", "int8smaller", "float8smaller", "text_smaller"), lambda x, first: F.least(F.min(x), first)),
+}
 #: Spark's names of the catalog's types: fixed values.
 SPARK_TYPES = {"int2": "smallint", "int4": "int", "int8": "bigint", "float4": "float", "float8": "double", "numeric": "decimal(38,10)", "bool": "boolean", "text": "string", "varchar": "string", "date": "date", "timestamp": "timestamp_ntz", "timestamptz": "timestamp"}
 
@@ -110,10 +168,12 @@ def apply_plan(spark: SparkSession, store: StateStore, plan: Plan, development:
             if by[n].type == "delete":
                 result.objects_deleted.append(by[n].name)
         for name, text in plan.new_migrations:
-            early = {s for s, _ in enum_additions(text)}
+            early = {s: again for s, again in enum_additions(text)}
             for s in split_statements(text):
-                if s.sql not in early:
-                    spark.sql(s.sql)
+                if s.sql in early:  # Spark has no enum types: the label is told, as nothing runs
+                    result.warnings.append(f"recorded only: {early[s.sql]}")
+                else:
+                    spark.sql(as_spark(s.sql))
             result.migrations_applied.append(name)
         makes, warning = ordered(spark, plan, [n for n, c in by.items() if c.type != "delete"])
         result.warnings += [warning] if warning else []
@@ -152,6 +212,12 @@ def restore(run: Executor, plan: Plan, by: dict) -> None:
         waiting = left
 
 
+def comment_keys(kind: str, name: str) -> list[tuple[str]]:
+    """The keys under which comments on an object are recorded."""
+    word = kind if kind in ("table", "view", "materialized_view", "function", "procedure", "operator", "type", "trigger", "domain") else None
+    return [] if word is None else [(f"{word}:{name}{'()' if kind in ('function', 'procedure') else ''}",)]
+
+
 def publish(spark: SparkSession, store: StateStore, plan: Plan, made: list, deleted: list) -> None:
     now = datetime.now(UTC).replace(tzinfo=None)
     keys = ["object_type", "object_name"]
@@ -159,14 +225,21 @@ def publish(spark: SparkSession, store: StateStore, plan: Plan, made: list, dele
     owners = spark.createDataFrame(touched, "object_type string, object_name string")
     rows = [(c.object_type, c.name, plan.objects[c.node]["ddl_hash"], plan.objects[c.node]["ddl"], plan.objects[c.node]["trigger_table"], now) for c in made]
     state = diff.replace_of(store.table("state"), spark.createDataFrame(rows, store.table("state").schema), owners, keys)
-    gone = [f"%{c.name}" for c in deleted]
-    for pattern in gone:  # comments on what is gone; keys end in the name or in name()
-        state = state.filter(~((F.col("object_type") == "comment") & (F.expr(f"object_name like '%:{pattern[1:]}'") | F.expr(f"object_name like '%:{pattern[1:]}()'"))))
+    gone = spark.createDataFrame(sorted({k for c in deleted for k in comment_keys(c.object_type, c.name)}), "_key string") if deleted else None
+    if gone is not None:  # comments on what is gone, by their whole keys; a relation's columns have its name before theirs
+        state = state.join(F.broadcast(gone), (F.col("object_type") == "comment") & (F.col("object_name") == F.col("_key")), "left_anti")
+        for c in deleted:
+            if c.object_type in ("table", "view", "materialized_view"):
+                state = state.filter(~((F.col("object_type") == "comment") & F.startswith("object_name", F.lit(f"column:{c.name}."))))
     kept = {(c.object_type, c.name) for c in made}
     deps = plan.deps.join(spark.createDataFrame(sorted(kept) or [("", "")], "object_type string, state_name string"), ["object_type", "state_name"], "left_semi")
     soft = (F.col("dep_class") == "function") & F.col("object_type").isin("function", "procedure")
     new_deps = deps.select(F.col("object_type").alias("dependent_type"), F.col("state_name").alias("dependent_name"), F.col("dep_class").alias("dependency_type"), F.col("dep_schema").alias("dependency_schema"), F.col("dep_name").alias("dependency_name"), F.when(soft, "soft").otherwise("hard").alias("dependency_kind"))
     old = store.table("dependencies")
     both = diff.replace_of(old, new_deps, owners.toDF("dependent_type", "dependent_name"), ["dependent_type", "dependent_name"])
+    for c in deleted:  # rows that name what is gone as what they depend on
+        target = Ident.parse(c.name)
+        kind = next((k for k, kinds in TARGETS.items() if c.object_type in kinds), None)
+        both = both.filter(~((F.col("dependency_type") == F.lit(kind)) & F.col("dependency_schema").eqNullSafe(F.lit(target.schema)) & (F.col("dependency_name") == F.lit(target.name))) | F.lit(kind is None))
     applied = spark.createDataFrame([(n, now) for n, _ in plan.new_migrations], store.table("migrations").schema)
     store.publish({"state": state, "dependencies": both, "migrations": diff.insert_if_absent(store.table("migrations"), applied, ["name"])})

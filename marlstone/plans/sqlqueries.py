@@ -38,7 +38,7 @@ def values_list(spark, d):
 
 @query("SELECT r_regionkey, g::BIGINT AS k, r_regionkey * g AS product FROM region, generate_series(0, 4) AS t(g) WHERE g <= r_regionkey")
 def series_per_row(spark, d):
-    return read(spark, d, "region").select("r_regionkey", F.explode(F.sequence(F.lit(0), F.col("r_regionkey"))).cast("long").alias("k")).withColumn("product", F.col("r_regionkey") * F.col("k"))
+    return read(spark, d, "region").select("r_regionkey", F.explode(F.sequence(F.lit(0).cast("long"), F.col("r_regionkey").cast("long"))).alias("k")).withColumn("product", F.col("r_regionkey") * F.col("k"))
 
 
 @query("SELECT count(*) AS n, count(DISTINCT l_suppkey) AS suppliers, avg(l_quantity::DECIMAL(18, 2))::DOUBLE AS mean FROM lineitem")
