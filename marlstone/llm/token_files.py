@@ -1,7 +1,7 @@
 """Token ids in Arrow files of equal-length sequences.
 
 A folder holds pairs of Arrow IPC files, numbered in the order of doc_id. NNNNN-*.arrow has record batches of three fixed-size-list
-columns: ids (unsigned 16-bit), mask (a byte: 1 a token, 0 padding of the file's last sequence) and ends (a byte: 1 at a document's last
+columns: ids (unsigned 16-bit), mask (true: a token, false: padding of the file's last sequence) and ends (true at a document's last
 token). NNNNN-*.docs.arrow has doc_id, first and n_tokens in the same order. The documents of a file follow each other without gaps.
 A reader maps a file into memory and reaches sequence k at batch k // rows, row k % rows, without copying.
 
@@ -17,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,7 +34,7 @@ def file_system(path: str):
 
 
 def schema(length: int) -> pa.Schema:
-    return pa.schema([("ids", pa.list_(pa.uint16(), length)), ("mask", pa.list_(pa.uint8(), length)), ("ends", pa.list_(pa.uint8(), length))])
+    return pa.schema([("ids", pa.list_(pa.uint16(), length)), ("mask", pa.list_(pa.bool_(), length)), ("ends", pa.list_(pa.bool_(), length))])
 
 
 def fixed(values: np.ndarray, kind: pa.DataType, length: int) -> pa.FixedSizeListArray:
@@ -62,12 +63,12 @@ class SequenceWriter:
         return first
 
     def _flush(self, n: int, padding: int = 0) -> None:
-        ids, ends = np.concatenate([*self.ids, np.zeros(padding, np.uint16)]), np.zeros(self.held + padding, np.uint8)
-        ends[self.ends] = 1
-        mask = (np.arange(len(ids)) < self.held).astype(np.uint8)
+        ids, ends = np.concatenate([*self.ids, np.zeros(padding, np.uint16)]), np.zeros(self.held + padding, bool)
+        ends[self.ends] = True
+        mask = np.arange(len(ids)) < self.held
         for at in range(0, n, self.batch):
             part = slice(at, min(n, at + self.batch))
-            self.writer.write_batch(pa.record_batch([fixed(ids[part], pa.uint16(), self.length), fixed(mask[part], pa.uint8(), self.length), fixed(ends[part], pa.uint8(), self.length)], schema=schema(self.length)))
+            self.writer.write_batch(pa.record_batch([fixed(ids[part], pa.uint16(), self.length), fixed(mask[part], pa.bool_(), self.length), fixed(ends[part], pa.bool_(), self.length)], schema=schema(self.length)))
         self.ids, self.ends, self.held = [ids[n:]], [e - n for e in self.ends if e >= n], max(0, self.held - n)
 
     def close(self) -> None:
@@ -118,10 +119,10 @@ def open_sequences(folder: str, file: str) -> pa.RecordBatchFileReader:
     return pa.ipc.open_file(system.open_input_file(f"{root}/{file}"))
 
 
-def sequence(reader: pa.RecordBatchFileReader, k: int, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and mask of sequence k, by place; both are views of the file."""
+def sequence(reader: pa.RecordBatchFileReader, k: int, rows: int = ROWS) -> tuple[np.ndarray, pa.BooleanArray]:
+    """Ids and mask of sequence k, by place. Both are views of the file: a mask stays packed, eight tokens a byte, until its bits are asked for."""
     batch = reader.get_batch(k // rows)
-    return batch.column("ids")[k % rows].values.to_numpy(), batch.column("mask")[k % rows].values.to_numpy()
+    return batch.column("ids")[k % rows].values.to_numpy(), batch.column("mask")[k % rows].values
 
 
 def documents_in(folder: str, file: str) -> Iterator[tuple[np.ndarray, bool]]:
@@ -130,9 +131,9 @@ def documents_in(folder: str, file: str) -> Iterator[tuple[np.ndarray, bool]]:
     for k in range(reader.num_record_batches):
         batch = reader.get_batch(k)
         ids = batch.column("ids").flatten().to_numpy()
-        n = int(batch.column("mask").flatten().to_numpy().sum(dtype=np.int64))
+        n = pc.sum(batch.column("mask").flatten()).as_py() or 0
         at = 0
-        for end in np.flatnonzero(batch.column("ends").flatten().to_numpy()[:n]) + 1:
+        for end in np.flatnonzero(batch.column("ends").flatten().to_numpy(zero_copy_only=False)[:n]) + 1:
             yield ids[at:end], True
             at = end
         if at < n:

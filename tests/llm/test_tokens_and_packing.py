@@ -146,5 +146,6 @@ def test_masks_are_views_of_the_file(tmp_path):
     reader = open_sequences(f"file://{tmp_path}", "a.arrow")
     before = pa.total_allocated_bytes()
     ids, mask = sequence(reader, 2, rows=2)
-    assert list(ids) == [8, 0, 1, 2, 3, 0, 0, 0] and list(mask) == [1] * 5 + [0] * 3 and not mask.flags.owndata and not ids.flags.owndata
+    assert list(ids) == [8, 0, 1, 2, 3, 0, 0, 0] and mask.to_pylist() == [True] * 5 + [False] * 3 and not ids.flags.owndata
+    assert mask.buffers()[1].address == reader.get_batch(1).column("mask").flatten().buffers()[1].address
     assert pa.total_allocated_bytes() - before < 4096
