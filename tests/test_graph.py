@@ -1,15 +1,45 @@
-"""Null nodes on the driver and in joins."""
+"""The driver's walk and the joined rounds give the same, nulls included; what is deleted leaves no comment or dependency."""
 
 import pytest
 
+from marlstone.functions.idents import Ident
 from marlstone.operators import graph
+from marlstone.plans.applying import Executor, as_spark, comment_keys
 
 
-@pytest.mark.parametrize("most_local", [0, graph.FEW])
-def test_null_nodes_are_left_out(spark, most_local):
-    edges = spark.createDataFrame([(1, 2, "hard"), (2, None, "hard"), (None, 3, "hard")], "src long, dst long, kind string")
-    for seeds in ([(1,)], [(1,), (None,)]):
-        found = graph.closure(edges, spark.createDataFrame(seeds, "node long"), with_seeds=True, most_local=most_local)
-        assert sorted(r.node for r in found.collect()) == [1, 2]
-    nodes = spark.createDataFrame([(1,), (2,), (3,), (None,)], "node long")
-    assert sorted(map(tuple, graph.levels(nodes, edges, most_local=most_local).collect())) == [(1, 0), (2, 1), (3, 0)]
+@pytest.mark.parametrize("most_local", [0, 1000])
+def test_nulls_are_no_nodes(spark, most_local):
+    edges = spark.createDataFrame([("a", "b", "hard"), ("b", None, "hard"), (None, "x", "hard"), ("b", "c", "soft"), ("b", "d", "hard"), ("a", "b", "hard")], "src string, dst string, kind string")
+    seeds = spark.createDataFrame([("a",), (None,)], "node string")
+    assert {r.node for r in graph.closure(edges, seeds, most_local=most_local).collect()} == {"b", "d"}
+    nodes = spark.createDataFrame([(n,) for n in ("a", "b", "c", "d", "x", None)], "node string")
+    assert {r.node: r.level for r in graph.levels(nodes, edges, most_local=most_local).collect()} == {"a": 0, "b": 1, "c": 2, "d": 2, "x": 0}
+    circle = edges.union(spark.createDataFrame([("d", "a", "hard")], edges.schema))
+    with pytest.raises(graph.CycleError):
+        graph.levels(nodes, circle, most_local=most_local)
+
+
+def test_comment_keys_are_whole():
+    assert comment_keys("view", "s.user_stats") == [("view:s.user_stats",)] and comment_keys("function", "f") == [("function:f()",)] and comment_keys("index", "i") == []
+    assert Ident.parse("s.user_stats") == Ident("s", "user_stats")
+
+
+def test_spelling_leaves_literals_alone():
+    assert as_spark("SELECT 'x::text', a::text") == "SELECT 'x::text', a::string"
+    assert as_spark("SELECT props->>'k', b ~ '^a'") == "SELECT get_json_object(props, '$.k'), b RLIKE '^a'"
+    assert as_spark("SELECT x ^ 2, '2 ^ 3', \"a b\"") == "SELECT power(x, 2), '2 ^ 3', `a b`"
+    assert as_spark("SELECT generate_series(1, n)") == "SELECT explode(sequence(1, n))"
+
+
+def test_definitions_run(spark):
+    run = Executor(spark)
+    assert run.create("CREATE FUNCTION marl_sum(a int4, b int4) RETURNS int4 LANGUAGE sql AS 'SELECT a + b'")
+    assert run.create("CREATE OPERATOR +++ (LEFTARG = int4, RIGHTARG = int4, PROCEDURE = marl_sum)")
+    assert run.create("CREATE AGGREGATE marl_top(int8) (SFUNC = int8larger, STYPE = int8)")
+    assert not run.create("CREATE AGGREGATE marl_odd(int8) (SFUNC = own_function, STYPE = int8)")
+    df = spark.createDataFrame([(1, 5), (1, 9), (2, None)], "k int, v long")
+    assert {r.k: r.top for r in run.aggregated(df, ["k"], "marl_top", "v", "top").collect()} == {1: 9, 2: None}
+    assert sorted(r.s for r in df.select(run.applied("+++", df.k, df.k).alias("s")).collect()) == [2, 2, 4]
+    assert run.create("CREATE FUNCTION marl_rows(least int8) RETURNS TABLE (x int8) LANGUAGE sql AS $$ SELECT id FROM range(5) WHERE id >= least $$")
+    assert sorted(r.x for r in spark.sql("SELECT * FROM marl_rows(3)").collect()) == [3, 4]
+    assert not run.create("CREATE FUNCTION marl_pl() RETURNS int4 LANGUAGE plpgsql AS $$ BEGIN RETURN 1; END $$")
