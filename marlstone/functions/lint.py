@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException, ParseException
@@ -27,8 +28,15 @@ def source_line(start: Column, body_offset: Column, line: Column) -> Column:
     return start + body_offset + line - 1
 
 
-def lint(spark: SparkSession, o: SqlObject, analyse: bool = True) -> list[Finding]:
-    """Findings for a routine of language sql or a view: statements that Spark cannot parse or resolve. Names that begin with _ are left out."""
+#: Error conditions of statements that fail whenever they run.
+CERTAIN = ("UNRESOLVED_COLUMN", "WRONG_NUM_ARGS", "DATATYPE_MISMATCH")
+
+
+def lint(spark: SparkSession, o: SqlObject, analyse: bool = True, ready: Callable[[SqlObject, str], str] = lambda o, sql: sql) -> list[Finding]:
+    """Findings for a routine of language sql or a view: statements that Spark cannot parse or resolve. Names that begin with _ are left out.
+
+    ready writes a statement of o as Spark is to analyse it.
+    """
     if o.ident.name.startswith("_"):
         return []
     if o.kind in ("function", "procedure"):
@@ -43,11 +51,11 @@ def lint(spark: SparkSession, o: SqlObject, analyse: bool = True) -> list[Findin
     for s in split_statements(body):
         try:
             if analyse:
-                _ = spark.sql(s.sql).schema
+                _ = spark.sql(ready(o, s.sql)).schema
             else:
                 spark._jsparkSession.sessionState().sqlParser().parsePlan(s.sql)
         except (AnalysisException, ParseException) as e:
-            level = "error" if isinstance(e, ParseException) or "UNRESOLVED_COLUMN" in str(e) else "warning"
+            level = "error" if isinstance(e, ParseException) or any(x in str(e) for x in CERTAIN) else "warning"
             out.append(Finding(o.kind, str(o.ident), level, str(e).split("\n")[0], s.start_line, None if o.start_line is None else o.start_line + offset + s.start_line - 1))
     return out
 

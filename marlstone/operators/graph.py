@@ -150,17 +150,17 @@ def counts(nodes: DataFrame, edges: DataFrame) -> tuple[int, int]:
     return nodes.select("node").distinct().count(), edges.count()
 
 
-#: Colour and shape of each kind in a drawing.
+#: Colour and shape of each kind in a drawing: fixed values.
 LOOKS = {
-    "table": ("lightblue", "box"), "view": ("lightgreen", "ellipse"), "materialized_view": ("palegreen", "ellipse"), "function": ("lightyellow", "diamond"), "procedure": ("khaki", "diamond"), "type": ("lightpink", "hexagon"), "domain": ("mistyrose", "hexagon"),
-    "index": ("lightgray", "box"), "trigger": ("orange", "parallelogram"), "comment": ("white", "note"), "cron_job": ("plum", "octagon"), "aggregate": ("gold", "diamond"), "operator": ("tan", "circle"),
+    "table": ("lightcyan", "rect"), "view": ("lightblue", "box"), "materialized_view": ("darkblue", "box3d"), "function": ("lightgreen", "ellipse"), "procedure": ("darkgreen", "ellipse"), "type": ("lightyellow", "diamond"), "domain": ("lightcoral", "hexagon"),
+    "index": ("lightgray", "trapezium"), "trigger": ("lightpink", "invtriangle"), "comment": ("lavender", "note"), "cron_job": ("orange", "octagon"), "aggregate": ("lightsteelblue", "triangle"), "operator": ("lightsalmon", "invhouse"),
 }
 
 
 def dot(nodes: list[str], edges: list[tuple[str, str, str]]) -> str:
     """A Graphviz drawing of nodes (kind::name) and edges (src, dst, kind): soft ones dashed."""
     quote = lambda s: '"' + s.replace("\\", "\\\\").replace('"', '\\"') + '"'
-    out = ["digraph dependencies {", "  rankdir=LR;"]
+    out = ["digraph dependency_graph {", "  rankdir=LR;"]
     for node in nodes:
         kind, _, name = node.partition("::")
         colour, shape = LOOKS.get(kind, ("white", "box"))

@@ -15,11 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.idents import TARGETS, Ident
-from ..functions.identify import identify
+from ..functions.identify import SqlObject, identify
+from ..functions.lint import Finding, lint, report
 from ..functions.sqltext import split_statements, tokens
 from ..operators import diff
 from ..operators.severity import enum_additions
 from ..operators.storage import stored
+from ..sources.scan import as_object
 from ..sources.state import StateStore
 from .planning import Plan, make_plan, ordered
 
@@ -146,14 +148,34 @@ FOLDS = {
 SPARK_TYPES = {"int2": "smallint", "int4": "int", "int8": "bigint", "float4": "float", "float8": "double", "numeric": "decimal(38,10)", "bool": "boolean", "text": "string", "varchar": "string", "date": "date", "timestamp": "timestamp_ntz", "timestamptz": "timestamp"}
 
 
-def apply(spark: SparkSession, store: StateStore, code, migrations: str | None = None, lock_limit: float = 30.0, development: bool = False) -> ApplyResult:
+def bound(o: SqlObject, sql: str) -> str:
+    """A statement of an object's body in Spark's dialect, with the parameters that it names standing as nulls of their types."""
+    args = [a for a in o.details.get("args", ()) if a["name"] and a["mode"] in ("in", "inout", "variadic")]
+    if not args or not re.match(r"(?is)\s*(select|with)\b", sql):
+        return as_spark(sql)
+    given = ", ".join(f"CAST(NULL AS {SPARK_TYPES.get(a['text'].removeprefix('pg_catalog.'), 'string')}) AS `{a['name']}`" for a in args)
+    return f"SELECT 1 FROM (SELECT {given}) AS given, LATERAL ({as_spark(sql)}) AS body"
+
+
+def findings_of(spark: SparkSession, plan: Plan, made: list[str]) -> list[Finding]:
+    """What is found in the objects that were made, and errors of the routines that only call them and were not made again."""
+    calls = plan.edges.filter("kind = 'soft'").join(spark.createDataFrame([(n,) for n in made] or [("",)], "src string"), "src", "left_semi")
+    callers = sorted({r["dst"] for r in calls.select("dst").distinct().collect()} - set(made))
+    read_one = lambda n: lint(spark, as_object(plan.objects[n]), ready=bound)
+    return [f for n in made for f in read_one(n)] + [f for n in callers if n in plan.objects for f in read_one(n) if f.level == "error"]
+
+
+def apply(spark: SparkSession, store: StateStore, code, migrations: str | None = None, lock_limit: float = 30.0, development: bool = False, gate: bool = False) -> ApplyResult:
     """Plan and apply under the state's lock."""
     with store.lock(lock_limit):
-        return apply_plan(spark, store, make_plan(spark, store, code, migrations), development)
+        return apply_plan(spark, store, make_plan(spark, store, code, migrations), development, gate)
+
 
+def apply_plan(spark: SparkSession, store: StateStore, plan: Plan, development: bool = False, gate: bool = False) -> ApplyResult:
+    """Drop, migrate, create, in dependency order; then publish the new state at once.
 
-def apply_plan(spark: SparkSession, store: StateStore, plan: Plan, development: bool = False) -> ApplyResult:
-    """Drop, migrate, create, in dependency order; then publish the new state at once."""
+    In development, a gate lints what was made and the routines that call it: errors end the apply before anything is published.
+    """
     result, run = ApplyResult(severity=plan.worst, warnings=list(plan.problems)), Executor(spark)
     named = lambda c: {"object_type": c.object_type, "name": c.name}
     if not plan.changes:
@@ -184,6 +206,11 @@ def apply_plan(spark: SparkSession, store: StateStore, plan: Plan, development:
             (result.objects_created if by[n].type == "create" else result.objects_updated).append(shown)
             if development:
                 store.emit("object_loaded", {**named(by[n]), "file": o["file"], "start_line": o["start_line"], "end_line": o["end_line"]})
+        if development and gate:
+            found = findings_of(spark, plan, makes)
+            result.warnings += [report([f]) for f in found if f.level != "error"]
+            if wrong := [f for f in found if f.level == "error"]:
+                raise ApplyError("; ".join(report([f]) for f in wrong))
         publish(spark, store, plan, [by[n] for n in makes], [c for c in by.values() if c.type == "delete"])
     except Exception as e:
         restore(run, plan, by)

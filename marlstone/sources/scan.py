@@ -22,7 +22,7 @@ SPECIAL_FORMS = "coalesce nullif greatest least current_date current_time curren
 #: Bare names of built-in types: fixed values.
 BUILTIN_TYPES = "text varchar bpchar char name int2 int4 int8 float4 float8 numeric bool date time timetz timestamp timestamptz interval uuid json jsonb bytea bit varbit money inet cidr macaddr xml oid regclass regproc regprocedure regtype void trigger record anyelement anyarray serial bigserial smallserial point line box path polygon circle tsvector tsquery".split()
 #: Functions of test frameworks, left out of a test's dependencies: fixed values.
-TEST_FUNCTIONS = frozenset("plan no_plan finish ok is isnt pass fail diag skip todo throws_ok throws_like lives_ok results_eq results_ne set_eq bag_eq is_empty isnt_empty has_table has_view has_function has_column has_type has_index has_trigger matches like unlike cmp_ok row_eq performs_ok".split())
+TEST_FUNCTIONS = frozenset("plan pass fail ok is isnt matches doesnt_match alike unalike cmp_ok isa_ok throws_ok lives_ok performs_ok finish no_plan skip todo todo_start todo_end diag note has_table has_view has_function has_type has_column has_index has_trigger has_schema has_role".split())
 TEST_MARK = ".test."
 
 

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import os
+import threading
 import time
 import uuid
 from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = {
     "state": "object_type string, object_name string, ddl_hash string, ddl string, trigger_table string, last_applied timestamp",
@@ -19,18 +21,25 @@ TABLES = {
 }
 #: Bytes that an event's payload may have.
 MOST_PAYLOAD = 7900
+#: Seconds after which a lock that its holder has not renewed may be taken over.
+LEASE = 20.0
 
 
 class LockTimeout(TimeoutError):
     """Another run holds the state's lock."""
 
 
+class LockLost(RuntimeError):
+    """The lock was taken over while this run held it; nothing was published."""
+
+
 class StateStore:
     """The state of one project in a folder of a file system that its users share. All tables are small."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, Path(folder)
         self.folder.mkdir(parents=True, exist_ok=True)
+        self.held: Path | None = None
 
     @property
     def current(self) -> str | None:
@@ -46,6 +55,11 @@ class StateStore:
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(str(self.folder / self.current / name))
 
+    def hash_of(self, kind: str, name: str) -> str | None:
+        """The recorded hash of one object, or None."""
+        row = self.table("state").filter((F.col("object_type") == kind) & (F.col("object_name") == name)).select("ddl_hash").first()
+        return None if row is None else row["ddl_hash"]
+
     def publish(self, tables: dict[str, DataFrame]) -> None:
         """Write a whole new snapshot, then move the pointer: readers see all of it or none."""
         name = f"snapshot-{uuid.uuid4().hex}"
@@ -55,6 +69,9 @@ class StateStore:
             frame.select([c.split(" ")[0] for c in schema.split(", ")]).coalesce(1).write.parquet(str(self.folder / name / table))
         part = self.folder / f".CURRENT-{uuid.uuid4().hex}"
         part.write_text(name)
+        if self.held is not None and not self.owned(self.held):
+            part.unlink()
+            raise LockLost("another run has taken the lock over")
         os.replace(part, self.folder / "CURRENT")
 
     def emit(self, channel: str, payload: dict) -> None:
@@ -69,28 +86,63 @@ class StateStore:
         path = self.folder / "events.jsonl"
         return [json.loads(x) for x in path.read_text().splitlines()] if path.exists() else []
 
+    def owned(self, mine: Path) -> bool:
+        """Whether the lock is this holder's file."""
+        try:
+            return os.path.samefile(mine, self.folder / "LOCK")
+        except FileNotFoundError:
+            return False
+
+    def _take(self, mine: Path, stale: str | None) -> bool:
+        """Make the lock a link to mine: where there is none, or in place of a stale holder's, of whom a mark can be made only once."""
+        path = self.folder / "LOCK"
+        try:
+            if stale is None:
+                os.link(mine, path)
+                return True
+            os.close(os.open(self.folder / f".LOCK-{stale}-gone", os.O_CREAT | os.O_EXCL | os.O_WRONLY))
+        except FileExistsError:
+            return False
+        part = mine.with_name(f"{mine.name}-in")
+        os.link(mine, part)
+        os.replace(part, path)
+        return True
+
     @contextmanager
-    def lock(self, limit: float = 30.0, retry: float = 1.0):
-        """Hold the state alone; LockTimeout after limit seconds. A lock whose process is gone is taken over."""
-        path, began = self.folder / "LOCK", time.monotonic()
-        while True:
-            try:
-                handle = os.open(path, os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-                os.write(handle, str(os.getpid()).encode())
-                os.close(handle)
-                break
-            except FileExistsError:
+    def lock(self, limit: float = 30.0, retry: float = 1.0, lease: float = LEASE):
+        """Hold the state alone; LockTimeout after limit seconds.
+
+        The holder renews its lock while it works. One that has not changed for lease seconds, by the clock of the run that waits, is taken
+        over, on whatever machine its holder was; a holder that comes back late can publish nothing (LockLost).
+        """
+        token, began, seen = uuid.uuid4().hex, time.monotonic(), (None, 0.0)
+        path, mine = self.folder / "LOCK", self.folder / f".LOCK-{token}"
+        mine.write_text(token)
+        done = threading.Event()
+        try:
+            while not self._take(mine, None):
                 try:
-                    os.kill(int(path.read_text() or os.getpid()), 0)
-                except (ProcessLookupError, ValueError):
-                    path.unlink(missing_ok=True)
-                    continue
+                    state = (path.read_text(), path.stat().st_mtime_ns)
                 except FileNotFoundError:
                     continue
+                if state != seen[0]:
+                    seen = (state, time.monotonic())
+                elif time.monotonic() - seen[1] >= lease and self._take(mine, state[0]):
+                    break
                 if time.monotonic() - began >= limit:
-                    raise LockTimeout(f"another run has held the lock for {limit:g} s") from None
+                    raise LockTimeout(f"another run has held the lock for {limit:g} s")
                 time.sleep(min(retry, max(0.01, limit - (time.monotonic() - began))))
-        try:
+
+            def renew() -> None:
+                while not done.wait(lease / 4):
+                    os.utime(mine)
+
+            self.held = mine
+            threading.Thread(target=renew, daemon=True).start()
             yield
         finally:
-            path.unlink(missing_ok=True)
+            done.set()
+            self.held = None
+            if self.owned(mine):
+                path.unlink(missing_ok=True)
+            mine.unlink(missing_ok=True)

@@ -13,7 +13,7 @@ from marlstone.operators import graph, severity
 from marlstone.plans.applying import ApplyError, apply
 from marlstone.plans.planning import PlanError, content_checksum, make_plan, pending_changes
 from marlstone.sources.scan import read_files
-from marlstone.sources.state import LockTimeout, StateStore
+from marlstone.sources.state import LockLost, LockTimeout, StateStore
 from marlstone.streaming.watch import Debouncer, impacted_tests, process, routed, run_test, snapshot
 
 
@@ -101,6 +101,40 @@ def test_lock(spark, tmp_path):
         assert 0.3 <= time.monotonic() - began < 1
     with store.lock(0.1):
         pass
+    (tmp_path / "LOCK").write_text("of a run on another machine")
+    with pytest.raises(LockTimeout), store.lock(0.2, 0.05, lease=5):
+        pass
+    with store.lock(5, 0.05, lease=0.3):  # not renewed: taken over
+        assert store.owned(store.held)
+        other = StateStore(spark, str(tmp_path))
+        with pytest.raises(LockTimeout), other.lock(1, 0.05, lease=0.3):  # renewed
+            pass
+        store.publish({})
+        (tmp_path / "LOCK").unlink()
+        (tmp_path / "LOCK").write_text("someone else")
+        published = store.current
+        with pytest.raises(LockLost):
+            store.publish({})
+    assert store.current == published and (tmp_path / "LOCK").read_text() == "someone else"
+
+
+def test_the_gate_reads_what_was_made_and_its_callers(spark, tmp_path):
+    code, store = tmp_path / "sql", StateStore(spark, str(tmp_path / "state"))
+    code.mkdir()
+    one = "CREATE FUNCTION gate_twice(x float8) RETURNS float8 LANGUAGE sql AS $$ SELECT x * 2 $$;"
+    (code / "a.sql").write_text(one)
+    (code / "b.sql").write_text("CREATE FUNCTION gate_quad(x float8) RETURNS float8 LANGUAGE sql AS $$ SELECT gate_twice(gate_twice(x)) $$;")
+    assert len(apply(spark, store, str(code), development=True, gate=True).objects_created) == 2
+    assert store.hash_of("function", "gate_twice") and store.hash_of("function", "nothing") is None
+    published = store.current
+    (code / "a.sql").write_text(one.replace("x float8", "x float8, y float8"))
+    with pytest.raises(ApplyError, match="gate_quad"):  # a caller that is not made again
+        apply(spark, store, str(code), development=True, gate=True)
+    (code / "a.sql").write_text(one.replace("SELECT x * 2", "SELECT x * 2; SELECT nope"))
+    with pytest.raises(ApplyError, match="nope"):
+        apply(spark, store, str(code), development=True, gate=True)
+    assert store.current == published and [r[0] for r in spark.sql("SELECT gate_quad(1.5D)").collect()] == [6.0]
+    assert apply(spark, store, str(code), development=True).objects_updated == ["gate_twice"]
 
 
 def test_severity_matrix():
