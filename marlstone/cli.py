@@ -60,6 +60,7 @@ def main(args: list[str] | None = None) -> int:
         parser.add_argument(f"--{name}")
     parser.add_argument("--json", action="store_true")
     parser.add_argument("--force", action="store_true")
+    parser.add_argument("--gate", action="store_true", help="in development, end an apply on errors in routines that were made or call them")
     given = parser.parse_args(args)
     if given.command == "init":
         Path("marlstone.toml").write_text(SAMPLE)
@@ -91,7 +92,7 @@ def main(args: list[str] | None = None) -> int:
             if given.graph:
                 Path(given.graph).write_text(graph.dot(sorted(plan.objects), sorted(tuple(r) for r in plan.edges.select("src", "dst", "kind").collect())))
         elif given.command in ("apply", "migrate"):
-            result = apply(spark, store, conf["code_dir"], migrations, development=conf["development"])
+            result = apply(spark, store, conf["code_dir"], migrations, development=conf["development"], gate=given.gate)
             print(json.dumps(asdict(result), indent=2) if given.json else "\n".join(f"{k}: {', '.join(v) if isinstance(v, list) else v}" for k, v in asdict(result).items()))
         elif given.command == "watch":
             watch(spark, store, conf["code_dir"], lambda b: print(b.error or (b.plan.report() if b.plan else "no code changed"), *b.impacted, sep="\n"), conf["migrations_dir"])
