@@ -83,7 +83,7 @@ class RecordStream:
     """The records of an archive one after the other: next_headers(), then payload() or nothing."""
 
     def __init__(self, stream):
-        self.stream, self.held, self.whole = stream, b"", b""
+        self.stream, self.held, self.whole = stream, b"", bytearray()
         self.inflater = None
         self.length = 0
 
@@ -116,7 +116,7 @@ class RecordStream:
             self.held = b""
         else:
             while not self.inflater.eof:
-                self.whole = b""
+                self.whole.clear()
                 self._more()
         self.inflater = None
 
@@ -129,7 +129,7 @@ class RecordStream:
             raise ValueError("not an archive of gzip members")
         length = member_length(head)
         self.left = None if length is None else length - len(head)
-        self.held, self.whole, self.inflater = head, b"", zlib.decompressobj(31)
+        self.held, self.whole, self.inflater = head, bytearray(), zlib.decompressobj(31)
         while (end := self.whole.find(b"\r\n\r\n")) < 0:
             if not self._more():
                 raise ValueError("a record has no end of headers")
@@ -143,7 +143,7 @@ class RecordStream:
         while len(self.whole) < self.at + n:
             if not self._more():
                 raise ValueError("an archive ends inside a record")
-        return self.whole[self.at : self.at + n]
+        return bytes(self.whole[self.at : self.at + n])
 
 
 def hex_digest(value: str | None) -> str | None:
