@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,8 +66,11 @@ def routine_interface(o: SqlObject) -> tuple | None:
     return [canonical(a["text"]) for a in ins], [a["name"] for a in ins], outs, canonical(o.details["returns"]), o.details["set"]
 
 
-def rank_of_update(old: SqlObject, new: SqlObject, shapes: tuple | None = None) -> int | None:
-    """The rank of an update by the two definitions; None: unknown. shapes: output columns of an old and new view."""
+def rank_of_update(old: SqlObject, new: SqlObject, shapes: tuple | None = None, returns: Mapping[str, str] | None = None) -> int | None:
+    """The rank of an update by the two definitions; None: unknown.
+
+    shapes: output columns of an old and new view; returns: result types of the recorded functions by name, for the result of an operator.
+    """
     if old.kind in UNNOTICED:
         return SAFE
     if old.kind in ("function", "procedure"):
@@ -90,25 +95,74 @@ def rank_of_update(old: SqlObject, new: SqlObject, shapes: tuple | None = None)
     if old.kind == "domain":
         return TRANSIENT if canonical(old.details["base"]) == canonical(new.details["base"]) else BREAKING
     if old.kind == "operator":
-        # another function may give another type
-        return TRANSIENT if all(canonical(old.details[k]) == canonical(new.details[k]) for k in ("left", "right")) and old.details["procedure"] == new.details["procedure"] else BREAKING
+        if any(canonical(old.details[k]) != canonical(new.details[k]) for k in ("left", "right")):
+            return BREAKING
+        # another function may give another type; one that is not recorded is rated by its own change
+        before, after = ((returns or {}).get(str(o.details["procedure"])) for o in (old, new))
+        return BREAKING if before and after and canonical(before) != canonical(after) else TRANSIENT
     return BREAKING
 
 
-#: Beginnings of statements that a running program does not notice: fixed values.
-SAFE_HEADS = ("create", "insert", "update", "select", "with", "copy", "grant", "comment", "analyze", "vacuum", "reindex", "set", "reset", "show", "begin", "commit", "start transaction", "do", "refresh materialized view", "explain", "cluster", "checkpoint", "notify", "listen", "lock")
+#: Words between CREATE and the kind of what is created: fixed values.
+MODIFIERS = frozenset("or replace temp temporary global local unlogged unique constraint recursive materialized".split())
+#: Kinds whose creation adds to what is there, kinds that ALTER ... OWNER TO reshapes as it does tables, and heads of statements that leave interfaces as they are: fixed values.
+ADDED = frozenset("table index sequence extension schema view function procedure trigger domain aggregate operator type collation text".split())
+LIKE_TABLES = frozenset("table view index sequence materialized foreign".split())
+QUIET_HEADS = frozenset("insert update delete select values table copy set reset truncate cluster vacuum analyze analyse comment".split())
+
+
+def _top_level(words: list[str]) -> list[str] | None:
+    """Words outside of parentheses; None where these do not close."""
+    out, depth = [], 0
+    for w in words:
+        depth -= w == ")"
+        if depth < 0:
+            return None
+        if depth == 0 and w not in "()":
+            out.append(w)
+        depth += w == "("
+    return None if depth else out
+
+
+def _after_name(words: list[str], at: int) -> int:
+    """The place behind a name that may have a schema before it."""
+    return _after_name(words, at + 2) if words[at + 1 : at + 2] == ["."] else at + 1
 
 
 def rank_of_statement(sql: str) -> int:
-    """The rank of one statement of a migration: additions are safe, what it does not know is breaking."""
+    """The rank of one statement of a migration: what only adds, and what changes rows alone, is safe; what is not known is breaking."""
     try:
-        toks = [t.lower for t in tokens(sql)]
+        words = [t.lower for t in tokens(sql) if t.lower != ";"]
     except SqlSyntaxError:
         return BREAKING
-    if toks[:2] == ["alter", "type"] and "add" in toks and "value" in toks:
+    if not words:
         return SAFE
-    head = " ".join(toks[:3])
-    return SAFE if any(head == h or head.startswith(h + " ") for h in SAFE_HEADS) else BREAKING
+    outer = _top_level(words)
+    if outer is None:
+        return BREAKING
+    if words[0] == "(":  # a query in parentheses
+        words = words[next(k for k, w in enumerate(words) if w != "(") :]
+    head = words[0]
+    if head == "with":
+        head = next((w for w in outer[1:] if w in ("select", "insert", "update", "delete", "values", "table", "merge")), "")
+    if head == "create":
+        at = next((k for k, w in enumerate(words) if k and w not in MODIFIERS), len(words))
+        kind, then = (*words[at : at + 2], "", "")[:2]
+        named = _after_name(words, at + 1)
+        range_type = kind == "type" and words[named : named + 2] == ["as", "range"]
+        return BREAKING if kind not in ADDED or range_type or (kind == "operator" and then in ("class", "family")) else SAFE
+    if head == "alter":
+        kind = (*words, "")[1]
+        if kind == "type":
+            at = _after_name(words, 2)
+            if words[at : at + 2] == ["add", "value"]:
+                return SAFE
+        return SAFE if words[-3:-1] == ["owner", "to"] and kind not in LIKE_TABLES else BREAKING
+    if head == "grant":  # of privileges; a grant of roles names no object
+        return SAFE if "on" in outer else BREAKING
+    if head == "set" and words[1:2] == ["constraints"]:
+        return BREAKING
+    return SAFE if head in QUIET_HEADS else BREAKING
 
 
 def rank_of_migration(text: str) -> int:
@@ -142,8 +196,8 @@ def enum_additions(text: str) -> list[tuple[str, str]]:
     for s in split_statements(text):
         toks = list(tokens(s.sql))
         words = [t.lower for t in toks]
-        if words[:2] == ["alter", "type"] and "add" in words and words[words.index("add") + 1 : words.index("add") + 2] == ["value"]:
-            at = words.index("add") + 1
+        at = _after_name(words, 2) + 1
+        if words[:2] == ["alter", "type"] and words[at - 1 : at + 1] == ["add", "value"]:
             again = s.sql if words[at + 1 : at + 4] == ["if", "not", "exists"] else s.sql[: toks[at].end] + " IF NOT EXISTS" + s.sql[toks[at].end :]
             out.append((s.sql, again))
     return out

@@ -103,6 +103,8 @@ MIGRATIONS = [
     ("ALTER TYPE e{n} ADD VALUE 'z'; ALTER TYPE e{n} ADD VALUE IF NOT EXISTS 'y'", "safe", "", 2),
     ("DROP TABLE c{n}; SELECT 1", "breaking", "", 0),
     ("-- nothing {n}", "safe", "", 0),
+    ("CREATE TABLE g{n} (x int); DO $$ BEGIN NULL; END $$", "breaking", "", 0),
+    ("TRUNCATE h{n}; DELETE FROM k{n}; ALTER TYPE e{n} ADD VALUE 'add value'", "safe", "", 1),
     ("ALTER TABLE IF EXISTS ONLY d{n} DROP COLUMN y; ALTER INDEX i{n} SET (fillfactor = 70)", "breaking", "d{n},i{n}", 0),
 ]
 
@@ -141,7 +143,19 @@ def update_severity(spark, d):
 
 
 #: Statements of a migration and their severity.
-STATEMENTS = [("GRANT SELECT ON t{n} TO r", "safe"), ("DROP VIEW v{n}", "breaking"), ("ALTER TYPE t{n} ADD VALUE 'q'", "safe"), ("TRUNCATE t{n}", "breaking"), ("REFRESH MATERIALIZED VIEW m{n}", "safe"), ("this is no SQL {n} '", "breaking")]
+STATEMENTS = [
+    *[(t, "safe") for t in (
+        "CREATE TABLE t{n} (x int)", "CREATE UNIQUE INDEX i{n} ON t (x)", "CREATE TEMP SEQUENCE s{n}", "COMMENT ON TABLE t{n} IS 'drop table'", "CREATE EXTENSION IF NOT EXISTS e{n}", "CREATE SCHEMA s{n}", "CREATE OR REPLACE VIEW v{n} AS SELECT 1",
+        "CREATE MATERIALIZED VIEW m{n} AS SELECT 1", "CREATE TABLE c{n} AS SELECT 1", "CREATE OR REPLACE FUNCTION f{n}() RETURNS int LANGUAGE sql AS 'SELECT 1'", "CREATE PROCEDURE p{n}() LANGUAGE sql AS 'DROP TABLE x'", "CREATE CONSTRAINT TRIGGER g{n} AFTER INSERT ON t FOR EACH ROW EXECUTE FUNCTION f()",
+        "CREATE TYPE e{n} AS ENUM ('a')", "CREATE TYPE c{n} AS (x int)", "CREATE DOMAIN d{n} AS int", "CREATE AGGREGATE a{n}(int) (SFUNC = f, STYPE = int)", "CREATE OPERATOR === (LEFTARG = int, RIGHTARG = int, PROCEDURE = p{n})", "INSERT INTO t VALUES ({n})", "UPDATE t SET x = {n}", "DELETE FROM t WHERE x = {n}",
+        "WITH a AS (SELECT {n}) DELETE FROM t USING a", "(SELECT {n})", "COPY t{n} FROM STDIN", "SET search_path TO s{n}", "RESET ALL", "TRUNCATE t{n}", "CLUSTER t{n}", "VACUUM t{n}", "ANALYZE t{n}", "ALTER FUNCTION f{n}() OWNER TO r", "GRANT SELECT ON t{n} TO r", "ALTER TYPE s.t{n} ADD VALUE 'q' BEFORE 'p'",
+    )],
+    *[(t, "breaking") for t in (
+        "DROP VIEW v{n}", "ALTER TABLE t{n} ADD COLUMN x int", "ALTER TABLE t{n} OWNER TO r", "ALTER TABLE t{n} RENAME TO u", "ALTER TYPE t{n} ADD ATTRIBUTE value int", "ALTER TYPE t{n} RENAME VALUE 'a' TO 'b'", "REVOKE SELECT ON t{n} FROM r", "GRANT admin{n} TO r", "DO $$ BEGIN NULL; END $$",
+        "REFRESH MATERIALIZED VIEW m{n}", "REINDEX TABLE t{n}", "BEGIN", "COMMIT", "EXPLAIN SELECT {n}", "CHECKPOINT", "NOTIFY n{n}", "LISTEN n{n}", "LOCK TABLE t{n}", "SHOW search_path", "CREATE POLICY p{n} ON t", "CREATE ROLE r{n}", "CREATE RULE r{n} AS ON INSERT TO t DO NOTHING", "CREATE FOREIGN TABLE f{n} (x int) SERVER s",
+        "CREATE OPERATOR CLASS c{n} FOR TYPE int USING btree AS STORAGE int", "CREATE TYPE r{n} AS RANGE (SUBTYPE = int)", "SET CONSTRAINTS ALL DEFERRED", "MERGE INTO t USING u ON a = b WHEN MATCHED THEN DELETE", "CALL p{n}()", "this is no SQL {n} '", "THIS IS NOT SQL {n}", "SELECT (({n})",
+    )],
+]
 
 
 @query(f"SELECT n, severity FROM ({listed(STATEMENTS, 'text, severity')})")

@@ -71,7 +71,7 @@ def node(kind: str = "object_type", name: str = "state_name"):
     return F.concat_ws("::", kind, name)
 
 
-def rank_of(spark: SparkSession, change: Change, old: dict | None, new: dict | None) -> int:
+def rank_of(spark: SparkSession, change: Change, old: dict | None, new: dict | None, returns: dict[str, str]) -> int:
     if change.type == "create" or change.object_type in severity.UNNOTICED:
         return severity.SAFE
     if change.type == "delete" or change.object_type == "table" or not old or not old["ddl"]:
@@ -83,7 +83,7 @@ def rank_of(spark: SparkSession, change: Change, old: dict | None, new: dict | N
             shapes = tuple([(c or f.name, f.dataType) for c, f in zip((*o.details["columns"], *[None] * 999), spark.sql(o.ddl[o.details["from"] :]).schema, strict=False)] for o in (a, b))
         except Exception:  # a body that Spark cannot analyse: the shape is unknown
             shapes = None
-    found = severity.rank_of_update(a, b, shapes)
+    found = severity.rank_of_update(a, b, shapes, returns)
     return severity.BREAKING if found is None else found
 
 
@@ -143,9 +143,11 @@ def make_plan(spark: SparkSession, store: StateStore, code: str | DataFrame | No
     updated = [c.node for c in changes if c.type == "update"]
     if updated:
         add([r["node"] for r in graph.closure(edges, spark.createDataFrame([(n,) for n in updated], "node string")).collect()], "Dependency requires recreation")
+    operators = any(c.object_type == "operator" and c.type == "update" for c in changes)
+    returns = {r["object_name"]: as_object(r).details["returns"] for r in recorded.values() if operators and r["object_type"] == "function" and r["ddl"]}
     for c in changes:
         if c.object_type:
-            c.rank = rank_of(spark, c, recorded.get(c.node), by_node.get(c.node))
+            c.rank = rank_of(spark, c, recorded.get(c.node), by_node.get(c.node), returns)
     return Plan(changes, by_node, recorded, deps, edges, new_migrations, problems)
 
 
