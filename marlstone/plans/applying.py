@@ -1,35 +1,47 @@
 """Applying a plan in Spark, with all-or-nothing state.
 
 Views become temporary views, materialized views stored tables behind a view, SQL functions of one expression temporary functions; what Spark cannot
-run (types, domains, indexes, triggers, procedures, operators, comments, cron jobs, other functions) is recorded only. Spark's catalog
-has no transactions: when an apply fails, definitions of the last snapshot are made again.
+run (types, domains, indexes, triggers, procedures, operators, comments, cron jobs, other functions) is recorded only. Migrations run in a
+transaction (plans/transactions.py): when an apply fails, tables are as they were, and definitions of the last snapshot are made again. The first apply
+of a project and tests of it run without one, as each statement stands by itself there.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.dialect import SPARK_TYPES, as_spark
 from ..functions.idents import TARGETS, Ident
 from ..functions.identify import SqlObject, identify
 from ..functions.lint import Finding, lint, report
-from ..functions.sqltext import split_statements, tokens
+from ..functions.sqltext import split_statements
 from ..operators import diff
 from ..operators.severity import enum_additions
 from ..operators.storage import stored
 from ..sources.scan import as_object
 from ..sources.state import StateStore
 from .planning import Plan, make_plan, ordered
+from .transactions import Transaction, opened, recover
 
 
 class ApplyError(RuntimeError):
     """A plan that could not be applied; nothing of it was recorded."""
 
 
+class MigrationError(RuntimeError):
+    """A statement of a migration that failed."""
+
+    def __init__(self, name: str, statement: int, line: int, message: str):
+        super().__init__(f"migration {name}, statement {statement}, line {line}: {message}")
+        self.name, self.statement, self.line, self.message = name, statement, line, message
+
+
 @dataclass
 class ApplyResult:
     migrations_applied: list[str] = field(default_factory=list)
@@ -41,32 +53,6 @@ class ApplyResult:
     severity: str = "safe"
 
 
-def as_spark(body: str) -> str:
-    """A PostgreSQL query in Spark's dialect, as far as spelling goes: JSON arrows, regular expressions, powers, series, casts to text.
-
-    What stands in literals and quoted names stays as it is.
-    """
-    kept: list[str] = []
-
-    def put(text: str) -> str:
-        kept.append(text)
-        return f"\x01{len(kept) - 1}\x01"
-
-    out, at = [], 0
-    for t in tokens(body):
-        if t.kind in ("string", "quoted", "dollar"):
-            out += [body[at : t.start], put(t.text if t.kind != "quoted" else "`" + t.name.replace("`", "``") + "`")]
-            at = t.end
-    body = "".join(out) + body[at:]
-    body = re.sub(r"([\w.]+)\s*->>\s*\x01([0-9]+)\x01", lambda m: f"get_json_object({m[1]}, {put(chr(39) + '$.' + kept[int(m[2])][1:-1] + chr(39))})", body)
-    body = re.sub(r"([\w.]+)\s*~\s*(\x01[0-9]+\x01)", r"\1 RLIKE \2", body)
-    body = re.sub(r"::\s*(text|varchar)\b", "::string", body, flags=re.I)
-    body = re.sub(r"::\s*(float8|double precision)\b", "::double", body, flags=re.I)
-    body = re.sub(r"([\w.]+|\([^()]*\))\s*\^\s*([\w.]+|\([^()]*\))", r"power(\1, \2)", body)
-    body = re.sub(r"\bgenerate_series\s*\(\s*([^,()]+),\s*([^,()]+)\)", r"explode(sequence(\1, \2))", body, flags=re.I)
-    return re.sub(r"\x01([0-9]+)\x01", lambda m: kept[int(m[1])], body)
-
-
 class Executor:
     """Makes and drops objects in a Spark session."""
 
@@ -84,7 +70,8 @@ class Executor:
         if o.kind in ("view", "materialized_view"):
             body = as_spark(ddl[o.details["from"] :].rstrip().rstrip(";"))
             for r in sorted((r for r in o.dependencies.relations if r.schema), key=str):
-                body = re.sub(rf"\b{re.escape(r.schema)}\.{re.escape(r.name)}\b", self.spelled(str(r)), body)
+                if self.spark.catalog.tableExists(self.spelled(str(r))):  # made here; others are the catalog's
+                    body = re.sub(rf"\b{re.escape(r.schema)}\.{re.escape(r.name)}\b", self.spelled(str(r)), body)
             df = self.spark.sql(body)
             if o.details["columns"]:
                 df = df.toDF(*o.details["columns"], *df.columns[len(o.details["columns"]) :])
@@ -144,10 +131,6 @@ FOLDS = {
     **dict.fromkeys(("int4larger", "int8larger", "float8larger", "text_larger"), lambda x, first: F.greatest(F.max(x), first)),
     **dict.fromkeys(("int4smaller", "int8smaller", "float8smaller", "text_smaller"), lambda x, first: F.least(F.min(x), first)),
 }
-#: Spark's names of the catalog's types: fixed values.
-SPARK_TYPES = {"int2": "smallint", "int4": "int", "int8": "bigint", "float4": "float", "float8": "double", "numeric": "decimal(38,10)", "bool": "boolean", "text": "string", "varchar": "string", "date": "date", "timestamp": "timestamp_ntz", "timestamptz": "timestamp"}
-
-
 def bound(o: SqlObject, sql: str) -> str:
     """A statement of an object's body in Spark's dialect, with the parameters that it names standing as nulls of their types."""
     args = [a for a in o.details.get("args", ()) if a["name"] and a["mode"] in ("in", "inout", "variadic")]
@@ -165,18 +148,39 @@ def findings_of(spark: SparkSession, plan: Plan, made: list[str]) -> list[Findin
     return [f for n in made for f in read_one(n)] + [f for n in callers if n in plan.objects for f in read_one(n) if f.level == "error"]
 
 
-def apply(spark: SparkSession, store: StateStore, code, migrations: str | None = None, lock_limit: float = 30.0, development: bool = False, gate: bool = False) -> ApplyResult:
-    """Plan and apply under the state's lock."""
+def apply(spark: SparkSession, store: StateStore, code, migrations: str | None = None, lock_limit: float = 30.0, development: bool = False, gate: bool = False, transactional: bool | None = None) -> ApplyResult:
+    """Plan and apply under the state's lock; what a lost run has left behind is undone first."""
     with store.lock(lock_limit):
-        return apply_plan(spark, store, make_plan(spark, store, code, migrations), development, gate)
+        left = recover(spark, store.folder, store.current)
+        result = apply_plan(spark, store, make_plan(spark, store, code, migrations), development, gate, transactional)
+        result.warnings += [f"migrations of a run that was lost were {how}" for how in left]
+        return result
+
+
+def migrate(spark: SparkSession, name: str, text: str, work: Transaction | None) -> list[str]:
+    """Run a migration's statements, in a transaction if there is one; its warnings. An error says which statement it was, and where."""
+    warnings = []
+    early = dict(enum_additions(text))
+    for k, s in enumerate(split_statements(text), 1):
+        if s.sql in early:  # Spark has no enum types: the label is told, as nothing runs
+            warnings.append(f"recorded only: {early[s.sql]}")
+            continue
+        try:
+            spark.sql(as_spark(s.sql)) if work is None else work.run(s.sql)
+        except Exception as e:
+            raise MigrationError(name, k, s.start_line, str(e).split("\n")[0]) from e
+    return warnings
 
 
-def apply_plan(spark: SparkSession, store: StateStore, plan: Plan, development: bool = False, gate: bool = False) -> ApplyResult:
+def apply_plan(spark: SparkSession, store: StateStore, plan: Plan, development: bool = False, gate: bool = False, transactional: bool | None = None) -> ApplyResult:
     """Drop, migrate, create, in dependency order; then publish the new state at once.
 
-    In development, a gate lints what was made and the routines that call it: errors end the apply before anything is published.
+    Migrations run in a transaction unless this is the first apply (or transactional is False). In development, a gate lints what was made and the
+    routines that call it: errors end the apply before anything is published.
     """
     result, run = ApplyResult(severity=plan.worst, warnings=list(plan.problems)), Executor(spark)
+    transactional = not store.fresh if transactional is None else transactional
+    work = opened(spark, store.folder) if transactional and plan.new_migrations else None
     named = lambda c: {"object_type": c.object_type, "name": c.name}
     if not plan.changes:
         return result
@@ -190,12 +194,7 @@ def apply_plan(spark: SparkSession, store: StateStore, plan: Plan, development:
             if by[n].type == "delete":
                 result.objects_deleted.append(by[n].name)
         for name, text in plan.new_migrations:
-            early = {s: again for s, again in enum_additions(text)}
-            for s in split_statements(text):
-                if s.sql in early:  # Spark has no enum types: the label is told, as nothing runs
-                    result.warnings.append(f"recorded only: {early[s.sql]}")
-                else:
-                    spark.sql(as_spark(s.sql))
+            result.warnings += migrate(spark, name, text, work)
             result.migrations_applied.append(name)
         makes, warning = ordered(spark, plan, [n for n, c in by.items() if c.type != "delete"])
         result.warnings += [warning] if warning else []
@@ -211,12 +210,18 @@ def apply_plan(spark: SparkSession, store: StateStore, plan: Plan, development:
             result.warnings += [report([f]) for f in found if f.level != "error"]
             if wrong := [f for f in found if f.level == "error"]:
                 raise ApplyError("; ".join(report([f]) for f in wrong))
-        publish(spark, store, plan, [by[n] for n in makes], [c for c in by.values() if c.type == "delete"])
+        told = (lambda snapshot: None) if work is None else work.publishing
+        publish(spark, store, plan, [by[n] for n in makes], [c for c in by.values() if c.type == "delete"], told)
     except Exception as e:
+        if work is not None:
+            work.rollback()
         restore(run, plan, by)
         result.errors.append(str(e).split("\n")[0])
         store.emit("apply_failed", {"error": "; ".join(result.errors)[:1000]})
         raise ApplyError("; ".join(result.errors)) from e
+    if work is not None:
+        result.warnings += [f"could not have been undone: {what}" for what in work.lasting]
+        work.commit()
     store.emit("apply_succeeded", {"created": len(result.objects_created), "updated": len(result.objects_updated), "deleted": len(result.objects_deleted), "migrations": len(result.migrations_applied)})
     return result
 
@@ -245,7 +250,7 @@ def comment_keys(kind: str, name: str) -> list[tuple[str]]:
     return [] if word is None else [(f"{word}:{name}{'()' if kind in ('function', 'procedure') else ''}",)]
 
 
-def publish(spark: SparkSession, store: StateStore, plan: Plan, made: list, deleted: list) -> None:
+def publish(spark: SparkSession, store: StateStore, plan: Plan, made: list, deleted: list, told: Callable[[str], None]) -> None:
     now = datetime.now(UTC).replace(tzinfo=None)
     keys = ["object_type", "object_name"]
     touched = [(c.object_type, c.name) for c in [*made, *deleted]]
@@ -269,4 +274,4 @@ def publish(spark: SparkSession, store: StateStore, plan: Plan, made: list, dele
         kind = next((k for k, kinds in TARGETS.items() if c.object_type in kinds), None)
         both = both.filter(~((F.col("dependency_type") == F.lit(kind)) & F.col("dependency_schema").eqNullSafe(F.lit(target.schema)) & (F.col("dependency_name") == F.lit(target.name))) | F.lit(kind is None))
     applied = spark.createDataFrame([(n, now) for n, _ in plan.new_migrations], store.table("migrations").schema)
-    store.publish({"state": state, "dependencies": both, "migrations": diff.insert_if_absent(store.table("migrations"), applied, ["name"])})
+    store.publish({"state": state, "dependencies": both, "migrations": diff.insert_if_absent(store.table("migrations"), applied, ["name"])}, told)

@@ -1,4 +1,8 @@
-"""Recorded state: snapshots of small tables in a folder, and a pointer file that publishes one of them at a time."""
+"""Recorded state: snapshots of small tables in a folder, and numbered pointer files of which the last one holds.
+
+A snapshot is published by making the pointer that follows the one its run began with, which can be made once only: a run whose lock was taken
+over, however late it comes, can't publish over what another one has published since.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +11,7 @@ import os
 import threading
 import time
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -40,11 +45,20 @@ class StateStore:
         self.spark, self.folder = spark, Path(folder)
         self.folder.mkdir(parents=True, exist_ok=True)
         self.held: Path | None = None
+        self.base: int | None = None  # the generation when the lock was taken
+
+    @property
+    def generation(self) -> int:
+        """The number of the last pointer; 0 where nothing is published."""
+        return max((int(p.name.rpartition(".")[2]) for p in self.folder.glob("CURRENT.*")), default=0)
 
     @property
     def current(self) -> str | None:
-        pointer = self.folder / "CURRENT"
-        return pointer.read_text().strip() if pointer.exists() else None
+        n = self.generation
+        return self._pointer(n).read_text().strip() if n else None
+
+    def _pointer(self, n: int) -> Path:
+        return self.folder / f"CURRENT.{n:08d}"
 
     @property
     def fresh(self) -> bool:
@@ -60,9 +74,9 @@ class StateStore:
         row = self.table("state").filter((F.col("object_type") == kind) & (F.col("object_name") == name)).select("ddl_hash").first()
         return None if row is None else row["ddl_hash"]
 
-    def publish(self, tables: dict[str, DataFrame]) -> None:
-        """Write a whole new snapshot, then move the pointer: readers see all of it or none."""
-        name = f"snapshot-{uuid.uuid4().hex}"
+    def publish(self, tables: dict[str, DataFrame], told: Callable[[str], None] = lambda name: None) -> None:
+        """Write a whole new snapshot, then make its pointer: readers see all of it or none. told hears its name before it is published."""
+        name, base = f"snapshot-{uuid.uuid4().hex}", self.generation if self.base is None else self.base
         for table, schema in TABLES.items():
             frame = tables.get(table)
             frame = self.table(table) if frame is None else frame
@@ -72,7 +86,18 @@ class StateStore:
         if self.held is not None and not self.owned(self.held):
             part.unlink()
             raise LockLost("another run has taken the lock over")
-        os.replace(part, self.folder / "CURRENT")
+        told(name)
+        try:
+            os.link(part, self._pointer(base + 1))
+        except FileExistsError:
+            raise LockLost("another run has published since this one began") from None
+        finally:
+            part.unlink()
+        if self.base is not None:
+            self.base += 1
+        for old in self.folder.glob("CURRENT.*"):  # the last two are enough for those who read now
+            if int(old.name.rpartition(".")[2]) < base:
+                old.unlink(missing_ok=True)
 
     def emit(self, channel: str, payload: dict) -> None:
         """Record an event at once, apart from the snapshots."""
@@ -137,12 +162,12 @@ class StateStore:
                 while not done.wait(lease / 4):
                     os.utime(mine)
 
-            self.held = mine
+            self.held, self.base = mine, self.generation
             threading.Thread(target=renew, daemon=True).start()
             yield
         finally:
             done.set()
-            self.held = None
+            self.held = self.base = None
             if self.owned(mine):
                 path.unlink(missing_ok=True)
             mine.unlink(missing_ok=True)
