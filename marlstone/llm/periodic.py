@@ -33,6 +33,8 @@ from .words import Words, joint, least_in_windows
 
 #: Words that a run has at least, and the least period that minimizers look for (a power of two; shorter ones are scanned for directly).
 LEAST, SHORT = 12, 32
+#: Bytes of texts that are worked on at once.
+SLICE = 1 << 18
 NONE = U(0xFFFFFFFFFFFFFFFF)
 RUNS = "array<struct<start: bigint, length: bigint, period: bigint>>"
 
@@ -205,7 +207,7 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = text_buffers(batch.column("text"))
-            for lo, hi in slices(offsets):
+            for lo, hi in slices(offsets, SLICE):
                 words = Words(data, offsets[lo : hi + 1])
                 runs = find_runs(words.numbers(), words.firsts)
                 kept = ~_covered(len(words), runs[:, 0] + runs[:, 2], runs[:, 1])
