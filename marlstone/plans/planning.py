@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.idents import KINDS
 from ..operators import diff, graph, severity
 from ..operators.storage import stored
-from ..sources.scan import as_object, builtins, dependencies_of, objects_of, read_files, scan_migrations
+from ..sources.parsed import ParsedStore
+from ..sources.scan import UNREAD, as_object, builtins, dependencies_of, objects_of, scan_migrations, scan_objects
 from ..sources.state import StateStore
 
 #: Kinds that may not be defined twice under one name.
@@ -87,12 +88,16 @@ def rank_of(spark: SparkSession, change: Change, old: dict | None, new: dict | N
     return severity.BREAKING if found is None else found
 
 
-def make_plan(spark: SparkSession, store: StateStore, code: str | DataFrame | None, migrations: str | None = None) -> Plan:
-    """Compare a code tree (a folder, or a frame of file and text) and a folder of migrations with recorded state."""
-    files = read_files(spark, code).filter(~F.element_at(F.split("file", "/"), -1).contains(".test.")) if isinstance(code, str) else code
-    rows = stored(objects_of(files))
+def make_plan(spark: SparkSession, store: StateStore, code: str | DataFrame | None, migrations: str | None = None, parsed: ParsedStore | None = None) -> Plan:
+    """Compare a code tree (a folder, or a frame of file and text) and a folder of migrations with recorded state.
+
+    With a store of parsed objects, only what has changed in the folder is read and parsed.
+    """
+    rows = stored(objects_of(code) if isinstance(code, DataFrame) else scan_objects(spark, code) if parsed is None else parsed.rows(code))
     objects = rows.filter("object_type is not null")
     problems = [f"{r['file']}: {r['problem']}" for r in rows.filter("problem is not null").orderBy("seq").collect()]
+    if unread := [p for p in problems if p.partition(": ")[2].startswith(UNREAD)]:
+        raise PlanError("; ".join(unread))
     doubled = diff.duplicates(objects.filter(F.col("object_type").isin(*UNIQUE_KINDS)).withColumn("name", F.concat_ws(".", "schema", "name", F.when(F.col("object_type") == "trigger", F.col("trigger_table")))).withColumn("file", F.concat_ws(":", "file", "start_line"))).collect()
     if doubled:
         raise PlanError("defined more than once: " + "; ".join(f"{r['name']} in {r['places']}" for r in doubled))
@@ -100,7 +105,7 @@ def make_plan(spark: SparkSession, store: StateStore, code: str | DataFrame | No
     found = objects.select("object_type", "state_name", "ddl_hash")
     had = state.select("object_type", F.col("object_name").alias("state_name"), "ddl_hash")
     order = {r["n"]: r["seq"] for r in objects.select(node().alias("n"), "seq").collect()}
-    raw = sorted(diff.changes(found, had, ["object_type", "state_name"]).collect(), key=lambda r: (r["type"] != "delete", order.get(f"{r['object_type']}::{r['state_name']}", 0), r["object_type"], r["state_name"]))
+    raw = sorted(diff.changes(found, had, ["object_type", "state_name"]).collect(), key=lambda r: (r["type"] != "delete", order.get(f"{r['object_type']}::{r['state_name']}", ""), r["object_type"], r["state_name"]))
     new_migrations = []
     if migrations is not None:
         new_migrations = [(r["name"], r["text"]) for r in diff.pending(scan_migrations(spark, migrations), store.table("migrations")).orderBy("name").collect()]
@@ -115,7 +120,7 @@ def make_plan(spark: SparkSession, store: StateStore, code: str | DataFrame | No
         if c.type == "create" and other and f"{other}::{c.name}" in recorded and f"{other}::{c.name}" not in going:
             raise PlanError(f"{c.object_type} {c.name}: a {other} of this name is there already")
     deleted = [c for c in changes if c.type == "delete"]
-    old_objects = state.select("object_type", F.col("object_name").alias("state_name"), F.when(F.locate(".", "object_name") > 0, F.split_part("object_name", F.lit("."), F.lit(1))).alias("schema"), F.element_at(F.split("object_name", r"\."), -1).alias("name"), "trigger_table").withColumn("seq", F.lit(1 << 30))
+    old_objects = state.select("object_type", F.col("object_name").alias("state_name"), F.when(F.locate(".", "object_name") > 0, F.split_part("object_name", F.lit("."), F.lit(1))).alias("schema"), F.element_at(F.split("object_name", r"\."), -1).alias("name"), "trigger_table").withColumn("seq", F.lit("\U0010ffff"))
     columns = ["object_type", "state_name", "schema", "name", "trigger_table", "seq"]
     gone = old_objects.join(found.select("object_type", "state_name"), ["object_type", "state_name"], "left_anti")
     everything = objects.select(columns).union(gone.select(columns))
@@ -129,7 +134,7 @@ def make_plan(spark: SparkSession, store: StateStore, code: str | DataFrame | No
     listed = {c.node for c in changes if c.object_type}
 
     def add(reached: list[str], reason: str) -> None:
-        for n in sorted(reached, key=lambda x: order.get(x, 0)):
+        for n in sorted(reached, key=lambda x: order.get(x, "")):
             if n in by_node and n not in listed:
                 r = by_node[n]
                 changes.append(Change("update", r["object_type"], r["state_name"], recorded.get(n, {}).get("ddl_hash"), r["ddl_hash"], reason))
@@ -163,9 +168,9 @@ def ordered(spark: SparkSession, plan: Plan, nodes: list[str]) -> tuple[list[str
     return sorted(nodes, key=lambda n: level.get(n, 1 << 30)), None
 
 
-def pending_changes(spark: SparkSession, store: StateStore, code: str, migrations: str | None = None) -> tuple[bool, int]:
+def pending_changes(spark: SparkSession, store: StateStore, code: str, migrations: str | None = None, parsed: ParsedStore | None = None) -> tuple[bool, int]:
     """Whether anything has changed, and how much, without graphs and severities."""
-    rows = objects_of(read_files(spark, code).filter(~F.element_at(F.split("file", "/"), -1).contains(".test.")))
+    rows = scan_objects(spark, code) if parsed is None else parsed.rows(code)
     found = rows.filter("object_type is not null").select("object_type", "state_name", "ddl_hash")
     had = store.table("state").select("object_type", F.col("object_name").alias("state_name"), "ddl_hash")
     n = diff.changes(found, had, ["object_type", "state_name"]).count()

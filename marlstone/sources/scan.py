@@ -8,7 +8,6 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.dependencies import query_dependencies
 from ..functions.identify import IdentificationError, SqlObject, identify
@@ -24,6 +23,8 @@ BUILTIN_TYPES = "text varchar bpchar char name int2 int4 int8 float4 float8 nume
 #: Functions of test frameworks, left out of a test's dependencies: fixed values.
 TEST_FUNCTIONS = frozenset("plan pass fail ok is isnt matches doesnt_match alike unalike cmp_ok isa_ok throws_ok lives_ok performs_ok finish no_plan skip todo todo_start todo_end diag note has_table has_view has_function has_type has_column has_index has_trigger has_schema has_role".split())
 TEST_MARK = ".test."
+#: The problem of a definition that would be lost without a word: fixed value.
+UNREAD = "cannot be read"
 
 
 def builtins(spark: SparkSession) -> DataFrame:
@@ -63,20 +64,23 @@ def file_rows(file: str, text: str) -> list[dict]:
     for s in statements:
         try:
             found = identify(s.sql)
-        except (IdentificationError, SqlSyntaxError, AttributeError, IndexError) as e:
+            row = object_row(found, file, s.idx, s.start_line, s.end_line) if found else problem(s.idx, f"skipped {skipped_label(s.sql)}: {s.sql[:80]}", start_line=s.start_line, end_line=s.end_line)
+        except (IdentificationError, SqlSyntaxError) as e:
             return [*out, problem(s.idx, f"rest of the file left out: {e}", start_line=s.start_line, end_line=s.end_line)]
-        out.append(object_row(found, file, s.idx, s.start_line, s.end_line) if found else problem(s.idx, f"skipped {skipped_label(s.sql)}: {s.sql[:80]}", start_line=s.start_line, end_line=s.end_line))
+        except (AttributeError, IndexError) as e:  # a definition that ends early, or one that identify cannot follow: plans refuse it
+            return [*out, problem(s.idx, f"{UNREAD}: {s.sql[:80]} ({e})", start_line=s.start_line, end_line=s.end_line)]
+        out.append(row)
     return out
 
 
-def read_files(spark: SparkSession, folder: str, pattern: str = "*.sql", recursive: bool = True) -> DataFrame:
-    """file, text of the files of a tree."""
+def read_files(spark: SparkSession, folder: str | list[str], pattern: str = "*.sql", recursive: bool = True) -> DataFrame:
+    """file, text of the files of a tree, or of some paths."""
     rows = spark.read.text(folder, wholetext=True, recursiveFileLookup=recursive, pathGlobFilter=pattern)
     return rows.select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
 
 
-def objects_of(files: DataFrame) -> DataFrame:
-    """Every statement of files (file, text), in OBJECTS' columns and seq: objects, and rows with a problem in their place."""
+def statements_of(files: DataFrame) -> DataFrame:
+    """Every statement of files (file, text), in OBJECTS' columns: objects, and rows with a problem in their place."""
     schema = pa.schema([("file", pa.string()), ("idx", pa.int32()), *[(c, pa.string()) for c in ("object_type", "schema", "name", "trigger_table", "state_name", "ddl", "ddl_hash")], ("start_line", pa.int32()), ("end_line", pa.int32()), ("deps", pa.list_(pa.struct([(c, pa.string()) for c in ("dep_class", "dep_schema", "dep_name")]))), ("problem", pa.string())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,8 +88,17 @@ def objects_of(files: DataFrame) -> DataFrame:
             rows = [r for f, t in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist(), strict=True) for r in file_rows(f, t or "")]
             yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    rows = files.select("file", "text").mapInArrow(read, OBJECTS)
-    return rows.withColumn("seq", F.row_number().over(Window.orderBy("file", "idx")))  # metadata: a row a statement
+    return files.select("file", "text").mapInArrow(read, OBJECTS)
+
+
+def with_order(rows: DataFrame) -> DataFrame:
+    """rows with seq, a text by which statements stand in the order of their files and places."""
+    return rows.withColumn("seq", F.concat("file", F.lit("\x01"), F.lpad(F.col("idx").cast("string"), 10, "0")))
+
+
+def objects_of(files: DataFrame) -> DataFrame:
+    """Every statement of files (file, text), in OBJECTS' columns and seq."""
+    return with_order(statements_of(files))
 
 
 def scan_objects(spark: SparkSession, folder: str) -> DataFrame:

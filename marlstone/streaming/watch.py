@@ -1,54 +1,31 @@
 """Watching a tree of SQL files: changes are gathered until they pause, then planned, applied and tested.
 
-Spark's file source tells of new files only, so a watcher compares snapshots (path, time of change, length) to see changed and removed ones;
-files_stream gives new files to Structured Streaming for those who want just these.
+Spark's file source tells of new files only; sources/changes.py gives changed and removed ones too, debounced, as a stream. files_stream gives new files
+to those who want just these.
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
+from contextlib import nullcontext
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.tap import impacted, parse_tap, touched
-from ..operators import diff
 from ..plans.applying import ApplyError, ApplyResult, apply_plan
 from ..plans.planning import Plan, PlanError, make_plan
+from ..sources.changes import TreeChanges
+from ..sources.parsed import ParsedStore
 from ..sources.scan import TEST_MARK, read_files, test_dependencies
-from ..sources.state import StateStore
+from ..sources.state import LockTimeout, StateStore
 
 DEBOUNCE, POLL = 0.5, 0.1
 
 
-def snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    """path and ddl_hash (of time and length) of every *.sql file of a tree."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.sql").load(folder)
-    return rows.select(F.col("path"), F.sha2(F.concat_ws("|", F.col("modificationTime").cast("string"), F.col("length").cast("string")), 256).alias("ddl_hash"))
-
-
-@dataclass
-class Debouncer:
-    """Paths that changed, given out once none has changed for a while."""
-
-    wait: float = DEBOUNCE
-    paths: set[str] = field(default_factory=set)
-    last: float = 0.0
-
-    def add(self, paths: set[str], now: float) -> None:
-        if paths:
-            self.paths |= paths
-            self.last = now
-
-    def take(self, now: float) -> set[str]:
-        if not self.paths or now - self.last < self.wait:
-            return set()
-        out, self.paths = self.paths, set()
-        return out
-
-
 @dataclass
 class Batch:
     """What one pause in the changes led to."""
@@ -80,34 +57,49 @@ def impacted_tests(spark: SparkSession, folder: str, changed: list[tuple[str, st
     return sorted(r["file"] for r in found.collect())
 
 
-def process(spark: SparkSession, store: StateStore, folder: str, batch: Batch, auto_apply: bool = True) -> Batch:
+def process(spark: SparkSession, store: StateStore, folder: str, batch: Batch, auto_apply: bool = True, parsed: ParsedStore | None = None) -> Batch:
     """Plan and, if wanted, apply the code that changed, and find the tests to run. Errors are kept, not raised."""
     changed: list[tuple[str, str]] = []
     if batch.code:
         try:
-            batch.plan = make_plan(spark, store, folder)
-            changed = [(c.object_type, c.name) for c in batch.plan.changes if c.type in ("create", "update")]
-            if auto_apply:
-                batch.result = apply_plan(spark, store, batch.plan)
-        except (PlanError, ApplyError) as e:
+            with store.lock() if auto_apply else nullcontext():
+                batch.plan = make_plan(spark, store, folder, parsed=parsed)
+                changed = [(c.object_type, c.name) for c in batch.plan.changes if c.type in ("create", "update")]
+                if auto_apply:
+                    batch.result = apply_plan(spark, store, batch.plan)
+        except (PlanError, ApplyError, LockTimeout) as e:
             batch.error = str(e)
     found = impacted_tests(spark, folder, changed) if changed else []
     batch.impacted = sorted({*found, *batch.tests})
     return batch
 
 
+def watched(spark: SparkSession, store: StateStore, folder: str, on_batch: Callable[[Batch], None], migrations: str | None = None, auto_apply: bool = True, debounce: float = DEBOUNCE, poll: float = POLL) -> StreamingQuery:
+    """A running query that hands every pause in the changes of a tree to on_batch, planned against what is parsed already.
+
+    Its checkpoint and snapshots stand beside the state, so that a query that is started again goes on where the last one ended.
+    """
+    own = f"{store.folder.absolute()}/watch"
+    parsed = ParsedStore(spark, f"{own}/parsed")
+    spark.dataSource.register(TreeChanges)
+    changes = spark.readStream.format("tree_changes").option("path", str(Path(folder).absolute())).option("snapshots", f"{own}/snapshots").option("debounce", str(debounce)).load()
+
+    def handle(rows: DataFrame, _: int) -> None:
+        paths = {r["path"] for r in rows.select("path").distinct().collect()}  # of the files that changed
+        if paths:
+            on_batch(process(spark, store, folder, routed(paths, migrations), auto_apply, parsed))
+
+    return changes.writeStream.foreachBatch(handle).option("checkpointLocation", f"{own}/checkpoint").trigger(processingTime=f"{int(poll * 1000)} milliseconds").start()
+
+
 def watch(spark: SparkSession, store: StateStore, folder: str, on_batch: Callable[[Batch], None], migrations: str | None = None, auto_apply: bool = True, debounce: float = DEBOUNCE, poll: float = POLL, until: Callable[[], bool] = lambda: False) -> None:
     """Watch until told to stop."""
-    before, waiting = snapshot(spark, folder).collect(), Debouncer(debounce)
-    while not until():
-        time.sleep(poll)
-        now = snapshot(spark, folder).collect()
-        frames = [spark.createDataFrame(x, "path string, ddl_hash string") for x in (now, before)]
-        if now != before:
-            waiting.add({r["path"] for r in diff.changes(*frames, ["path"]).collect()}, time.monotonic())
-        before = now
-        if ready := waiting.take(time.monotonic()):
-            on_batch(process(spark, store, folder, routed(ready, migrations), auto_apply))
+    query = watched(spark, store, folder, on_batch, migrations, auto_apply, debounce, poll)
+    try:
+        while not until() and not query.awaitTermination(max(1, round(poll))):
+            pass
+    finally:
+        query.stop()
 
 
 def files_stream(spark: SparkSession, folder: str) -> DataFrame:

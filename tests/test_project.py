@@ -14,7 +14,8 @@ from marlstone.plans.applying import ApplyError, apply
 from marlstone.plans.planning import PlanError, content_checksum, make_plan, pending_changes
 from marlstone.sources.scan import read_files
 from marlstone.sources.state import LockLost, LockTimeout, StateStore
-from marlstone.streaming.watch import Debouncer, impacted_tests, process, routed, run_test, snapshot
+from marlstone.sources.changes import compared, listed
+from marlstone.streaming.watch import impacted_tests, process, routed, run_test
 
 
 @pytest.fixture
@@ -41,10 +42,9 @@ def test_life_of_a_project(spark, tree):
     assert run_test(spark, (code / "top.test.sql").read_text()).passed == 1
     assert [f.rsplit("/", 1)[-1] for f in impacted_tests(spark, str(code), [("view", "top")])] == ["top.test.sql"]
 
-    before = snapshot(spark, str(code)).collect()
+    before = listed(str(code))
     (code / "b_base.sql").write_text("CREATE VIEW base AS SELECT id, name, twice(amount) + 100 AS doubled FROM items;")
-    after = snapshot(spark, str(code)).collect()
-    assert before != after
+    assert compared(before, listed(str(code))) == [(str(code / "b_base.sql"), "changed")]
     batch = process(spark, store, str(code), routed({str(code / "b_base.sql")}, "migrations"))
     assert {(c.name, c.reason) for c in batch.plan.changes} == {("base", None), ("top", "Dependency requires recreation"), ("view:top", "Dependency requires recreation")}
     assert batch.plan.worst == "transient" and len(batch.impacted) == 1 and spark.table("top").count() == 2
@@ -177,10 +177,6 @@ def test_graphs_against_plain_python(spark):
 def test_small_parts(spark, tmp_path, monkeypatch, capsys):
     out = parse_tap(["1..4", "ok 1 - fine", "not ok 2 - bad\n# why\n# more", "ok 3 # SKIP later"])
     assert (out.run, out.passed, out.failed, out.skipped) == (3, 1, 1, 1) and out.failures == [{"description": "bad", "diagnostics": ["why", "more"]}]
-    d = Debouncer(0.5)
-    d.add({"a"}, 1.0)
-    d.add({"b"}, 1.3)
-    assert d.take(1.6) == set() and d.take(1.8) == {"a", "b"} and d.take(9) == set()
     found = lint(spark, identify("CREATE FUNCTION f() RETURNS int LANGUAGE sql AS $$ SELECT nope FROM range(3) $$"))
     assert len(found) == 1 and found[0].level == "error"
     assert "dashed" in graph.dot(["view::a", "table::b"], [("table::b", "view::a", "soft")])
