@@ -2,13 +2,19 @@
 
 1. Terms are learned from a bounded sample of labelled training rows: words, and beginnings of words, that stand in many toxic texts, between
    different words, and in almost no others; a short list of common insults is added.
-2. All terms form one trie. The Levenshtein automata of its terms (one edit from 5 letters on, two from 9 on) run over the trie together as one
-   automaton whose states, sets of (node, edits), are worked out when first met and then kept: a word is read once, whatever the
-   size of the lexicon, and most words end after a few letters. Words that hold no whole piece of a term, of its letters but for the edits,
-   cannot meet one and are not read; a worker keeps its automaton from task to task.
-3. Every meeting is read in its window: quotation marks around it or words of reporting near it speak for quotation, words of address for abuse.
-4. A logistic regression, fitted on the sample and weighted back to the labels' own shares, turns counts into a score. Its weights are drawn to
-   given ones and keep their signs: meetings, misspelled ones too, never lower a score, and quotation never raises it.
+2. Words of clean texts of the sample that lie near a term are words of their own, and no misspellings of it. Beyond these, every term has the edits
+   that are certified for it: up to one from 5 letters on, two from 9 on, and of these the ones that clean texts hardly meet. Each half of the clean
+   sample is read with the words of the other half set aside; the edits met least come first, for as long as all of them together are
+   met by at most FALSE_SHARE of the texts. The others are dropped, whatever they would weigh.
+3. All terms form one trie. The Levenshtein automata of its terms run over the trie together as one automaton whose states, sets of (node, edits),
+   are worked out when first met and then kept: a word is read once, whatever the size of the lexicon, and most words end after a few letters.
+   Words that hold no whole piece of a term, of its letters but for the edits, cannot meet one and are not read; a worker keeps its automaton
+   from task to task.
+4. Every meeting is read in its window: quotation marks around it or words of reporting near it speak for quotation, words of address for abuse. A
+   misspelled meeting counts as DISCOUNT of an exact one.
+5. A logistic regression, fitted on the sample and weighted back to the labels' own shares, turns counts into a score. The sample is joined by texts made
+   from it: toxic ones whose terms are misspelled by one letter, and clean ones in which a term is quoted, of the labels of the texts they are made
+   from. Weights are drawn to 0 and keep their signs: meetings, misspelled ones too, never lower a score, and quotation never raises it.
 
 Labels are learned from rows whose crc32 of the doc_id as text leaves a remainder other than 0 by 5; labels, lang, source and doc_id are never
 inputs of a score.
@@ -21,6 +27,7 @@ the short list and the score is 0.9 with two unquoted meetings or more, 0.1 othe
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -39,6 +46,8 @@ SAMPLE = 4000
 MOST_TERMS, LEAST_TEXTS, LEAST_ODDS = 3000, 5, 30.0
 #: Of the toxic texts, the share from which on a term need not stand between different words.
 LEAST_SHARE = 0.01
+#: Share of clean texts that may meet all certified edits together, rounds in which edits are dropped, and what a misspelled meeting counts.
+FALSE_SHARE, ROUNDS, DISCOUNT = 0.01, 6, 0.8
 #: Lengths of beginnings that are tried as terms.
 STEMS = (4, 5, 6, 7)
 #: Common insults: fixed values.
@@ -71,9 +80,11 @@ def letters_of(word: str) -> int:
 
 
 class FuzzyLexicon:
-    """Terms in a trie, met by words within the edits that a term's length allows. A stem is met by words that begin with it."""
+    """Terms in a trie, met by words within the edits that are given for a term, or that its length allows. A stem is met by words that begin with it."""
 
-    def __init__(self, words: dict[str, float], stems: dict[str, float] | None = None):
+    def __init__(self, words: dict[str, float], stems: dict[str, float] | None = None, edits: dict[tuple[str, bool], int] | None = None, own: Iterable[str] = ()):
+        # by (term, as stem); stems have one edit at most
+        self.edits = {(t, kind): (edits or {}).get((t, kind), min(edits_for(len(t)), 1) if kind else edits_for(len(t))) for kind, terms in ((False, words), (True, stems or {})) for t in terms}
         self.child: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
         self.stem: list[str | None] = [None]
@@ -81,7 +92,7 @@ class FuzzyLexicon:
         self.weight = {**(stems or {}), **words}
         for kind, terms in ((self.term, words), (self.stem, stems or {})):
             for text in terms:
-                node, edits = 0, edits_for(len(text)) if kind is self.term else 0
+                node, edits = 0, self.edits[text, kind is self.stem]
                 self.allowed[0] = max(self.allowed[0], edits)
                 for c in text:
                     if c not in self.child[node]:
@@ -90,12 +101,15 @@ class FuzzyLexicon:
                     node = self.child[node][c]
                     self.allowed[node] = max(self.allowed[node], edits)
                 kind[node] = text
+        self.own = frozenset(own)  # words near a term that are none of its misspellings
         self.beginnings = tuple(stems or {})
         self.pieces = self._pieces(words)
+        # a word that begins with a stem but for one edit has one half of it whole
+        halves = [(a, t[cut:end]) for t in stems or {} if self.edits[t, True] for cut, end in ((0, len(t) // 2), (len(t) // 2, len(t))) for a in ([0] if not cut else range(cut - 1, cut + 2))]
+        self.halves = [(a, a + n, frozenset(h for b, h in halves if b == a and len(h) == n)) for a, n in sorted({(a, len(h)) for a, h in halves})]
         self.reset()
 
-    @staticmethod
-    def _pieces(words: Iterable[str]) -> dict[int, list[tuple[int, int, dict[str, tuple[tuple[int, int], ...]]]]]:
+    def _pieces(self, words: Iterable[str]) -> dict[int, list[tuple[int, int, dict[str, tuple[tuple[int, int], ...]]]]]:
         """For each length of a word its slices and what they hold in a word that meets a term, with the term's letters and edits.
 
         A term is cut into one piece more than it has edits, so that one piece is left whole: the first where it was, the last at the word's
@@ -103,7 +117,7 @@ class FuzzyLexicon:
         """
         found: dict[int, dict] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
         for text in words:
-            size, edits = len(text), edits_for(len(text))
+            size, edits = len(text), self.edits[text, False]
             cuts = [size * k // (edits + 1) for k in range(edits + 2)]
             for n in range(size - edits, size + edits + 1):
                 for k in range(edits + 1):
@@ -122,14 +136,14 @@ class FuzzyLexicon:
                 for own, edits in terms:
                     if (letters & ~own).bit_count() <= edits and (own & ~letters).bit_count() <= edits:
                         return True
-        return word.startswith(self.beginnings)
+        return word.startswith(self.beginnings) or any(word[a:b] in held for a, b, held in self.halves)
 
     def reset(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[dict[int, int]] = []
         self.next: list[dict[str, int]] = []
         self.ends: list[tuple[str, int] | None] = []
-        self.starts: list[str | None] = []
+        self.starts: list[tuple[int, str] | None] = []
         self.first = self._state(self._skipped({0: 0}))
 
     def _skipped(self, nodes: dict[int, int]) -> dict[int, int]:
@@ -150,9 +164,10 @@ class FuzzyLexicon:
             self.states[key] = len(self.sets)
             self.sets.append(nodes)
             self.next.append({})
-            met = [(e, self.term[v]) for v, e in nodes.items() if self.term[v] and e <= edits_for(len(self.term[v]))]
+            met = [(e, self.term[v]) for v, e in nodes.items() if self.term[v] and e <= self.edits[self.term[v], False]]
             self.ends.append(min(met)[::-1] if met else None)
-            self.starts.append(max((self.stem[v] for v, e in nodes.items() if e == 0 and self.stem[v]), key=len, default=None))
+            begun = [(e, -len(self.stem[v]), self.stem[v]) for v, e in nodes.items() if self.stem[v] and e <= self.edits[self.stem[v], True]]
+            self.starts.append((min(begun)[0], min(begun)[2]) if begun else None)
         return self.states[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -174,7 +189,7 @@ class FuzzyLexicon:
         return to
 
     def meet(self, word: str) -> tuple[str, int, bool] | None:
-        """(term, edits, as stem) of the nearest term that a word meets; equally near ones by name."""
+        """(term, edits, as stem) of the nearest term that a word meets: whole words before stems, equally near ones by name."""
         if not self.may_meet(word):
             return None
         if len(self.sets) > MOST_STATES:
@@ -183,19 +198,21 @@ class FuzzyLexicon:
         for k, c in enumerate(word):
             to = self.next[state].get(c)
             state = self._step(state, c) if to is None else to
-            if self.starts[state] and k + 1 < len(word):
-                stem = self.starts[state]
+            begun = self.starts[state]
+            if begun and k + 1 < len(word) and (stem is None or begun[0] <= stem[0]):
+                stem = begun
             if not self.sets[state]:
                 break
         else:
-            if self.ends[state] is not None and (self.ends[state][1] == 0 or stem is None):
-                return (*self.ends[state], False)
-        return (stem, 0, True) if stem else None
+            whole = self.ends[state]
+            if whole is not None and (stem is None or whole[1] <= stem[0]) and not (whole[1] and word in self.own):
+                return (*whole, False)
+        return (stem[1], stem[0], True) if stem and not (stem[0] and word in self.own) else None
 
 
 FEATURES = ("exact", "fuzzy", "stems", "quoted", "addressed", "density", "terms", "weight")
-#: Where weights are drawn to without rows that tell, and on which side of 0 they stay: quotation excuses, all else accuses.
-PRIOR = np.array([1.0, 0.7, 0.5, -0.7, 0.3, 0.3, 0.5, 0.5, 0.0])
+#: On which side of 0 weights stay: quotation excuses, all else accuses; the constant is free.
+SIGNS = np.array([1.0, 1.0, 1.0, -1.0, 1.0, 1.0, 1.0, 1.0, 0.0])
 #: The least scale of a feature: one that the sample hardly shows is not blown up.
 LEAST_SCALE = 0.2
 
@@ -244,19 +261,50 @@ class Reader:
             addressed += to_someone
             terms.add(m[0])
             weight += self.lexicon.weight[m[0]] / (1 + m[1])
-            if m[2]:
-                stems += 1
-            elif m[1]:
+            if m[1]:
                 fuzzy += 1
+            elif m[2]:
+                stems += 1
             else:
                 exact += 1
-        return [np.log1p(exact), np.log1p(fuzzy), np.log1p(stems), np.log1p(quoted), np.log1p(addressed), min(1.0, (exact + stems) * 20 / len(words)), np.log1p(len(terms)), np.log1p(weight)]
+        met = exact + stems + DISCOUNT * fuzzy
+        return [np.log1p(exact + DISCOUNT * fuzzy), np.log1p(fuzzy), np.log1p(stems), np.log1p(quoted), np.log1p(addressed), min(1.0, met * 20 / len(words)), np.log1p(len(terms)), np.log1p(weight)]
+
+    def near(self, text: str | None) -> set[tuple[str, str, bool, int]]:
+        """(word, term, as stem, edits) of the misspelled meetings of a text."""
+        self.features(text)
+        words = set(WORD.findall((text or "").lower()))
+        return {(w, m[0], m[2], m[1]) for w, m in ((w, self.met[w]) for w in self.met.keys() & words) if m[1]}
+
+    def misspelled(self, text: str | None) -> str | None:
+        """The text with a letter of every term replaced that may be misspelled; None where there is no such term."""
+        self.features(text)
+        changed = False
+
+        def put(found: re.Match) -> str:
+            nonlocal changed
+            w = found[0]
+            m = self.met.get(w.lower())
+            if m is None or m[1] or not self.lexicon.edits[m[0], m[2]]:
+                return w
+            changed = True
+            at = 1 + zlib.crc32(w.encode()) % max(1, min(len(w), len(m[0])) - 2)  # not the first letter, and within a stem
+            return w[:at] + ("0" if w[at] != "0" else "1") + w[at + 1 :]
+
+        out = WORD.sub(put, text or "")
+        return out if changed else None
+
+
+def quotation(text: str | None, term: str) -> str:
+    """A text in which somebody is told to have used a term."""
+    words = (text or "").split(" ")
+    return " ".join([*words[: len(words) // 2], f'"{term}",', *words[len(words) // 2 :]])
 
 
 @lru_cache(maxsize=1)
-def kept_reader(words: tuple[tuple[str, float], ...], stems: tuple[tuple[str, float], ...]) -> Reader:
+def kept_reader(words: tuple[tuple[str, float], ...], stems: tuple[tuple[str, float], ...], edits: tuple[tuple[tuple[str, bool], int], ...], own: tuple[str, ...]) -> Reader:
     """A reader that a worker keeps: tasks with the same lexicon go on with its words and states."""
-    return Reader(FuzzyLexicon(dict(words), dict(stems)))
+    return Reader(FuzzyLexicon(dict(words), dict(stems), dict(edits), own))
 
 
 @dataclass
@@ -272,31 +320,31 @@ class Scorer:
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.5, rounds: int = 40) -> np.ndarray:
-    """Weights of a logistic regression by Newton steps, drawn to PRIOR but for the constant; weights that would change PRIOR's sign are 0."""
+    """Weights of a logistic regression by Newton steps, drawn to 0 but for the constant; weights that would be on the wrong side of 0 are 0."""
     free = np.ones(x.shape[1], bool)
     while True:
-        w, pull = np.where(free, PRIOR, 0.0), np.full(x.shape[1], ridge)
+        w, pull = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
         pull[-1] = 1e-6
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            g = x.T @ (weight * (y - p)) - pull * (w - PRIOR)
+            g = x.T @ (weight * (y - p)) - pull * w
             h = (x.T * (weight * (p * (1 - p) + 1e-9))) @ x + np.diag(pull)
             step = np.zeros(len(w))
             step[free] = np.linalg.solve(h[np.ix_(free, free)], g[free])
             w = w + step / max(1.0, np.abs(step).max() / 4)
-        wrong = free & (w * PRIOR < 0)
+        wrong = free & (w * SIGNS < 0)
         if not wrong.any():
             return w
         free[np.flatnonzero(wrong)[np.argmax(np.abs(w[wrong]))]] = False
 
 
 def sample_of(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """(text, toxic) of at most most training rows of each class, stored."""
+    """(text, toxic, row, a hash of the text) of at most most training rows of each class, stored."""
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out())
     order = F.xxhash64("doc_id")
     some = known.filter("toxic = 1").orderBy(order, "doc_id").limit(most).union(known.filter("toxic = 0").orderBy(order, "doc_id").limit(most))
     ids = staged(some.withColumnRenamed("doc_id", "_id"), "sample_ids")  # 2 * most rows
-    return staged(docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", "toxic"), "sample")
+    return staged(docs.select("doc_id", "text").join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("text", "toxic", F.xxhash64("text").alias("row")), "sample")
 
 
 def learned_terms(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]]:
@@ -350,26 +398,75 @@ def learned_terms(sample: DataFrame) -> tuple[dict[str, float], dict[str, float]
     return words, stems
 
 
+def certified(sample: DataFrame, words: dict[str, float], stems: dict[str, float]) -> tuple[FuzzyLexicon, list[set[str]]]:
+    """The lexicon with the edits of every term that clean texts of the sample hardly meet, and the words near a term that either half of them holds."""
+    edits = FuzzyLexicon(words, stems).edits
+    clean = staged(sample.filter("toxic = 0").select("text", "row"), "clean")
+    n = max(1, clean.count())
+    for _ in range(ROUNDS):
+        now = tuple(edits.items())
+
+        def read(batches: Iterator[pa.RecordBatch], now: tuple = now) -> Iterator[pa.RecordBatch]:
+            reader = Reader(FuzzyLexicon(words, stems, dict(now)))
+            for batch in batches:
+                found = [(row, *m) for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True) for m in reader.near(text)]
+                columns = list(zip(*found, strict=True)) or [(), (), (), (), ()]
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.bool_(), pa.int32()), strict=True)], names=["row", "word", "term", "stem", "e"])
+
+        # of the sample, whose size is bounded: the words of its clean texts that lie near a term
+        found = clean.mapInArrow(read, "row long, word string, term string, stem boolean, e int").collect()
+        halves = [{r["word"] for r in found if r["row"] % 2 == half} for half in (0, 1)]
+        met: dict[tuple[str, bool, int], set[int]] = defaultdict(set)
+        for r in found:
+            if r["word"] not in halves[1 - r["row"] % 2]:
+                met[r["term"], r["stem"], r["e"]].add(r["row"])
+        seen: set[int] = set()
+        dropped: dict[tuple[str, bool], int] = {}
+        for (term, stem, e), rows in sorted(met.items(), key=lambda x: (len(x[1]), -len(x[0][0]), x[0])):
+            if len(seen | rows) > FALSE_SHARE * n:
+                dropped[term, stem] = min(e, dropped.get((term, stem), 9))
+            else:
+                seen |= rows
+        if not dropped:
+            break
+        edits = {key: min(e, dropped.get(key, 9) - 1) for key, e in edits.items()}  # a word that meets a term no more may meet another: looked at again
+    return FuzzyLexicon(words, stems, edits, halves[0] | halves[1]), halves
+
+
 def fitted(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Scorer:
     """A scorer learned from labelled training rows."""
     sample = sample_of(docs, labels, most)
     words, stems = learned_terms(sample)
-    lexicon = FuzzyLexicon({t: 3.0 for t in INSULTS} | words, stems)
+    words = {t: 3.0 for t in INSULTS} | words
+    lexicon, halves = certified(sample, words, stems)
+    # a clean text is read as one that is not in the sample: the words that it holds itself excuse nothing
+    others = [FuzzyLexicon(words, stems, lexicon.edits, halves[1 - half]) for half in (0, 1)]
+    terms = sorted(words)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(lexicon)
+        whole, parts = Reader(lexicon), [Reader(x) for x in others]
         for batch in batches:
-            rows = [reader.features(t) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([pa.array(rows, pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"])
-
-    rows = sample.mapInArrow(read, "x array<double>, toxic int").collect()  # 2 * most rows of counts
+            rows, kinds = [], []
+            for text, toxic, row in zip(*[batch.column(c).to_pylist() for c in ("text", "toxic", "row")], strict=True):
+                reader = whole if toxic else parts[row % 2]
+                rows.append(reader.features(text))
+                kinds.append((toxic, False))
+                made = reader.misspelled(text) if toxic else quotation(text, terms[zlib.crc32((text or "").encode()) % len(terms)])
+                if made is not None:
+                    rows.append(reader.features(made))
+                    kinds.append((toxic, True))
+            yield pa.record_batch([pa.array(rows, pa.list_(pa.float64())), pa.array([k for k, _ in kinds], pa.int32()), pa.array([m for _, m in kinds])], names=["x", "toxic", "made"])
+
+    rows = sample.mapInArrow(read, "x array<double>, toxic int, made boolean").collect()  # 4 * most rows of counts
     y = np.array([r["toxic"] for r in rows], float)
     if len(set(y)) < 2:
         return Scorer(lexicon, None, None)
     shares = {r["toxic"]: r["count"] for r in labels.filter("toxic in (0, 1)").filter(~held_out()).groupBy("toxic").count().collect()}
-    x = np.array([r["x"] for r in rows])
+    x, made = np.array([r["x"] for r in rows]), np.array([r["made"] for r in rows])
     scale = np.maximum(x.std(0), LEAST_SCALE)
-    share = np.where(y == 1, shares[1] / y.sum(), shares[0] / (len(y) - y.sum()))
+    # each class has the weight of its labels, and made texts half of what theirs have
+    each = np.where(made, 0.5, 1.0)
+    share = each * np.where(y == 1, shares[1] / each[y == 1].sum(), shares[0] / each[y == 0].sum())
     w = logistic(np.column_stack([x / scale, np.ones(len(x))]), y, share / share.mean())
     return Scorer(lexicon, w, scale)
 
@@ -378,15 +475,15 @@ def toxicity(docs: DataFrame, scorer: Scorer) -> DataFrame:
     """doc_id, held_out, score and predicted of every row of docs."""
     bound_batches(docs.sparkSession)
     weight = scorer.lexicon.weight
-    sent = docs.sparkSession.sparkContext.broadcast((*[tuple((t, weight[t]) for t in terms if t) for terms in (scorer.lexicon.term, scorer.lexicon.stem)], scorer.weights, scorer.scale))
+    sent = docs.sparkSession.sparkContext.broadcast((*[tuple((t, weight[t]) for t in terms if t) for terms in (scorer.lexicon.term, scorer.lexicon.stem)], tuple(scorer.lexicon.edits.items()), tuple(sorted(scorer.lexicon.own)), scorer.weights, scorer.scale))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, stems, weights, scale = sent.value
-        reader = kept_reader(words, stems)
-        own = Scorer(reader.lexicon, weights, scale)
+        words, stems, edits, own, weights, scale = sent.value
+        reader = kept_reader(words, stems, edits, own)
+        scorer = Scorer(reader.lexicon, weights, scale)
         for batch in batches:
             rows = np.array([reader.features(t) for t in batch.column("text").to_pylist()]).reshape(-1, len(FEATURES))
-            score = own.score(rows)
+            score = scorer.score(rows)
             yield pa.record_batch([batch.column("doc_id"), pa.array(score, pa.float64()), pa.array((score >= 0.5).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -5,7 +5,8 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from marlstone.llm.toxicity import FEATURES, FuzzyLexicon, Reader, edits_for, fitted, toxicity
+from marlstone.llm.common import table
+from marlstone.llm.toxicity import DISCOUNT, FEATURES, WORD, FuzzyLexicon, Reader, edits_for, fitted, quotation, toxicity
 
 
 def distance(a, b):
@@ -31,7 +32,7 @@ def test_automaton_equals_edit_distance():
 def test_stems_and_context():
     reader = Reader(FuzzyLexicon({"idiot": 3.0}, {"grum": 2.0}))
     row = dict(zip(FEATURES, reader.features("You idi0t, grumblers!"), strict=True))
-    assert row["fuzzy"] > 0 and row["stems"] > 0 and row["addressed"] > 0 and row["exact"] == 0
+    assert row["fuzzy"] > 0 and row["stems"] > 0 and row["addressed"] > 0 and row["exact"] == np.log1p(DISCOUNT)
     quoted = dict(zip(FEATURES, reader.features('The word "idiot" was in the text'), strict=True))
     assert quoted["quoted"] > 0 and quoted["exact"] == 0
     assert reader.features(None) == reader.features("") == reader.features("a grum of") == [0.0] * len(FEATURES)
@@ -104,7 +105,7 @@ def test_misspelled_terms_are_met_and_contexts_weigh(spark):
     wrong = {t: t[:2] + "q" + t[3:] for t in terms if len(t) >= 5}
     assert sum(scorer.lexicon.meet(w) is not None for w in wrong.values()) >= 0.9 * len(wrong)
     signs = dict(zip(FEATURES, scorer.weights, strict=False))
-    assert signs["quoted"] < 0 and min(v for k, v in signs.items() if k != "quoted") >= 0
+    assert signs["quoted"] < 0 < signs["fuzzy"] and min(v for k, v in signs.items() if k != "quoted") >= 0
     reader = Reader(scorer.lexicon)
     score = lambda text: float(scorer.score(np.array([reader.features(text)]))[0])
     t = terms[0]
@@ -112,3 +113,39 @@ def test_misspelled_terms_are_met_and_contexts_weigh(spark):
     out = toxicity(docs, scorer)
     assert out.columns == ["doc_id", "held_out", "score", "predicted"] and out.count() == len(rows)
     assert len({r.score for r in out.filter("doc_id = 0").collect()}) == 1
+
+
+def test_misspelled_documents(spark):
+    """Every term of held-out toxic texts with one letter replaced by another, any of them; quotations put into clean ones."""
+    folder, rng = "/root/testdata/sf0.1", random.Random(5)
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    scorer = fitted(docs, labels)
+    weights = dict(zip(FEATURES, scorer.weights, strict=False))
+    assert weights["fuzzy"] > 0 > weights["quoted"]
+    held = docs.join(labels, "doc_id").filter("crc32(cast(doc_id as string)) % 5 = 0").select("text", "toxic").collect()
+    reader = Reader(scorer.lexicon)
+    score = lambda texts: scorer.score(np.array([reader.features(t) for t in texts]))
+    toxic, clean = ([r.text for r in held if r.toxic == y] for y in (1, 0))
+    assert (score(toxic) >= 0.5).mean() >= 0.9 and (score(clean) >= 0.5).mean() < 0.01
+    assert (score([quotation(t, "moron") for t in clean]) >= 0.5).mean() < 0.01
+
+    def spoiled(text):
+        def put(found):
+            w = found[0]
+            m = reader.met.get(w.lower())
+            at = rng.randrange(len(m[0])) if m else 0
+            return w if m is None else w[:at] + rng.choice("abcdefghijklmnopqrstuvwxyz01") + w[at + 1 :]
+
+        reader.features(text)
+        return WORD.sub(put, text)
+
+    assert (score([spoiled(t) for t in toxic]) >= 0.5).mean() >= 0.8
+
+
+def test_words_of_their_own_are_no_misspellings():
+    lexicon = FuzzyLexicon({"idiots": 1.0, "worthless": 1.0}, {"grumbl": 1.0}, {("worthless", False): 1}, ["idioms", "grumple"])
+    assert lexicon.meet("idiots") == ("idiots", 0, False) and lexicon.meet("idiocs") == ("idiots", 1, False) and lexicon.meet("idioms") is None
+    assert lexicon.meet("worthles") == ("worthless", 1, False) and lexicon.meet("worthes") is None  # two edits were not certified
+    assert lexicon.meet("grumbler") == ("grumbl", 0, True) and lexicon.meet("grumpler") == ("grumbl", 1, True) and lexicon.meet("grumple") is None and lexicon.meet("xgrumbler") == ("grumbl", 1, True)
+    reader = Reader(lexicon)
+    assert reader.misspelled("you IDIOTS and more") not in (None, "you IDIOTS and more") and reader.misspelled("nothing") is None
