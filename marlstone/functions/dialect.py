@@ -16,8 +16,8 @@ def spark_type(text: str) -> str:
     name = " ".join(text.lower().split()).removeprefix("pg_catalog.")
     base, _, rest = name.partition("(")
     known = SPARK_TYPES.get(TYPE_NAMES.get(base.strip(), base.strip()))
-    if rest and known and known.startswith("decimal"):
-        return f"decimal({rest}"
+    if rest:  # a length or precision
+        return f"decimal({rest}" if known and known.startswith("decimal") else f"varchar({rest}" if known == "string" else known or text
     return known or text
 
 
@@ -40,8 +40,7 @@ def as_spark(body: str) -> str:
     body = "".join(out) + body[at:]
     body = re.sub(r"([\w.]+)\s*->>\s*\x01([0-9]+)\x01", lambda m: f"get_json_object({m[1]}, {put(chr(39) + '$.' + kept[int(m[2])][1:-1] + chr(39))})", body)
     body = re.sub(r"([\w.]+)\s*~\s*(\x01[0-9]+\x01)", r"\1 RLIKE \2", body)
-    body = re.sub(r"::\s*(text|varchar)\b", "::string", body, flags=re.I)
-    body = re.sub(r"::\s*(float8|double precision)\b", "::double", body, flags=re.I)
+    body = re.sub(r"(?i)::\s*(double\s+precision|character\s+varying|timestamp\s+with(?:out)?\s+time\s+zone|[a-z_]\w*)(\s*\([0-9, ]+\))?", lambda m: f"::{spark_type(m[1] + (m[2] or ''))}", body)
     body = re.sub(r"([\w.]+|\([^()]*\))\s*\^\s*([\w.]+|\([^()]*\))", r"power(\1, \2)", body)
     body = re.sub(r"\bgenerate_series\s*\(\s*([^,()]+),\s*([^,()]+)\)", r"explode(sequence(\1, \2))", body, flags=re.I)
     return re.sub(r"\x01([0-9]+)\x01", lambda m: kept[int(m[1])], body)

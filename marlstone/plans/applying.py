@@ -12,16 +12,19 @@ import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.dialect import SPARK_TYPES, as_spark
+from ..functions.dialect import SPARK_TYPES, as_spark, spark_type
 from ..functions.idents import TARGETS, Ident
 from ..functions.identify import SqlObject, identify
 from ..functions.lint import Finding, lint, report
-from ..functions.sqltext import split_statements
+from ..functions.routines import Untranslated, arguments, expression, inputs, script, statements_of
+from ..functions.sqltext import split_statements, tokens
 from ..operators import diff
+from ..operators.folding import folded
 from ..operators.severity import enum_additions
 from ..operators.storage import stored
 from ..sources.scan import as_object
@@ -78,12 +81,16 @@ class Executor:
             (stored(df) if o.kind == "materialized_view" else df).createOrReplaceTempView(f"`{name}`")
             return True
         if o.kind == "aggregate":
-            given = {k.lower(): v.strip() for k, v in re.findall(r"(?i)\b(sfunc|stype|initcond)\s*=\s*('[^']*'|[\w.]+)", ddl)}
-            self.aggregates()[name] = (given.get("sfunc", ""), given.get("initcond", "").strip("'"))
-            return given.get("sfunc") in FOLDS
+            given = {k.lower(): v.strip() for k, v in re.findall(r"(?i)\b(sfunc|stype|initcond|combinefunc|finalfunc)\s*=\s*('[^']*'|[\w.]+(?:\s+precision)?)", ddl)}
+            self.aggregates()[name] = Aggregate(given.get("sfunc", ""), given.get("stype", ""), given["initcond"].strip("'") if "initcond" in given else None, given.get("combinefunc"), given.get("finalfunc"))
+            return given.get("sfunc") in FOLDS or self.spelled(given.get("sfunc", "")) in self.routines()
         if o.kind == "operator" and o.details["procedure"]:
             self.operators()[str(o.ident)] = str(o.details["procedure"])
             return True
+        if o.kind in ("function", "procedure"):
+            self.routines()[name] = o
+        if o.kind == "procedure" or o.kind == "function" and o.details["language"] == "plpgsql":
+            return self._translated(o, name)
         if o.kind == "function" and o.details["language"] == "sql":
             body = (o.details["body"] or "").strip().rstrip(";")
             if re.match(r"(?is)select\b", body) and ";" not in body and all(a["name"] for a in o.details["args"]):
@@ -98,33 +105,93 @@ class Executor:
                 return True
         return False
 
-    def aggregates(self) -> dict[str, tuple[str, str]]:
-        """State function and first state of the aggregates made in this session."""
-        return MADE.setdefault(("aggregates", id(self.spark)), {})
+    def _translated(self, o: SqlObject, name: str) -> bool:
+        """Whether a procedure or PL/pgSQL function runs: as an expression that queries inline, or else as a script for each call."""
+        try:
+            if o.kind == "function":
+                try:
+                    value = expression(o)
+                except Untranslated:  # it may have a script
+                    value = None
+                if value is not None and not o.details["set"] and all(a["name"] and a["mode"] == "in" for a in o.details["args"]):
+                    args = ", ".join(f"{a['name']} {spark_type(a['text'])}" + (f" DEFAULT {''.join(t.text for t in a['default'])}" if a["default"] else "") for a in o.details["args"])
+                    self.spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({args}) RETURNS {spark_type(o.details['returns'])} RETURN {value}")
+                    return True
+                self.spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {name}")  # of an older definition
+            statements_of(o)
+        except Untranslated:
+            return False
+        return True
+
+    def call(self, sql: str) -> DataFrame:
+        """CALL of a procedure, or of a function that only has a script, run once by SQL scripting."""
+        toks = list(tokens(sql.strip().rstrip(";")))
+        at = next((k for k, t in enumerate(toks) if t.text == "("), len(toks))
+        name = "".join(t.text for t in toks[1:at])
+        if toks[0].lower != "call" or self.spelled(name) not in self.routines() or at == len(toks):
+            raise Untranslated(f"no routine {name} to call")
+        o = self.routines()[self.spelled(name)]
+        return self.spark.sql(script(o, arguments(o, toks[at:], sql.strip().rstrip(";"))))
+
+    def _made(self, kind: str) -> dict:
+        return MADE.setdefault(self.spark, {}).setdefault(kind, {})
+
+    def routines(self) -> dict[str, SqlObject]:
+        """Functions and procedures made in this session."""
+        return self._made("routines")
+
+    def aggregates(self) -> dict[str, Aggregate]:
+        return self._made("aggregates")
 
     def operators(self) -> dict[str, str]:
         """The function behind each operator made in this session."""
-        return MADE.setdefault(("operators", id(self.spark)), {})
+        return self._made("operators")
 
-    def aggregated(self, df: DataFrame, keys: list[str], aggregate: str, column: str, alias: str) -> DataFrame:
-        """df grouped by keys under an aggregate whose state function is one of FOLDS, so that states of parts are put together."""
-        sfunc, first = self.aggregates()[self.spelled(aggregate)]
+    def aggregated(self, df: DataFrame, keys: list[str], aggregate: str, column: str, alias: str, order: list[str] | None = None) -> DataFrame:
+        """df grouped by keys under an aggregate, by what its state function does (operators/folding.py), or Spark's own for built-in ones."""
+        made = self.aggregates()[self.spelled(aggregate)]
         kind = df.schema[column].dataType
-        return df.groupBy(*keys).agg(FOLDS[sfunc](F.col(column), F.lit(first or None).cast(kind)).cast(kind).alias(alias))
+        if made.sfunc in FOLDS and not made.final:
+            return df.groupBy(*keys).agg(FOLDS[made.sfunc](F.col(column), F.lit(made.first or None).cast(kind)).cast(kind).alias(alias))
+
+        def inlined(function: str) -> Callable[..., str]:
+            o = self.routines()[self.spelled(function)]
+            return lambda *given: f"CAST(({expression(o, dict(zip([a['name'] for a in inputs(o)], given, strict=True)))}) AS {state if function != made.final else spark_type(o.details['returns'])})"
+
+        state = spark_type(made.stype)
+        first = "NULL" if made.first is None else f"'{made.first}'"
+        known = {"combine": inlined(made.combine) if made.combine else None, "final": inlined(made.final) if made.final else None}
+        return folded(df, keys, column, f"CAST({first} AS {state})", inlined(made.sfunc), order=order or [], **known).withColumnRenamed("value", alias)
 
     def applied(self, operator: str, left: Column | None, right: Column) -> Column:
         """An operator's function on its sides; a prefix operator has no left one."""
         return F.call_function(self.operators()[operator], *([] if left is None else [left]), right)
 
     def drop(self, kind: str, name: str) -> None:
+        """What has a name and kind goes, whatever the signature that it was made with."""
+        spelled = self.spelled(name)
         if kind in ("view", "materialized_view"):
-            self.spark.catalog.dropTempView(self.spelled(name))
+            self.spark.catalog.dropTempView(spelled)
         elif kind == "function":
-            self.spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {self.spelled(name)}")
+            self.spark.sql(f"DROP TEMPORARY FUNCTION IF EXISTS {spelled}")
+        for kinds, held, key in ((("function", "procedure"), self.routines(), spelled), (("aggregate",), self.aggregates(), spelled), (("operator",), self.operators(), name)):
+            if kind in kinds:
+                held.pop(key, None)
+
+
+@dataclass(frozen=True)
+class Aggregate:
+    """State, combine and final function of an aggregate, its state's type and first state."""
+
+    sfunc: str
+    stype: str = ""
+    first: str | None = None
+    combine: str | None = None
+    final: str | None = None
 
 
-#: What aggregates and operators stand for, by session; definitions of one session end with it.
-MADE: dict[tuple[str, int], dict] = {}
+#: Routines, aggregates and operators that were made, by session; they end with it.
+MADE: WeakKeyDictionary[SparkSession, dict[str, dict]] = WeakKeyDictionary()
 #: State functions whose states of parts can be put together, with the first state: fixed names.
 FOLDS = {
     **dict.fromkeys(("int4pl", "int8pl", "float8pl", "numeric_add"), lambda x, first: F.coalesce(F.sum(x), F.lit(0)) + F.coalesce(first, F.lit(0))),
@@ -166,7 +233,14 @@ def migrate(spark: SparkSession, name: str, text: str, work: Transaction | None)
             warnings.append(f"recorded only: {early[s.sql]}")
             continue
         try:
-            spark.sql(as_spark(s.sql)) if work is None else work.run(s.sql)
+            if re.match(r"(?i)call\b", s.sql):
+                Executor(spark).call(s.sql)
+                if work is not None:
+                    work.lasting.append(s.sql[:80])
+            elif work is None:
+                spark.sql(as_spark(s.sql))
+            else:
+                work.run(s.sql)
         except Exception as e:
             raise MigrationError(name, k, s.start_line, str(e).split("\n")[0]) from e
     return warnings

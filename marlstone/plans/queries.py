@@ -387,7 +387,7 @@ def managed_views(spark, d):
 
 
 def queries() -> dict[str, Query]:
-    from . import ddlqueries, migrationqueries, sqlqueries  # noqa: F401  they register themselves
+    from . import ddlqueries, migrationqueries, routinequeries, sqlqueries  # noqa: F401  they register themselves
 
     return dict(FOUND)
 
