@@ -147,7 +147,7 @@ def make_plan(spark: SparkSession, store: StateStore, code: str | DataFrame | No
         add([r["n"] for r in spelled.join(names, "spelled", "left_semi").select(node().alias("n")).distinct().collect()], "Migration alters dependent table")
     updated = [c.node for c in changes if c.type == "update"]
     if updated:
-        add([r["node"] for r in graph.closure(edges, spark.createDataFrame([(n,) for n in updated], "node string")).collect()], "Dependency requires recreation")
+        add([r["node"] for r in graph.closure(edges, spark.createDataFrame([(n,) for n in updated], "node string"), most_local=graph.FEW).collect()], "Dependency requires recreation")
     operators = any(c.object_type == "operator" and c.type == "update" for c in changes)
     returns = {r["object_name"]: as_object(r).details["returns"] for r in recorded.values() if operators and r["object_type"] == "function" and r["ddl"]}
     for c in changes:
@@ -162,7 +162,7 @@ def ordered(spark: SparkSession, plan: Plan, nodes: list[str]) -> tuple[list[str
         return nodes, None
     every = spark.createDataFrame([(n,) for n in {*nodes, *plan.objects, *plan.recorded}], "node string")
     try:
-        level = {r["node"]: r["level"] for r in graph.levels(every, plan.edges).collect()}
+        level = {r["node"]: r["level"] for r in graph.levels(every, plan.edges, graph.FEW).collect()}
     except graph.CycleError as e:
         return nodes, str(e)
     return sorted(nodes, key=lambda n: level.get(n, 1 << 30)), None

@@ -24,7 +24,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects = rows.filter("object_type is not null")
     edges = graph.edges_of(objects, dependencies_of(rows, builtins(spark)))
     found = {f"{r['object_type']}::{r['state_name']}": r for r in objects.collect()}
-    level = {r["node"]: r["level"] for r in graph.levels(spark.createDataFrame([(n,) for n in found], "node string"), edges).collect()}
+    level = {r["node"]: r["level"] for r in graph.levels(spark.createDataFrame([(n,) for n in found], "node string"), edges, graph.FEW).collect()}
     run = Executor(spark)
     for n in sorted(found, key=lambda n: (level[n], found[n]["seq"])):
         run.create(found[n]["ddl"])
