@@ -267,8 +267,8 @@ class Reader:
                 stems += 1
             else:
                 exact += 1
-        met = exact + stems + DISCOUNT * fuzzy
-        return [np.log1p(exact + DISCOUNT * fuzzy), np.log1p(fuzzy), np.log1p(stems), np.log1p(quoted), np.log1p(addressed), min(1.0, met * 20 / len(words)), np.log1p(len(terms)), np.log1p(weight)]
+        met, each = exact + stems + DISCOUNT * fuzzy, 100 / max(20, len(words))  # terms and their weight are told for a hundred words: long texts meet some by chance
+        return [np.log1p(exact + DISCOUNT * fuzzy), np.log1p(fuzzy), np.log1p(stems), np.log1p(quoted), np.log1p(addressed), min(1.0, met * 20 / len(words)), np.log1p(len(terms) * each), np.log1p(weight * each)]
 
     def near(self, text: str | None) -> set[tuple[str, str, bool, int]]:
         """(word, term, as stem, edits) of the misspelled meetings of a text."""
