@@ -27,6 +27,7 @@ from ..operators import diff
 from ..operators.folding import folded
 from ..operators.severity import enum_additions
 from ..operators.storage import stored
+from ..sources.catalog import catalog_of
 from ..sources.scan import as_object
 from ..sources.state import StateStore
 from .planning import Plan, make_plan, ordered
@@ -321,6 +322,10 @@ def restore(run: Executor, plan: Plan, by: dict) -> None:
 def comment_keys(kind: str, name: str) -> list[tuple[str]]:
     """The keys under which comments on an object are recorded."""
     word = kind if kind in ("table", "view", "materialized_view", "function", "procedure", "operator", "type", "trigger", "domain") else None
+    trigger, _, table = name.partition(":")
+    if kind == "trigger" and table:  # a table of the schema public may be spelled without it
+        other = table.removeprefix("public.") if table.startswith("public.") else f"public.{table}" if "." not in table else table
+        return [(f"trigger:{trigger}:{t}",) for t in dict.fromkeys((table, other))]
     return [] if word is None else [(f"{word}:{name}{'()' if kind in ('function', 'procedure') else ''}",)]
 
 
@@ -335,8 +340,10 @@ def publish(spark: SparkSession, store: StateStore, plan: Plan, made: list, dele
     if gone is not None:  # comments on what is gone, by their whole keys; a relation's columns have its name before theirs
         state = state.join(F.broadcast(gone), (F.col("object_type") == "comment") & (F.col("object_name") == F.col("_key")), "left_anti")
         for c in deleted:
-            if c.object_type in ("table", "view", "materialized_view"):
+            if c.object_type in ("table", "view", "materialized_view", "type"):
                 state = state.filter(~((F.col("object_type") == "comment") & F.startswith("object_name", F.lit(f"column:{c.name}."))))
+            if c.object_type == "trigger" and ":" not in c.name:  # recorded before triggers had their tables
+                state = state.filter(~((F.col("object_type") == "comment") & F.startswith("object_name", F.lit(f"trigger:{c.name}:"))))
     kept = {(c.object_type, c.name) for c in made}
     deps = plan.deps.join(spark.createDataFrame(sorted(kept) or [("", "")], "object_type string, state_name string"), ["object_type", "state_name"], "left_semi")
     soft = (F.col("dep_class") == "function") & F.col("object_type").isin("function", "procedure")
@@ -348,4 +355,8 @@ def publish(spark: SparkSession, store: StateStore, plan: Plan, made: list, dele
         kind = next((k for k, kinds in TARGETS.items() if c.object_type in kinds), None)
         both = both.filter(~((F.col("dependency_type") == F.lit(kind)) & F.col("dependency_schema").eqNullSafe(F.lit(target.schema)) & (F.col("dependency_name") == F.lit(target.name))) | F.lit(kind is None))
     applied = spark.createDataFrame([(n, now) for n, _ in plan.new_migrations], store.table("migrations").schema)
-    store.publish({"state": state, "dependencies": both, "migrations": diff.insert_if_absent(store.table("migrations"), applied, ["name"])}, told)
+    named = spark.createDataFrame([(c.object_type, i.schema, i.name) for c in [*made, *deleted] for i in [Ident.parse(c.name.partition(":")[0] if c.object_type == "trigger" else c.name)]], "object_type string, schema string, name string")
+    again = spark.createDataFrame([(plan.objects[c.node]["ddl"],) for c in made] or [("",)], "ddl string")
+    keyed = lambda df: df.withColumn("_key", F.concat_ws("\x01", "object_type", F.coalesce("schema", F.lit("")), "name"))
+    catalog = diff.replace_of(keyed(store.table("catalog")), keyed(catalog_of(again)), keyed(named), ["_key"])
+    store.publish({"catalog": catalog, "state": state, "dependencies": both, "migrations": diff.insert_if_absent(store.table("migrations"), applied, ["name"])}, told)

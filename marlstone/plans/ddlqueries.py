@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.identify import IdentificationError, identify
 from ..functions.idents import from_state_key
 from ..functions.sqltext import SqlSyntaxError, line_and_column, normalized, quoted, split_statements
+from ..sources.catalog import catalog_of
 from ..operators.severity import LABELS, altered_tables, enum_additions, rank_of_migration, rank_of_statement, rank_of_update
 from .queries import query, read
 
@@ -163,6 +164,25 @@ def statement_severity(spark, d):
     return analysed(written(spark, d, STATEMENTS), lambda text: [LABELS[rank_of_statement(text)]], "severity string")
 
 
+#: Definitions, and their kind, signature or operand types, result, and labels, fields or base.
+DECLARED = [
+    ("CREATE FUNCTION f{n}(a int, b text DEFAULT 'x', OUT c bool) RETURNS bool LANGUAGE sql AS 'SELECT true'", "function", "f{n}(pg_catalog.int4, text)", "pg_catalog.bool", ""),
+    ("CREATE PROCEDURE s.p{n}(INOUT a kind{n}) LANGUAGE sql AS 'SELECT 1'", "procedure", "s.p{n}(kind{n})", "", ""),
+    ("CREATE TYPE e{n} AS ENUM ('a', 'b{n}')", "type", "", "", "a,b{n}"),
+    ("CREATE TYPE c{n} AS (x int, y t{n})", "type", "", "", "x pg_catalog.int4,y t{n}"),
+    ("CREATE DOMAIN d{n} AS base{n}", "domain", "", "", "base{n}"),
+    ("CREATE OPERATOR === (LEFTARG = l{n}, RIGHTARG = r{n}, PROCEDURE = p{n})", "operator", "l{n} r{n}", "", "p{n}"),
+]
+
+
+@query(f"SELECT kind, signature, result, declared FROM ({listed(DECLARED, 'text, kind, signature, result, declared')})")
+def catalog_rows(spark, d):
+    rows = catalog_of(written(spark, d, DECLARED).withColumnRenamed("text", "ddl"))
+    empty = lambda c: F.coalesce(c, F.lit(""))
+    fields = F.array_join(F.transform("fields", lambda f: F.concat_ws(" ", f["name"], f["type"])), ",")
+    return rows.select(F.col("object_type").alias("kind"), empty(F.coalesce("signature", F.nullif(F.concat_ws(" ", "left_type", "right_type"), F.lit("")))).alias("signature"), empty(F.nullif("returns", F.lit(""))).alias("result"), empty(F.coalesce(F.array_join("labels", ","), fields, "base", "procedure")).alias("declared"))
+
+
 #: Texts that cannot be read, and why.
 BROKEN = [("SELECT 'open {n}", "unterminated string"), ("SELECT $a$ {n}", "unterminated dollar-quoted string"), ("/* {n}", "unterminated /* comment"), ("CREATE INDEX ON t{n} (x)", "an index without a name"), ("COMMENT ON SCHEMA s{n} IS 'x'", "comments on schema are not supported"), ("VACUUM t{n}", "not managed")]
 

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.idents import KINDS
+from ..functions.idents import KINDS, Ident
 from ..operators import diff, graph, severity
 from ..operators.storage import stored
+from ..sources.catalog import result_type
 from ..sources.parsed import ParsedStore
-from ..sources.scan import UNREAD, as_object, builtins, dependencies_of, objects_of, scan_migrations, scan_objects
+from ..sources.scan import UNREAD, as_object, builtins, dependencies_of, objects_of, read_files, scan_migrations, scan_objects
 from ..sources.state import StateStore
 
 #: Kinds that may not be defined twice under one name.
@@ -148,8 +150,8 @@ def make_plan(spark: SparkSession, store: StateStore, code: str | DataFrame | No
     updated = [c.node for c in changes if c.type == "update"]
     if updated:
         add([r["node"] for r in graph.closure(edges, spark.createDataFrame([(n,) for n in updated], "node string"), most_local=graph.FEW).collect()], "Dependency requires recreation")
-    operators = any(c.object_type == "operator" and c.type == "update" for c in changes)
-    returns = {r["object_name"]: as_object(r).details["returns"] for r in recorded.values() if operators and r["object_type"] == "function" and r["ddl"]}
+    behind = {str(as_object(r[c.node]).details["procedure"]) for c in changes if c.object_type == "operator" and c.type == "update" for r in (recorded, by_node) if r[c.node]["ddl"]}
+    returns = {p: t for p in behind for t in [result_type(store.table("catalog"), Ident.parse(p).name, Ident.parse(p).schema)] if t}
     for c in changes:
         if c.object_type:
             c.rank = rank_of(spark, c, recorded.get(c.node), by_node.get(c.node), returns)
@@ -180,6 +182,19 @@ def pending_changes(spark: SparkSession, store: StateStore, code: str, migration
 
 
 def content_checksum(files: DataFrame) -> str:
-    """SHA-256 over the texts of files (file, text) in order, each with a line feed: whether a prepared copy is still good. Files are few and small."""
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("file", "text"))), lambda x: F.concat(x["text"], F.lit("\n")))
-    return files.agg(F.sha2(F.array_join(texts, ""), 256).alias("sum")).first()["sum"]
+    """One digest over the names and texts of files (file, text): whether a prepared copy is still good.
+
+    Each file has a digest of its own; of these, sums of parts that do not depend on an order are taken, so that texts stay where they are.
+    """
+    own = files.select(F.sha2(F.concat_ws("\x01", F.element_at(F.split("file", "/"), -1), "text"), 256).alias("d"))
+    parts = [F.coalesce(F.sum(F.conv(F.substring("d", k, 12), 16, 10).cast("decimal(38,0)")), F.lit(0)).cast("string") for k in range(1, 64, 12)]
+    return own.agg(F.sha2(F.concat_ws(",", F.count(F.lit(1)).cast("string"), *parts), 256).alias("sum")).first()["sum"]
+
+
+def prepared(spark: SparkSession, templates: str, folder: str, code: str, build: Callable[[StateStore], object]) -> tuple[StateStore, bool]:
+    """A state for a code tree, cloned from the template that stands for its content, and whether the template was there: where it is not, build fills it first."""
+    store = StateStore(spark, f"{templates}/{content_checksum(read_files(spark, code))}")
+    there = not store.fresh
+    if not there:
+        build(store)  # under its own lock: of two that build at once, the second one finds nothing to do
+    return store.clone(folder), there

@@ -18,10 +18,13 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .catalog import CATALOG
+
 TABLES = {
     "state": "object_type string, object_name string, ddl_hash string, ddl string, trigger_table string, last_applied timestamp",
     "migrations": "name string, applied_at timestamp",
     "dependencies": "dependent_type string, dependent_name string, dependency_type string, dependency_schema string, dependency_name string, dependency_kind string",
+    "catalog": CATALOG,
     "events": "channel string, payload string, emitted_at timestamp",
 }
 #: Bytes that an event's payload may have.
@@ -67,7 +70,22 @@ class StateStore:
     def table(self, name: str) -> DataFrame:
         if self.current is None:
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(str(self.folder / self.current / name))
+        return self.spark.read.schema(TABLES[name]).parquet(str(self.folder / self.current / name))  # the folder of a clone's snapshot is its template's
+
+    def clone(self, folder: str) -> StateStore:
+        """A state of its own that begins with this one's snapshot. Snapshots never change, so nothing is copied."""
+        if self.current is None:
+            raise ValueError("there is no state to clone")
+        found = StateStore(self.spark, folder)
+        part = found.folder / f".CURRENT-{uuid.uuid4().hex}"
+        part.write_text(str((self.folder / self.current).absolute()))
+        try:
+            os.link(part, found._pointer(1))
+        except FileExistsError:
+            raise ValueError(f"{folder} has a state already") from None
+        finally:
+            part.unlink()
+        return found
 
     def hash_of(self, kind: str, name: str) -> str | None:
         """The recorded hash of one object, or None."""
@@ -80,7 +98,9 @@ class StateStore:
         for table, schema in TABLES.items():
             frame = tables.get(table)
             frame = self.table(table) if frame is None else frame
-            frame.select([c.split(" ")[0] for c in schema.split(", ")]).coalesce(1).write.parquet(str(self.folder / name / table))
+            frame = frame.select([c.split(" ")[0] for c in schema.split(", ")]).coalesce(1)
+            frame = frame.sortWithinPartitions("object_type", "name") if table == "catalog" else frame
+            frame.write.parquet(str(self.folder / name / table))
         part = self.folder / f".CURRENT-{uuid.uuid4().hex}"
         part.write_text(name)
         if self.held is not None and not self.owned(self.held):
