@@ -166,7 +166,7 @@ def statement_severity(spark, d):
 
 #: Definitions, and their kind, signature or operand types, result, and labels, fields or base.
 DECLARED = [
-    ("CREATE FUNCTION f{n}(a int, b text DEFAULT 'x', OUT c bool) RETURNS bool LANGUAGE sql AS 'SELECT true'", "function", "f{n}(pg_catalog.int4, text)", "pg_catalog.bool", ""),
+    ("CREATE FUNCTION f{n}(a int, b text DEFAULT 'x', OUT c bool) RETURNS bool LANGUAGE sql AS 'SELECT true'", "function", "f{n}(pg_catalog.int4, text)", "bool", ""),
     ("CREATE PROCEDURE s.p{n}(INOUT a kind{n}) LANGUAGE sql AS 'SELECT 1'", "procedure", "s.p{n}(kind{n})", "", ""),
     ("CREATE TYPE e{n} AS ENUM ('a', 'b{n}')", "type", "", "", "a,b{n}"),
     ("CREATE TYPE c{n} AS (x int, y t{n})", "type", "", "", "x pg_catalog.int4,y t{n}"),
