@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.idents import KINDS, Ident
+from ..functions.sqltext import SqlSyntaxError, split_statements
 from ..operators import diff, graph, severity
 from ..operators.storage import stored
 from ..sources.catalog import result_type
@@ -112,6 +113,11 @@ def make_plan(spark: SparkSession, store: StateStore, code: str | DataFrame | No
     if migrations is not None:
         new_migrations = [(r["name"], r["text"]) for r in diff.pending(scan_migrations(spark, migrations), store.table("migrations")).orderBy("name").collect()]
     changes = [Change("apply_migration", migration=n, rank=severity.rank_of_migration(t)) for n, t in new_migrations]
+    for n, t in new_migrations:  # it is rated breaking, and alters no table as far as is known
+        try:
+            split_statements(t)
+        except SqlSyntaxError as e:
+            problems.append(f"migration {n}: cannot be split: {e}")
     changes += [Change(r["type"], r["object_type"], r["state_name"], r["old_hash"], r["new_hash"]) for r in raw]
     deps = stored(dependencies_of(rows, builtins(spark)))
     by_node = {f"{r['object_type']}::{r['state_name']}": r.asDict() for r in objects.collect()}
