@@ -14,6 +14,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from .functions.errors import told
 from .functions.sqltext import split_statements
 
 SAMPLE = '# Settings of marlstone; options of the command line come before them.\ncode_dir = "sql"\nmigrations_dir = "migrations"\nseed_dir = "seeds"\nstate_dir = ".marlstone"\ndevelopment = false\n'
@@ -47,7 +48,7 @@ def seed(spark: SparkSession, folder: str) -> list[str]:
             try:
                 spark.sql(s.sql)
             except Exception as e:
-                raise RuntimeError(f"{r['file']}:{s.start_line}: {str(e).splitlines()[0]}") from e
+                raise RuntimeError(told(e, s.sql, r["file"], s.start_line)) from e
         done.append(r["file"])
     return done
 

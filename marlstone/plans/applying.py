@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import SPARK_TYPES, as_spark, spark_type
 from ..functions.idents import TARGETS, Ident
+from ..functions.errors import told as told_of
 from ..functions.identify import SqlObject, identify
 from ..functions.lint import Finding, lint, report
 from ..functions.routines import Untranslated, arguments, expression, inputs, script, statements_of
@@ -243,7 +244,7 @@ def migrate(spark: SparkSession, name: str, text: str, work: Transaction | None)
             else:
                 work.run(s.sql)
         except Exception as e:
-            raise MigrationError(name, k, s.start_line, str(e).split("\n")[0]) from e
+            raise MigrationError(name, k, s.start_line, told_of(e, s.sql, None, s.start_line)) from e
     return warnings
 
 
@@ -291,7 +292,7 @@ def apply_plan(spark: SparkSession, store: StateStore, plan: Plan, development:
         if work is not None:
             work.rollback()
         restore(run, plan, by)
-        result.errors.append(str(e).split("\n")[0])
+        result.errors.append(str(e) if isinstance(e, MigrationError) else str(e).split("\n")[0])
         store.emit("apply_failed", {"error": "; ".join(result.errors)[:1000]})
         raise ApplyError("; ".join(result.errors)) from e
     if work is not None:
