@@ -146,4 +146,4 @@ def as_object(row) -> SqlObject:
     """The object of a row's definition, with all details."""
     found = identify(row["ddl"])
     on = None if row["trigger_table"] is None else Ident.parse(row["trigger_table"])
-    return SqlObject(found.kind, found.ident, row["ddl"], found.dependencies, on, row["file"] if "file" in row else None, details=found.details)
+    return SqlObject(found.kind, found.ident, row["ddl"], found.dependencies, on, row["file"] if "file" in row else None, row["start_line"] if "start_line" in row else None, details=found.details)
