@@ -12,6 +12,7 @@ table gives no rows; columns other than doc_id and text are ignored; null doc_id
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, staged, table
-from .tokens import END, Encoder, crc
+from .tokens import crc, shared_encoder
 
 CAPACITY = 2048
 PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
@@ -102,17 +103,17 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = None) -
     bound_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = shared_encoder(path)
         for batch in batches:
             rows: list[list] = [[], [], [], [], []]
             where = []
-            for k, text in enumerate(batch.column("text")):
-                ids = encoder.encode(text.as_py()) + END
-                n = len(ids) // 2
+            ids, offsets = encoder.documents(batch.column("text"))
+            for k, (first, stop) in enumerate(itertools.pairwise(offsets.tolist())):
+                n = stop - first
                 begin, end = 0, (n - 1) % capacity + 1
                 for piece in range(-(-n // capacity)):
                     where.append(k)
-                    for column, x in zip(rows[1:], (piece, begin, end - begin, crc(ids[2 * begin : 2 * end])), strict=True):
+                    for column, x in zip(rows[1:], (piece, begin, end - begin, crc(ids[first + begin : first + end])), strict=True):
                         column.append(x)
                     begin, end = end, end + capacity
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(where, pa.int32())), pa.array(rows[1], pa.int32()), *[pa.array(c, pa.int64()) for c in rows[2:]]], names=["doc_id", "piece", "start", "length", "ids_crc32"])

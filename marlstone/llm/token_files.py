@@ -11,8 +11,8 @@ null doc_ids come first; an empty table gives no files; columns other than doc_i
 
 from __future__ import annotations
 
+import itertools
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bound_batches, new_path, staged, table
-from .tokens import END, Encoder
+from .tokens import crc, shared_encoder
 
 LENGTH, ROWS = 2048, 256
 
@@ -85,7 +85,7 @@ def write_sequences(docs: DataFrame, folder: str, length: int = LENGTH, path: st
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, encoder, out = TaskContext.get().partitionId(), Encoder(path), None
+        part, encoder, out = TaskContext.get().partitionId(), shared_encoder(path), None
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -95,11 +95,9 @@ def write_sequences(docs: DataFrame, folder: str, length: int = LENGTH, path: st
                 name = f"{part:05d}-{uuid.uuid4().hex}"
                 sink, docs_sink = (system.open_output_stream(f"{root}/{name}{end}") for end in (".arrow", ".docs.arrow"))
                 out, index, n_docs = SequenceWriter(sink, length), None, 0
-            places: list[tuple[int, int]] = []
-            for text in batch.column("text"):
-                ids = np.frombuffer(encoder.encode(text.as_py()) + END, "<u2")
-                places.append((out.add(ids), len(ids)))
-            told = pa.record_batch([batch.column("doc_id"), *[pa.array(c, pa.int64()) for c in zip(*places, strict=True)]], names=["doc_id", "first", "n_tokens"])
+            ids, offsets = encoder.documents(batch.column("text"))
+            firsts = [out.add(ids[a:b]) for a, b in itertools.pairwise(offsets.tolist())]
+            told = pa.record_batch([batch.column("doc_id"), pa.array(firsts, pa.int64()), pa.array(np.diff(offsets), pa.int64())], names=["doc_id", "first", "n_tokens"])
             index = index or pa.ipc.new_file(docs_sink, told.schema)
             index.write_batch(told)
             n_docs += batch.num_rows
@@ -148,7 +146,7 @@ def read_documents(files: DataFrame, folder: str, id_type: str = "bigint") -> Da
             for row in batch.to_pylist():
                 counts, sums, n, value = [], [], 0, 0
                 for ids, ends in documents_in(folder, row["file"]):
-                    n, value = n + len(ids), zlib.crc32(ids.astype("<u4").tobytes(), value)
+                    n, value = n + len(ids), crc(ids, value)
                     if ends:
                         counts.append(n)
                         sums.append(value)

@@ -149,3 +149,46 @@ def test_masks_are_views_of_the_file(tmp_path):
     assert list(ids) == [8, 0, 1, 2, 3, 0, 0, 0] and mask.to_pylist() == [True] * 5 + [False] * 3 and not ids.flags.owndata
     assert mask.buffers()[1].address == reader.get_batch(1).column("mask").flatten().buffers()[1].address
     assert pa.total_allocated_bytes() - before < 4096
+
+
+def test_a_word_is_tokenized_once_whatever_stands_around_it():
+    from types import SimpleNamespace
+
+    own = Encoder()
+    plain, model, calls = own.whole, own.model, []
+    own.whole = lambda text: (calls.append(text), plain(text))[1]
+    own.model = SimpleNamespace(tokenize=lambda word: (calls.append(word), model.tokenize(word))[1])
+    words, marks = [a + b + "né"[k] for k, a in enumerate("zk") for b in "aeiou"], ",.;%*/-'\"("
+    for text in [f"Und {w}{m} und\n{w}{m} und" for w in words for m in marks]:
+        assert own.encode(text) == np.array(ids_of(own, text)[:-1], "<u2").tobytes(), text
+    assert len(calls) <= 2 * len(words) + len(marks) + 5
+
+
+def test_batches_equal_whole_texts(encoder, monkeypatch):
+    import pyarrow as pa
+
+    from marlstone.llm import tokens
+
+    assert tokens.shared_encoder() is tokens.shared_encoder()
+    rng = random.Random(4)
+    parts = ["a", "Word", "été", "÷", "'", "s", "'re", "12", ",", "-", " ", " ", "\n", "日", "\x00", "\x7f", "<|endoftext|>", "　", "y" * 70]
+    texts = TEXTS + ["".join(rng.choice(parts[: rng.choice([13, 16, 19])]) for _ in range(rng.randrange(1, 40))) for _ in range(3000)] + ["", None]
+    for at_once in (1, 7, 1 << 20):
+        monkeypatch.setattr(tokens, "AT_ONCE", at_once)
+        for kind in (pa.string(), pa.large_string()):
+            column = pa.array(texts if at_once > 1 else texts[:300], kind)[3:]
+            ids, offsets = encoder.documents(column)
+            assert [list(ids[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [ids_of(encoder, t) for t in column.to_pylist()]
+    assert len(encoder.kept) <= 50
+    for column in (pa.array([], pa.string()), pa.array([None, ""], pa.string())):
+        assert [x.tolist() for x in encoder.documents(column)] == [[0] * len(column), list(range(len(column) + 1))]
+
+
+def test_long_pieces_are_not_kept():
+    own = Encoder(most_kept=1000)
+    own.encode("some words")
+    for k in range(3):
+        text = f"some {'ab' * 50}{k} words {'cd' * 50}"
+        assert own.encode(text) == np.array(ids_of(own, text)[:-1], "<u2").tobytes()
+        assert own.encode(f"\t{text}") == np.array(ids_of(own, f"\t{text}")[:-1], "<u2").tobytes()
+    assert set(own.kept) == {b"some", b" words", b"0", b"1", b"2"} and len(own.stops) == 6 and len(own.flat) == own.stops[-1] < 10
